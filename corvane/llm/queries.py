@@ -1,9 +1,11 @@
 """The subpackage's registered queries, and their DuckDB twins where SQL can express them."""
 
-from corvane.llm import decontaminate, token_counts
+from corvane.llm import decontaminate, pii, token_counts, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_pii": pii.op4_pii,
     "op7_token_counts": token_counts.op7_token_counts,
 }
 
