@@ -1,12 +1,14 @@
 """The subpackage's registered queries, and their DuckDB twins where SQL can express them."""
 
-from corvane.llm import decontaminate, pii, token_counts, toxicity
+from corvane.llm import decontaminate, mixing, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_mixing": mixing.op2_mixing,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_pii": pii.op4_pii,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op9_quality": quality.op9_quality,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_quality": quality.OP9_SQL}
