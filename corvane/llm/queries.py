@@ -1,6 +1,6 @@
 """The subpackage's registered queries, and their DuckDB twins where SQL can express them."""
 
-from corvane.llm import decontaminate, mixing, pii, quality, token_counts, toxicity
+from corvane.llm import decontaminate, mixing, pii, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_pii": pii.op4_pii,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
 }
 
