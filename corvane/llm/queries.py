@@ -1,6 +1,6 @@
 """The subpackage's registered queries, and their DuckDB twins where SQL can express them."""
 
-from corvane.llm import decontaminate, mixing, pii, quality, token_counts, toxicity, warc
+from corvane.llm import decontaminate, jaccard, mixing, pii, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 
 ORACLE: dict[str, str] = {"op9_quality": quality.OP9_SQL}
