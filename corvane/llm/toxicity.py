@@ -24,7 +24,7 @@ from corvane.llm import _common
 
 SLICE_BYTES = 4 << 20
 #: The classifier (lexicon and weights) is learned from so many labelled texts at most, those with the lowest hash of their id.
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 #: Edits allowed to terms of at least so many characters.
 EDITS = ((10, 2), (5, 1), (0, 0))
 #: Words before and after a hit that make its context.
@@ -184,6 +184,18 @@ class Reader:
         return [*(float(np.log1p(x)) for x in sums), float(np.log1p(100 * per / (20 + len(text) / 6)))] if hits else [0.0] * 6
 
 
+_readers: dict[tuple, Reader] = {}
+
+
+def reader_of(terms: list[Term], cues: frozenset[str]) -> Reader:
+    """A worker's reader of this lexicon; the next tasks of the worker find its automaton grown."""
+    key = (tuple(terms), cues)
+    if key not in _readers:
+        _readers.clear()
+        _readers[key] = Reader(terms, cues)
+    return _readers[key]
+
+
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic weights, the constant first, by damped Newton steps on a small ridge."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -209,48 +221,59 @@ def labelled_sample(labels: DataFrame, key: str, label: str, fit_rows: int = FIT
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[list[Term], frozenset[str], np.ndarray]:
     """Lexicon, words of reported speech, and logistic weights; see FIT_ROWS for the sample's bound."""
     sample = labelled_sample(labels, key, label, fit_rows)
-    texts = _common.materialize(docs.select(F.col(key).alias("key"), _common.text_or_empty(text).alias("text")).where(F.col("key").isNotNull()).join(F.broadcast(sample), "key"), "labelled")  # the sample has fit_rows rows at most
+    texts = docs.select(F.col(key).alias("key"), _common.text_or_empty(text).alias("text")).where(F.col("key").isNotNull()).join(F.broadcast(sample), "key")  # fit_rows rows at most
+    texts = texts.withColumn("words", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0))))
+    # copies, near ones too, mostly agree in the words of least hash; one of each is learned from, lest their rare words look telling
+    least = [F.array_min(F.transform("words", lambda w, salt=salt: F.xxhash64(w, F.lit(salt)))) for salt in (1, 2)]
+    texts = texts.withColumn("like", F.xxhash64(*least, F.when(F.size("words") == 0, F.col("key"))))
+    texts = _common.materialize(texts.groupBy("like", "y").agg(F.min_by(F.struct("key", "text", "words"), "key").alias("r")).select("r.*", "y"), "labelled")
     n_bad, n = texts.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     if not n_bad or n_bad == n:
         return [], frozenset(), np.array([-2.0 if not n_bad else 2.0, *[0.0] * len(FEATURES)])
-    words = texts.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))).alias("w"))
-    seen = words.groupBy("w").agg(F.sum("y").alias("bad"), F.count("*").alias("of")).where("bad > 0")
-    odds = lambda bad, of: F.log((bad + 0.1) / (n_bad + 0.2)) - F.log((of - bad + 0.1) / (n - n_bad + 0.2))
-    words_in = seen.withColumn("weight", odds(F.col("bad"), F.col("of"))).where((F.col("bad") >= max(3, 0.002 * n_bad)) & (F.col("weight") >= 3) & (F.col("of") <= 1.3 * F.col("bad")))
+    words = texts.select("y", F.explode("words").alias("w"))
+    seen = _common.materialize(words.groupBy("w").agg(F.sum("y").alias("bad"), F.count("*").alias("of")), "labelled-words")
+    odds = F.log((F.col("bad") + 0.1) / (n_bad + 0.2)) - F.log((F.col("of") - F.col("bad") + 0.1) / (n - n_bad + 0.2))
+    words_in = seen.withColumn("weight", odds).where((F.col("bad") >= max(3, 0.01 * n_bad)) & (F.col("weight") >= 3) & (F.col("of") <= 1.3 * F.col("bad")))
     # a stem: a beginning of 4 to 6 letters with three or more words of toxic texts and next to none of others
-    ends = words.groupBy("w").agg(F.sum("y").alias("bad"), F.count("*").alias("of")).where(F.length("w") >= 5)
-    ends = ends.select("bad", "of", "w", F.explode(F.expr("sequence(4, least(6, length(w) - 1))")).alias("k")).groupBy(F.expr("substring(w, 1, k)").alias("w"))
-    ends = ends.agg(F.sum("bad").alias("bad"), F.sum("of").alias("of"), F.count("*").alias("n_words")).where("n_words >= 3")
-    stems_in = ends.withColumn("weight", odds(F.col("bad"), F.col("of"))).where((F.col("bad") >= max(6, 0.02 * n_bad)) & (F.col("weight") >= 4) & (F.col("of") <= 1.05 * F.col("bad")))
-    terms = [Term(r["w"], float(r["weight"]), False) for r in words_in.orderBy("w").collect()]  # at most words of the sample / its least count
-    known = set()
-    for r in stems_in.orderBy(F.length("w"), "w").collect():
-        if not any(r["w"][:k] in known for k in (4, 5)):
-            known.add(r["w"])
-            terms.append(Term(r["w"], float(r["weight"]), True))
+    ends = seen.where(F.length("w") >= 5).select("bad", "of", "w", F.explode(F.expr("sequence(4, least(6, length(w) - 1))")).alias("k"))
+    ends = ends.groupBy(F.expr("substring(w, 1, k)").alias("w")).agg(F.sum("bad").alias("bad"), F.sum("of").alias("of"), F.count("*").alias("n_words")).where("n_words >= 3")
+    stems_in = ends.withColumn("weight", odds).where((F.col("bad") >= max(6, 0.02 * n_bad)) & (F.col("weight") >= 4) & (F.col("of") <= 1.05 * F.col("bad")))
+    stems: list[Term] = []
+    for r in stems_in.orderBy(F.length("w"), "w").collect():  # the sample's words / the least count, at most
+        if not any(r["w"].startswith(x.text) for x in stems):
+            stems.append(Term(r["w"], float(r["weight"]), True))
+    # a word that begins with a stem is found by the stem
+    found = [Term(r["w"], float(r["weight"]), False) for r in words_in.orderBy("w").collect()]  # bounded alike
+    terms = [t for t in found if not t.text.startswith(tuple(x.text for x in stems))] + stems
     # words that go with hits in clean texts mark reported speech
-    reader, beside, hits = Reader(terms, frozenset()), Counter(), 0
-    exact = "|".join(re.escape(t.text) for t in terms if not t.stem)
-    for r in texts.where("y = 0").where(F.lower("text").rlike(exact)).select("text").toLocalIterator() if exact else ():  # of the sample
-        found = _beside(reader, r["text"])
-        beside.update(w for words in found for w in words)
-        hits += len(found)
-    cues = frozenset(w for w, c in beside.items() if c >= max(5, 0.1 * hits) and len(w) >= 4)
+    beside = _beside(texts.where("y = 0").select("text"), terms)
+    hits = beside.where("w = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cues = frozenset(r["w"] for r in beside.where((F.length("w") >= 4) & (F.col("n") >= max(5, 0.1 * hits))).collect())  # 20 * CONTEXT words at most
     rows = _features(texts.select("key", "text", "y"), terms, cues, "text").select("y", *FEATURES).toPandas()
     return terms, cues, _fit(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float))
 
 
-def _beside(reader: Reader, text: str) -> list[set[str]]:
-    """The words around each exact hit."""
-    low = text.lower()
-    return [{*_TOKEN.findall(low[:s])[-CONTEXT:], *_TOKEN.findall(low[e:])[:CONTEXT]} for s, e, _, edits, _ in reader.hits(text) if edits == 0]
+def _beside(texts: DataFrame, terms: list[Term]) -> DataFrame:
+    """(w, n): in the context of how many exact hits each word is; the empty word counts the hits."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, found = reader_of(terms, frozenset()), Counter()
+        for part in _common.in_slices(batches, "text", SLICE_BYTES):
+            for text in part.column("text").to_pylist():
+                low = text.lower()
+                for s, e, _, edits, _ in reader.hits(text):
+                    if edits == 0:
+                        found.update({"", *_TOKEN.findall(low[max(0, s - 400) : s])[-CONTEXT:], *_TOKEN.findall(low[e : e + 400])[:CONTEXT]})
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["w", "n"])
+
+    return texts.mapInArrow(read, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def _features(docs: DataFrame, terms: list[Term], cues: frozenset[str], text: str) -> DataFrame:
     kept = docs.columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(terms, cues)
+        reader = reader_of(terms, cues)
         for part in _common.in_slices(batches, text, SLICE_BYTES):
             rows = np.array([reader.features(x or "") for x in part.column(text).to_pylist()]).reshape(-1, len(FEATURES))
             left = [part.column(c) for c in kept if c != text]
