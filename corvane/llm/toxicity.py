@@ -233,11 +233,13 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     words = texts.select("y", F.explode("words").alias("w"))
     seen = _common.materialize(words.groupBy("w").agg(F.sum("y").alias("bad"), F.count("*").alias("of")), "labelled-words")
     odds = F.log((F.col("bad") + 0.1) / (n_bad + 0.2)) - F.log((F.col("of") - F.col("bad") + 0.1) / (n - n_bad + 0.2))
-    words_in = seen.withColumn("weight", odds).where((F.col("bad") >= max(3, 0.01 * n_bad)) & (F.col("weight") >= 3) & (F.col("of") <= 1.3 * F.col("bad")))
+    # so unlikely by chance that among all words seen less than one would get as far
+    sure = F.col("bad") * F.log(F.col("bad") / F.col("of") / (n_bad / n)) >= F.log(F.lit(float(max(1, seen.count())))) + 2
+    words_in = seen.withColumn("weight", odds).where((F.col("bad") >= max(3, 0.01 * n_bad)) & (F.col("weight") >= 3) & sure & (F.col("of") <= 1.3 * F.col("bad")))
     # a stem: a beginning of 4 to 6 letters with three or more words of toxic texts and next to none of others
     ends = seen.where(F.length("w") >= 5).select("bad", "of", "w", F.explode(F.expr("sequence(4, least(6, length(w) - 1))")).alias("k"))
     ends = ends.groupBy(F.expr("substring(w, 1, k)").alias("w")).agg(F.sum("bad").alias("bad"), F.sum("of").alias("of"), F.count("*").alias("n_words")).where("n_words >= 3")
-    stems_in = ends.withColumn("weight", odds).where((F.col("bad") >= max(6, 0.02 * n_bad)) & (F.col("weight") >= 4) & (F.col("of") <= 1.05 * F.col("bad")))
+    stems_in = ends.withColumn("weight", odds).where((F.col("bad") >= max(6, 0.02 * n_bad)) & (F.col("weight") >= 4) & sure & (F.col("of") <= 1.05 * F.col("bad")))
     stems: list[Term] = []
     for r in stems_in.orderBy(F.length("w"), "w").collect():  # the sample's words / the least count, at most
         if not any(r["w"].startswith(x.text) for x in stems):
