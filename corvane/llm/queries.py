@@ -1,12 +1,13 @@
 """The subpackage's registered queries, and their DuckDB twins where SQL can express them."""
 
-from corvane.llm import decontaminate, jaccard, mixing, pii, quality, token_counts, toxicity, warc
+from corvane.llm import decontaminate, jaccard, mixing, pii, quality, substrings, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_pii": pii.op4_pii,
+    "op5_substrings": substrings.op5_substrings,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
