@@ -25,7 +25,7 @@ from corvane.llm.components import components
 
 SLICE_BYTES = 1 << 20
 #: Groups of the count vectors.
-GROUPS = 64
+GROUPS = 256
 #: Points of a tree's leaf and leaves of an inner box.
 FANOUT = 24
 #: Points of a tree; larger blocks are joined tile by tile.
@@ -119,7 +119,7 @@ def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
             h = np.zeros((2, rows), np.uint64)
             for j, salt in enumerate((0x51ED270B5, 0xD1B54A32D192ED03)):
                 np.add.at(h[j], owner, _words.mix(keys + np.uint64(salt)))
-            counts = np.bincount(owner * GROUPS + (_words.mix(keys) % np.uint64(GROUPS)).astype(np.int64), minlength=rows * GROUPS).astype(np.uint32).reshape(rows, GROUPS)
+            counts = np.bincount(owner * GROUPS + (_words.mix(keys) % np.uint64(GROUPS)).astype(np.int64), minlength=rows * GROUPS).reshape(rows, GROUPS)
             who, sig = _signatures(keys, first, sizes)
             fresh = np.zeros(rows, bool)
             fresh[np.unique(h[0], return_index=True)[1]] = True
@@ -127,13 +127,25 @@ def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
             order = np.argsort(who, kind="stable")
             sigs = pa.ListArray.from_arrays(pa.array(np.searchsorted(who[order], np.arange(rows + 1)).astype(np.int32)), pa.array(sig[order].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), pa.array(n, pa.int64()), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array([x.tobytes() for x in counts], pa.binary()), sigs],
+                [part.column("key"), pa.array(n, pa.int64()), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(map(_packed, counts), pa.binary()), sigs],
                 names=["key", "n", "h1", "h2", "counts", "sigs"],
             )
 
     return docs.mapInArrow(sets, f"key {docs.schema['key'].dataType.simpleString()}, n long, h1 long, h2 long, counts binary, sigs array<long>")
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """A row of group counts for each packed one."""
+    found = np.zeros((len(column), GROUPS), np.int32)
+    for row, packed in zip(found, column.to_pylist(), strict=True):
+        row[:] = np.frombuffer(packed, np.uint16 if len(packed) == 2 * GROUPS else np.uint32)
+    return found
+
+
 def _may_link(shared: np.ndarray, n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
     return 100 * shared >= percent * (n1 + n2 - shared)
 
@@ -178,7 +190,7 @@ def _seek_pairs(members: DataFrame, percent: int) -> DataFrame:
     def join(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         name, n, number = table.column("node").combine_chunks(), table.column("n").to_numpy(), table.column("number").to_numpy()
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+        counts = _unpacked(table.column("counts"))
         chunk = table.column("chunk").to_numpy()
         tile = key[1].as_py()
         across = tile["i"] != tile["j"]  # a tile of two chunks joins across them, a tile of one joins within
@@ -285,8 +297,8 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            x, y = (np.frombuffer(b"".join(part.column(f"counts_{c}").to_pylist()), np.uint32).reshape(-1, GROUPS) for c in "ab")
-            fits = _may_link(np.minimum(x, y).sum(1).astype(np.int64), part.column("n_a").to_numpy(), part.column("n_b").to_numpy(), percent)
+            x, y = (_unpacked(part.column(f"counts_{c}")) for c in "ab")
+            fits = _may_link(np.minimum(x, y).sum(1), part.column("n_a").to_numpy(), part.column("n_b").to_numpy(), percent)
             yield part.select(["a", "b", "h_a", "h_b"]).filter(pa.array(fits))
 
     picked = pairs.select("a", "b", "h_a", "h_b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(bound, f"a {kind}, b {kind}, h_a long, h_b long")
