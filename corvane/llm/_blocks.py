@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corvane.llm import _common, _words
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def in_blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:

@@ -1,6 +1,6 @@
 """The subpackage's registered queries, and their DuckDB twins where SQL can express them."""
 
-from corvane.llm import decontaminate, jaccard, mixing, pii, quality, substrings, token_counts, toxicity, warc
+from corvane.llm import decontaminate, jaccard, language_model, mixing, pii, quality, substrings, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_pii": pii.op4_pii,
     "op5_substrings": substrings.op5_substrings,
+    "op6_language_model": language_model.op6_language_model,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm import _blocks, _common, _words
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Text bytes whose sequences make a bucket of the index, about.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 
 
 class Block:
@@ -85,6 +85,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         block = Block(table, window)
         found: dict[str, list] = {"block": [], "bucket": [], "hashes": [], "ids": [], "counts": []}
         for b, which in enumerate(block.asked(buckets)):
+            if not len(which):
+                continue
             ids, counts = _runs(block.owner[block.leader[which]])
             for name, value in zip(found, (group[0].as_py(), b, block.distinct[which].tobytes(), ids, counts), strict=True):
                 found[name].append(value)
@@ -110,7 +112,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         smaller = np.zeros(len(block.distinct), bool)
         said = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True))
         for b, which in enumerate(block.asked(buckets)):
-            smaller[which] = np.unpackbits(np.frombuffer(said[b], np.uint8), count=len(which)).view(bool)
+            if len(which):
+                smaller[which] = np.unpackbits(np.frombuffer(said[b], np.uint8), count=len(which)).view(bool)
         # found outside in a smaller id than any of the block's, or in a smaller id of the block
         copied = smaller[block.which] | (block.owner > block.owner[block.leader[block.which]])
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": [], "spans": []}
