@@ -107,3 +107,32 @@ def starts_of(words: Words, k: int) -> np.ndarray:
     """Word indexes at which k words of one text begin."""
     left = np.repeat(words.first[1:], words.count) - np.arange(len(words.start))
     return np.flatnonzero(left >= k)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys; for numbers this is faster than numpy's own, which hashes."""
+    keys = np.sort(keys)
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    return keys[fresh]
+
+
+class Places:
+    """The places of keys in a sorted array of distinct ones, by a direct table; the few that share a slot are searched."""
+
+    BITS = 21
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.table = np.zeros(1 << self.BITS, np.int32)
+        self.table[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """All ``keys`` must be there."""
+        at = self.table[self._slot(keys)]
+        other = np.flatnonzero(self.keys[at] != keys)
+        at[other] = np.searchsorted(self.keys, keys[other])
+        return at

@@ -27,6 +27,8 @@ from corvane.llm import _blocks, _common, _words
 SLICE_BYTES = 1 << 20
 #: Text bytes whose words and grams make a bucket of each table, about.
 BUCKET_BYTES = 24 << 20
+#: Code lengths are told in such parts of a decade, rounded, up to 16 decades.
+STEPS = 4095
 #: Bytes of the longest context, from 2 to 7.
 ORDER = 5
 #: A byte that UTF-8 never has: the start and the end of a text.
@@ -128,7 +130,8 @@ class BlockWords:
         self.which = which.astype(np.int32)
         self.text = np.repeat(np.arange(len(self.counts)), self.counts)
         self.data, self.offsets = data, offsets
-        self.grams = np.unique(np.concatenate([np.unique(g) for _, g, _ in self.each_piece()]) if self.pieces else np.zeros(0, np.uint64))
+        self.grams = _words.distinct(np.concatenate([_words.distinct(g) for _, g, _ in self.each_piece()]) if self.pieces else np.zeros(0, np.uint64))
+        self.places = _words.Places(self.grams)
 
     def each_piece(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for lo, hi, _ in self.pieces:
@@ -139,8 +142,7 @@ class BlockWords:
         counts = np.zeros(len(self.grams), np.int64)
         for lo, grams, first in self.each_piece():
             picked = np.repeat(texts[lo : lo + len(first) - 1], np.diff(first))
-            found, n = np.unique(grams[picked], return_counts=True)
-            counts[np.searchsorted(self.grams, found)] += n
+            counts += np.bincount(self.places.of(grams[picked]), minlength=len(counts))
         return counts
 
     def asked(self, buckets: int) -> Iterator[tuple[str, int, np.ndarray]]:
@@ -201,7 +203,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", smooth
         return pa.table(found, pa.schema([("kind", pa.string()), ("block", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     def answer(group: tuple, table: pa.Table) -> pa.Table:
-        """Counts of the words, or log10 probabilities of the grams, in the order asked."""
+        """Counts of the words, or code lengths of the grams, in the order asked."""
         keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
         counts = [np.frombuffer(x, np.int32 if len(x) == 4 * len(k) else np.int64) for x, k in zip(table.column("counts").to_pylist(), keys, strict=True)]
         distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
@@ -209,7 +211,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", smooth
         np.add.at(total, which, np.concatenate(counts))
         ends = np.cumsum([0, *map(len, keys)])
         words = group[0].as_py() == "word"
-        reply = total if words else np.log10(probabilities(distinct, distinct[total > 0], total[total > 0].astype(np.float64), order, bigrams)).astype(np.float32)
+        if words:
+            reply = total
+        else:
+            lengths = -np.log10(probabilities(distinct, distinct[total > 0], total[total > 0].astype(np.float64), order, bigrams))
+            reply = np.minimum(np.rint(lengths * STEPS), 65535).astype(np.uint16)
         told = [reply[which[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
         known, tokens = [0] * len(told), [0] * len(told)
         if words:
@@ -224,18 +230,18 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", smooth
     def score(group: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         block = BlockWords(table.column("text").combine_chunks(), order)
-        counts, logs = np.zeros(len(block.distinct), np.int64), np.zeros(len(block.grams), np.float32)
+        counts, logs = np.zeros(len(block.distinct), np.int64), np.zeros(len(block.grams))
         said = {(k, b): x for k, b, x in zip(*(told.column(c).to_pylist() for c in ("kind", "bucket", "told")), strict=True)}
         for what, b, which in block.asked(buckets):
             if what == "word":
                 counts[which] = np.frombuffer(said[what, b], np.int64)
             else:
-                logs[which] = np.frombuffer(said[what, b], np.float32)
+                logs[which] = np.frombuffer(said[what, b], np.uint16) / -STEPS
         scale = np.log10(total + smooth * (kinds + 1))
         n = len(block.counts)
         base = np.bincount(block.text, weights=np.log10(counts + smooth)[block.which], minlength=n) + np.log10(n_train + smooth) - (block.counts + 1) * scale
         known_words = np.bincount(block.text, weights=(counts > 0)[block.which], minlength=n).astype(np.int64) + int(n_train > 0)
-        ppm = [np.add.reduceat(logs[np.searchsorted(block.grams, grams)].astype(np.float64), first[:-1]) for _, grams, first in block.each_piece()]
+        ppm = [np.add.reduceat(logs[block.places.of(grams)], first[:-1]) for _, grams, first in block.each_piece()]
         return pa.table({"key": table.column("key"), "held_out": table.column("held_out"), "n_tokens": pa.array(block.counts + 1, pa.int64()), "n_known": pa.array(known_words, pa.int64()), "base_score": pa.array(base), "score": pa.array(np.concatenate(ppm) if n else np.zeros(0))})
 
     scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
