@@ -17,7 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import _common
@@ -271,22 +271,35 @@ def _beside(texts: DataFrame, terms: list[Term]) -> DataFrame:
     return texts.mapInArrow(read, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def _features(docs: DataFrame, terms: list[Term], cues: frozenset[str], text: str) -> DataFrame:
-    kept = docs.columns
+def _features(docs: DataFrame, terms: list[Term], cues: frozenset[str], text: str, keep_text: bool = False) -> DataFrame:
+    kept = [c for c in docs.columns if keep_text or c != text]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = reader_of(terms, cues)
         for part in _common.in_slices(batches, text, SLICE_BYTES):
             rows = np.array([reader.features(x or "") for x in part.column(text).to_pylist()]).reshape(-1, len(FEATURES))
-            left = [part.column(c) for c in kept if c != text]
-            yield pa.RecordBatch.from_arrays([*left, *(pa.array(rows[:, j]) for j in range(len(FEATURES)))], [*(c for c in kept if c != text), *FEATURES])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(rows[:, j]) for j in range(len(FEATURES)))], [*kept, *FEATURES])
 
-    schema = docs.drop(text).schema
+    schema = docs.select(kept).schema
     for f in FEATURES:
         schema = schema.add(f, "double")
     return docs.mapInArrow(read, schema)
 
 
+def _score(weights: np.ndarray) -> Column:
+    z = sum((F.lit(float(w)) * F.col(f) for w, f in zip(weights[1:], FEATURES, strict=True)), F.lit(float(weights[0])))
+    return 1 / (1 + F.exp(-z))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below 0.5; texts pass once and are not shuffled."""
+    terms, cues, weights = learn(docs, labels, key, text, label, fit_rows)
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # no name of a column can then clash with a feature's
+    scored = _features(plain, terms, cues, f"c{names.index(text)}", keep_text=True)
+    return scored.where(_score(weights) < 0.5).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
     """(key, held_out, score, predicted) for each row of ``docs``.
 
@@ -297,8 +310,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     """
     terms, cues, weights = learn(docs, labels, key, text, label, fit_rows)
     rows = _features(docs.select(F.col(key).alias("key"), _common.text_or_empty(text).alias("text")), terms, cues, "text")
-    z = sum((F.lit(float(w)) * F.col(f) for w, f in zip(weights[1:], FEATURES, strict=True)), F.lit(float(weights[0])))
-    score = 1 / (1 + F.exp(-z))
+    score = _score(weights)
     held = F.coalesce(F.crc32(F.col("key").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return rows.select(F.col("key").alias(key), held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
