@@ -14,13 +14,14 @@ every class is first held against the least one; blocks whose classes are then n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import _common, _words
+from corvane.llm import _blocks, _common, _words
 from corvane.llm.components import components
 
 SLICE_BYTES = 1 << 20
@@ -30,6 +31,8 @@ GROUPS = 256
 FANOUT = 24
 #: Points of a tree; larger blocks are joined tile by tile.
 TILE = 4096
+#: Signatures that meet in a bucket, about.
+BUCKET = 2_000_000
 #: Bits of the map that picks the texts to verify; a fixed size, more texts only let more through.
 BITS = 1 << 23
 
@@ -104,34 +107,98 @@ def _signatures(keys: np.ndarray, first: np.ndarray, sizes: Sizes) -> tuple[np.n
     return np.concatenate(owners), np.concatenate(found)
 
 
-def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, n, h1, h2, counts, sigs) of each row of ``docs`` (key, text): size, two set hashes, count vector, signatures.
+_SALTS = (0x51ED270B5, 0xD1B54A32D192ED03)
 
-    A set that came before in the same slice has no signatures again.
-    """
+
+def _set_hash(keys: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
+    total = np.zeros(len(first) - 1, np.uint64)
+    np.add.at(total, np.repeat(np.arange(len(first) - 1), np.diff(first)), _words.mix(keys + np.uint64(salt)))
+    return total
+
+
+def describe(docs: DataFrame, k: int) -> DataFrame:
+    """(key, n, h1, h2, counts) of each row of ``docs`` (key, text): size, two set hashes, count vector."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(percent)
         for part in _common.in_slices(batches, "text", SLICE_BYTES):
             keys, first = shingle_sets(part.column("text"), k)
             rows, n = part.num_rows, np.diff(first)
-            owner = np.repeat(np.arange(rows), n)
-            h = np.zeros((2, rows), np.uint64)
-            for j, salt in enumerate((0x51ED270B5, 0xD1B54A32D192ED03)):
-                np.add.at(h[j], owner, _words.mix(keys + np.uint64(salt)))
-            counts = np.bincount(owner * GROUPS + (_words.mix(keys) % np.uint64(GROUPS)).astype(np.int64), minlength=rows * GROUPS).reshape(rows, GROUPS)
-            who, sig = _signatures(keys, first, sizes)
-            fresh = np.zeros(rows, bool)
-            fresh[np.unique(h[0], return_index=True)[1]] = True
-            sig, who = sig[fresh[who]], who[fresh[who]]
-            order = np.argsort(who, kind="stable")
-            sigs = pa.ListArray.from_arrays(pa.array(np.searchsorted(who[order], np.arange(rows + 1)).astype(np.int32)), pa.array(sig[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("key"), pa.array(n, pa.int64()), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(map(_packed, counts), pa.binary()), sigs],
-                names=["key", "n", "h1", "h2", "counts", "sigs"],
-            )
-
-    return docs.mapInArrow(sets, f"key {docs.schema['key'].dataType.simpleString()}, n long, h1 long, h2 long, counts binary, sigs array<long>")
+            h1, h2 = (_set_hash(keys, first, salt).view(np.int64) for salt in _SALTS)
+            group = (_words.mix(keys) % np.uint64(GROUPS)).astype(np.int64)
+            counts = np.bincount(np.repeat(np.arange(rows), n) * GROUPS + group, minlength=rows * GROUPS).reshape(rows, GROUPS)
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(map(_packed, counts), pa.binary())], names=["key", "n", "h1", "h2", "counts"])
+
+    return docs.mapInArrow(sets, f"key {docs.schema['key'].dataType.simpleString()}, n long, h1 long, h2 long, counts binary")
+
+
+def shared_signatures(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+    """(sig, h1, lead): the signatures that differing sets share, their sets, and for each a set to be held against.
+
+    Signatures go to their bucket slice by slice, packed. Where several sets of a slice share one, only the least of
+    them goes there, and leads the others; so a group of very many near copies costs a bucket one entry a slice.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(percent)
+        for part in _common.in_slices(batches, "text", 4 * SLICE_BYTES):
+            keys, first = shingle_sets(part.column("text"), k)
+            h1 = _set_hash(keys, first, _SALTS[0])
+            owner, sig = _signatures(keys, first, sizes)
+            table, which = np.unique(h1, return_inverse=True)
+            owner = which[owner].astype(np.uint32)
+            order = np.lexsort((owner, sig))
+            owner, sig = owner[order], sig[order]
+            fresh = np.ones(len(sig), bool)
+            fresh[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])  # copies within the slice count once
+            owner, sig = owner[fresh], sig[fresh]
+            begin = np.ones(len(sig), bool)
+            begin[1:] = sig[1:] != sig[:-1]
+            run = np.cumsum(begin) - 1
+            lead = owner[np.flatnonzero(begin)]
+            many = np.bincount(run)[run] > 1 if len(run) else begin
+            local = many & ~begin
+            sent = np.flatnonzero(begin)
+            bucket = _blocks.bucket_of(sig[sent], buckets)
+            by = np.lexsort((owner[sent], bucket))  # by owner within a bucket, so that owners pack well
+            sent, bucket = sent[by], bucket[by]
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            out: dict[str, list] = {"bucket": [], "sigs": [], "owners": [], "sets": [], "known": []}
+            for b in range(buckets):
+                at = sent[ends[b] : ends[b + 1]]
+                if len(at):
+                    for name, value in zip(out, (b, sig[at].tobytes(), owner[at].tobytes(), table.tobytes(), b""), strict=True):
+                        out[name].append(value)
+            if local.any():
+                # both the led sets and their leaders are known to share
+                rows = np.stack([sig[local], table[owner[local]], table[lead[run[local]]]])
+                mine = np.flatnonzero(many & begin)
+                rows = np.concatenate([rows, np.stack([sig[mine], table[owner[mine]], table[owner[mine]]])], axis=1)
+                for name, value in zip(out, (int(_words.mix(table[:1])[0] % np.uint64(buckets)), b"", b"", b"", rows.tobytes()), strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[n], pa.binary()) for n in ("sigs", "owners", "sets", "known"))], names=list(out))
+
+    def meet(group: tuple, packed: pa.Table) -> pa.Table:
+        sigs, sets, found = [], [], [np.zeros((3, 0), np.uint64)]
+        for row in zip(*(packed.column(c).to_pylist() for c in ("sigs", "owners", "sets", "known")), strict=True):
+            if row[3]:
+                found.append(np.frombuffer(row[3], np.uint64).reshape(3, -1))
+            else:
+                sigs.append(np.frombuffer(row[0], np.uint64))
+                sets.append(np.frombuffer(row[2], np.uint64)[np.frombuffer(row[1], np.uint32)])
+        if sigs:
+            sig, own = np.concatenate(sigs), np.concatenate(sets)
+            order = np.argsort(sig, kind="stable")
+            sig, own = sig[order], own[order]
+            begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+            if len(sig):
+                size = np.diff(np.append(begin, len(sig)))
+                least, most = (np.repeat(f.reduceat(own, begin), size) for f in (np.minimum, np.maximum))
+                shared = least != most
+                found.append(np.stack([sig[shared], own[shared], least[shared]]))
+        rows = np.concatenate(found, axis=1).view(np.int64)
+        return pa.table({"sig": rows[0], "h1": rows[1], "lead": rows[2]})
+
+    return docs.mapInArrow(pack, "bucket int, sigs binary, owners binary, sets binary, known binary").groupBy("bucket").applyInArrow(meet, "sig long, h1 long, lead long")
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -225,9 +292,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
             batch = batch.filter(pa.array(wanted[batch.column("x").to_numpy()]))
             for part in _common.in_slices(iter([batch]), "text", SLICE_BYTES):
                 keys, first = shingle_sets(part.column("text"), k)
-                h = np.zeros(part.num_rows, np.uint64)
-                np.add.at(h, np.repeat(np.arange(part.num_rows), np.diff(first)), _words.mix(keys + np.uint64(0x51ED270B5)))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(h.view(np.int64)), part.column("text")], names=["key", "h1", "text"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(_set_hash(keys, first, _SALTS[0]).view(np.int64)), part.column("text")], names=["key", "h1", "text"])
 
     texts = docs.withColumn("x", F.pmod(F.xxhash64("key"), F.lit(BITS)).cast("int")).mapInArrow(pick, f"key {kind}, h1 long, text string").join(need, ["key", "h1"]).dropDuplicates(["key", "h1"])
     texts = _common.materialize(texts, "pair-texts")
@@ -259,13 +324,13 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     if not 50 <= percent < 100:
         raise ValueError("percent must be from 50 to 99")
     source = docs.select(F.col(key).alias("key"), _common.text_or_empty(text).alias("text"))
-    rows = _common.materialize(describe(source, shingle, percent), "sets")
+    rows = _common.materialize(describe(source, shingle), "sets")
     usable = rows.where((F.col("n") > 0) & F.col("key").isNotNull())
     classes = _common.materialize(usable.groupBy("n", "h1", "h2").agg(F.min("key").alias("rep"), F.first("counts").alias("counts")), "classes")
 
-    member = usable.select("h1", F.explode("sigs").alias("sig"))
-    shared = member.groupBy("sig").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).where("lead != last")
-    blocks = _common.materialize(member.join(shared, "sig").select("sig", "h1", "lead").distinct(), "blocks")
+    total = usable.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(1, ceil(2 * total * (100 - percent) / percent / BUCKET))
+    blocks = _common.materialize(shared_signatures(source.where(F.col("key").isNotNull()), shingle, percent, buckets), "blocks")
 
     side = lambda c: classes.select(F.col("h1").alias(f"h_{c}"), F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
     star = blocks.where("h1 != lead").select(F.col("lead").alias("h_a"), F.col("h1").alias("h_b")).distinct()
@@ -274,7 +339,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     known = components(links)
 
     # blocks of three or more classes that are not yet in one component; equal blocks count once
-    placed = blocks.join(classes.select("h1", F.col("rep").alias("node"), "n", "counts"), "h1").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = blocks.select("sig", "h1").distinct().join(classes.select("h1", F.col("rep").alias("node"), "n", "counts"), "h1").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("sig").agg(F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("total"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("members > 2 AND c1 != c2")
     open_ = open_.groupBy("members", "total").agg(F.min("sig").alias("sig"))
     tiles = placed.join(open_.select("sig", "members"), "sig").withColumn("chunks", F.ceil(F.col("members") / TILE).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
