@@ -111,14 +111,22 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
     return record, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """One gzip member and where it ends, if it is whole."""
-    inflater = zlib.decompressobj(31)
-    try:
-        out = inflater.decompress(data[at:])
-    except zlib.error:
-        return None
-    return (out, len(data) - len(inflater.unused_data)) if inflater.eof else None
+def _inflate(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What one gzip member gives, and where it ends; None if it breaks off or is damaged after what it gave."""
+    inflater, out, step = zlib.decompressobj(31), [], 1 << 16
+    while at < len(data) and not inflater.eof:
+        part, before = data[at : at + step], inflater.copy()
+        try:
+            out.append(inflater.decompress(part))
+        except zlib.error:
+            for i in range(len(part)):  # up to the very byte that fails
+                try:
+                    out.append(before.decompress(part[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), None
+        at += len(part)
+    return b"".join(out), at - len(inflater.unused_data) if inflater.eof else None
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
@@ -126,17 +134,21 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     at, n, lost, why = 0, len(data), None, ""
     while at < n:
         if data.startswith(_MEMBER, at):
-            whole = _inflate(data, at)
-            inner = list(salvage(whole[0])) if whole else []
+            inflated, end = _inflate(data, at)
+            inner = list(salvage(inflated))
             if any(isinstance(x, Record) for x in inner):
                 if lost is not None:
                     yield Gap(lost, at, why)
                     lost = None
                 for x in inner:
-                    yield Record(at, x.header, x.block) if isinstance(x, Record) else Gap(at, whole[1], f"in a member: {x.reason}")
-                at = whole[1]
-                continue
-            found: tuple[Record, int] | str = "member" if not whole else "member without record"
+                    if isinstance(x, Record):
+                        yield Record(at, x.header, x.block)
+                    elif end is not None:
+                        yield Gap(at, end, f"in a member: {x.reason}")
+                if end is not None:
+                    at = end
+                    continue
+            found: tuple[Record, int] | str = "damaged member" if end is None else "member without record"
         else:
             found = _parse(data, at)
         if not isinstance(found, str):
@@ -154,8 +166,8 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(lost, n, why)
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
-    """Write a record for each row of ``pages`` under ``path``.
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z", file_bytes: int = FILE_BYTES, compression: str = "gzip") -> None:
+    """Write a record for each row of ``pages`` under ``path``; a file is one gzip member, or plain with ``none``.
 
     Among rows with equal payloads of ``least`` bytes or more those with the largest key are responses and the
     others revisits of it; smaller payloads are all responses. Null html is an empty payload. A null key comes
@@ -177,7 +189,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
     mean = rows.agg(F.avg("bytes")).first()[0] or 1.0
-    role.mapInArrow(build, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _CLOSE.decode()).option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 500)))).text(path)
+    role.mapInArrow(build, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _CLOSE.decode()).option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 500)))).option("compression", compression).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
