@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from corvane.functions import fixed
 
-_QUERY = Window.partitionBy("query_id")
 TIER_ONE = ("domestic", "guide")
 DOCUMENT_TYPES = ("domestic", "guide", "scholarship", "timetable", "notice_attachment")
 
 
+def _query() -> Window:
+    return Window.partitionBy("query_id")
+
+
 def _by(score: str, tie: str) -> Window:
-    return _QUERY.orderBy(F.desc(score), tie)
+    return _query().orderBy(F.desc(score), tie)
 
 
 def rerank(rows: DataFrame, top: int, tie: str = "doc_id") -> DataFrame:
@@ -25,7 +28,7 @@ def rerank(rows: DataFrame, top: int, tie: str = "doc_id") -> DataFrame:
     notices, then URLs. From the fourth row on a score below half the best (if that is positive), or below -3, ends
     the list. If no document type is left, the best one with -3 or more takes the last place.
     """
-    size = F.abs(F.max("raw").over(_QUERY))
+    size = F.abs(F.max("raw").over(_query()))
     url = F.col("asks_url") & F.col("has_url")
     bonus = (
         F.when(F.col("doc_type").isin(*TIER_ONE), F.when(url, size * 0.04).otherwise(0.0))
@@ -35,18 +38,18 @@ def rerank(rows: DataFrame, top: int, tie: str = "doc_id") -> DataFrame:
         .otherwise(0.0)
     )
     scored = rows.withColumn("score", F.round(F.col("raw") + bonus, 6)).withColumn("place", F.row_number().over(_by("score", tie)))
-    best = F.max("score").over(_QUERY)
+    best = F.max("score").over(_query())
     floor = F.greatest(F.when(best > 0, best * 0.5).otherwise(F.lit(-1e300)), F.lit(-3.0))
     is_document = F.col("doc_type").isin(*DOCUMENT_TYPES)
     kept = scored.withColumn("kept", (F.col("place") <= top) & ((F.col("place") <= 3) | (F.col("score") >= floor))).withColumn("document", is_document)
-    any_document = F.max(F.col("kept") & F.col("document")).over(_QUERY)
-    n_kept = F.count_if("kept").over(_QUERY)
-    spare = F.min(F.when(F.col("document") & ~F.col("kept") & (F.col("score") >= -3.0), F.col("place"))).over(_QUERY)
+    any_document = F.max(F.col("kept") & F.col("document")).over(_query())
+    n_kept = F.count_if("kept").over(_query())
+    spare = F.min(F.when(F.col("document") & ~F.col("kept") & (F.col("score") >= -3.0), F.col("place"))).over(_query())
     flagged = kept.withColumn("any_document", any_document).withColumn("n_kept", n_kept).withColumn("spare", spare)
     forced = ~F.col("any_document") & (F.col("place") == F.col("spare"))
     dropped = ~F.col("any_document") & F.col("spare").isNotNull() & (F.col("n_kept") >= top) & (F.col("place") == F.col("n_kept"))
     chosen = flagged.where((F.col("kept") & ~dropped) | forced)
-    return chosen.withColumn("rank", F.row_number().over(_QUERY.orderBy("place"))).drop("place", "kept", "document", "any_document", "n_kept", "spare")
+    return chosen.withColumn("rank", F.row_number().over(_query().orderBy("place"))).drop("place", "kept", "document", "any_document", "n_kept", "spare")
 
 
 def near_copies_out(rows: DataFrame, text: str = "text", prefix: int = 100, tie: str = "doc_id") -> DataFrame:
@@ -59,9 +62,9 @@ def knee_cut(rows: DataFrame, least: int = 3, share: float = 0.25, span: float =
     """Rows before the largest fall after ``least`` rows, if it is over ``share`` of a range of ``span`` or more; optional."""
     order = _by("score", tie)
     steps = rows.withColumn("place", F.row_number().over(order)).withColumn("fall", F.lag("score").over(order) - F.col("score"))
-    whole = F.max("score").over(_QUERY) - F.min("score").over(_QUERY)
-    cut = F.max_by(F.col("place"), F.when(F.col("place") > least, F.struct("fall", -F.col("place")))).over(_QUERY)
-    fall = F.max(F.when(F.col("place") > least, F.col("fall"))).over(_QUERY)
+    whole = F.max("score").over(_query()) - F.min("score").over(_query())
+    cut = F.max_by(F.col("place"), F.when(F.col("place") > least, F.struct("fall", -F.col("place")))).over(_query())
+    fall = F.max(F.when(F.col("place") > least, F.col("fall"))).over(_query())
     marked = steps.withColumn("cut", F.when((whole >= span) & (fall > share * whole), cut))
     return marked.where(F.col("cut").isNull() | (F.col("place") < F.col("cut"))).drop("place", "fall", "cut")
 
@@ -91,11 +94,11 @@ def adaptive_cut(rows: DataFrame, ratio: Column | float = 0.70, least: int = 3)
 
     At least ``least`` rows stay after that first one; lists without a positive one are left alone.
     """
-    ref = F.min(F.when(F.col("score") < 1, F.col("rank"))).over(_QUERY)
-    ref_score = F.min_by("score", F.when(F.col("score") < 1, F.col("rank"))).over(_QUERY)
+    ref = F.min(F.when(F.col("score") < 1, F.col("rank"))).over(_query())
+    ref_score = F.min_by("score", F.when(F.col("score") < 1, F.col("rank"))).over(_query())
     marked = rows.withColumn("_ref", ref).withColumn("_score", ref_score)
     low = (F.col("rank") > F.greatest(F.lit(least), F.col("_ref") - 1 + least)) & (F.col("_score") > 0) & (F.col("score") / F.col("_score") < ratio)
-    cut = F.min(F.when(low, F.col("rank"))).over(_QUERY)
+    cut = F.min(F.when(low, F.col("rank"))).over(_query())
     return marked.withColumn("_cut", cut).where(F.col("_cut").isNull() | (F.col("rank") < F.col("_cut"))).drop("_ref", "_score", "_cut")
 
 
@@ -108,7 +111,7 @@ def cross_boost(rows: DataFrame, factor: float = 1.2, tie: str = "doc_key") -> D
 
 def in_order(rows: DataFrame, *keys: Column) -> DataFrame:
     """Ranked anew by ``keys``, otherwise in the order there is (as for FAQ promotion and focus)."""
-    return rows.withColumn("rank", F.row_number().over(_QUERY.orderBy(*keys, "rank")))
+    return rows.withColumn("rank", F.row_number().over(_query().orderBy(*keys, "rank")))
 
 
 def select_context(rows: DataFrame, budget_tokens: Column, text: str = "text", chars_per_token: float = 1.5) -> DataFrame:
