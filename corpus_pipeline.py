@@ -51,8 +51,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes words of, with taken: these words, repeats counted (of all rows with the id)."""
-    taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.sum("taken").alias("taken"))
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.sum("taken").alias("_mixed"))
+    mixed = docs.drop("taken", "_mixed", "_mixed_id").join(taken, F.col("doc_id").eqNullSafe(F.col("_mixed_id")))
+    return mixed.drop("_mixed_id").withColumnRenamed("_mixed", "taken")
 
 
 STAGES: list[tuple[str, Stage]] = [

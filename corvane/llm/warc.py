@@ -5,7 +5,7 @@ WARC record, so archives land in any store that Spark writes to, a bounded numbe
 
 Reading: files come through Spark's binaryFile source. A record is accepted when its version line, header, length,
 closing line ends and payload digest hold. After a failed check the reader looks for the next gzip member that
-opens or the next version line at the start of a line, goes on from there, and logs the bytes in between.
+opens or the next version line (what is lost may have ended within a line), goes on from there, and logs the bytes in between.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ FILE_BYTES = 8 << 20
 SLICE_BYTES = 4 << 20
 _CLOSE = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_NEXT = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r\n|\x1f\x8b\x08")
+_NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _MEMBER = b"\x1f\x8b\x08"
 #: A header of more bytes than this is taken for damage.
 MOST_HEADER = 1 << 16
@@ -96,7 +96,10 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
         name, colon, value = line.partition(b":")
         if not colon:
             return "bad header line"
-        header[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        field = name.decode("utf-8", "replace").strip().lower()
+        if field in header and field != "warc-concurrent-to":  # the only field that may be repeated; two headers run together
+            return "repeated header field"
+        header[field] = value.decode("utf-8", "replace").strip()
     length = header.get("content-length", "")
     if not re.fullmatch("[0-9]{1,18}", length):
         return "no length"
@@ -135,6 +138,9 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     while at < n:
         if data.startswith(_MEMBER, at):
             inflated, end = _inflate(data, at)
+            if end is not None and not inflated and lost is None:  # a sound member that holds nothing
+                at = end
+                continue
             inner = list(salvage(inflated))
             if any(isinstance(x, Record) for x in inner):
                 if lost is not None:
