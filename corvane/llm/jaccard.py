@@ -32,7 +32,7 @@ FANOUT = 24
 #: Points of a tree; larger blocks are joined tile by tile.
 TILE = 4096
 #: Signatures that meet in a bucket, about.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 #: Bits of the map that picks the texts to verify; a fixed size, more texts only let more through.
 BITS = 1 << 23
 

@@ -29,8 +29,10 @@ FIT_ROWS = 10_000
 EDITS = ((10, 2), (5, 1), (0, 0))
 #: Words before and after a hit that make its context.
 CONTEXT = 6
-#: Transitions that a worker remembers before it starts anew.
-REMEMBERED = 2_000_000
+#: Size of the automaton at which a worker starts it anew.
+REMEMBERED = 500_000
+#: Tokens that a worker remembers before it starts anew.
+KNOWN = 200_000
 _TOKEN = re.compile(r"[^\W_]+")
 _QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’"}
 _QUOTED = re.compile('"[^"\n]{1,300}"|“[^”\n]{1,300}”|„[^“\n]{1,300}“|«[^»\n]{1,300}»')
@@ -156,7 +158,7 @@ class Reader:
         text = text.lower()
         tokens = _TOKEN.findall(text)
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > KNOWN:
             known.clear()
         distinct = set(tokens)
         for t in distinct:
