@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that holds texts, about (a longer row is a batch of its own).
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -59,6 +62,14 @@ def release() -> None:
 atexit.register(release)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``BATCH_BYTES``: rows with long texts then need no large buffers."""
+    spark = df.sparkSession
+    if int(spark.conf.get(_BATCH_BYTES, str(1 << 30)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+    return df
+
+
 def text_or_empty(column: str) -> "F.Column":
     return F.coalesce(F.col(column), F.lit("")).alias(column)
 

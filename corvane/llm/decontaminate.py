@@ -93,7 +93,7 @@ def stretches(docs: DataFrame, key: str, text: str, bitmaps: dict[int, tuple[np.
 
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("key"), _common.text_or_empty(text).alias("text"))
-    return source.mapInArrow(pick, f"key {kind}, n_words long, found {_STRETCHES}").withColumn("row", F.monotonically_increasing_id())
+    return _common.bounded(source).mapInArrow(pick, f"key {kind}, n_words long, found {_STRETCHES}").withColumn("row", F.monotonically_increasing_id())
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 5) -> DataFrame:

@@ -128,7 +128,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
             counts = np.bincount(np.repeat(np.arange(rows), n) * GROUPS + group, minlength=rows * GROUPS).reshape(rows, GROUPS)
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(map(_packed, counts), pa.binary())], names=["key", "n", "h1", "h2", "counts"])
 
-    return docs.mapInArrow(sets, f"key {docs.schema['key'].dataType.simpleString()}, n long, h1 long, h2 long, counts binary")
+    return _common.bounded(docs).mapInArrow(sets, f"key {docs.schema['key'].dataType.simpleString()}, n long, h1 long, h2 long, counts binary")
 
 
 def shared_signatures(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
@@ -198,7 +198,7 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, buckets: int) -> Da
         rows = np.concatenate(found, axis=1).view(np.int64)
         return pa.table({"sig": rows[0], "h1": rows[1], "lead": rows[2]})
 
-    return docs.mapInArrow(pack, "bucket int, sigs binary, owners binary, sets binary, known binary").groupBy("bucket").applyInArrow(meet, "sig long, h1 long, lead long")
+    return _common.bounded(docs).mapInArrow(pack, "bucket int, sigs binary, owners binary, sets binary, known binary").groupBy("bucket").applyInArrow(meet, "sig long, h1 long, lead long")
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -294,7 +294,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 keys, first = shingle_sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(_set_hash(keys, first, _SALTS[0]).view(np.int64)), part.column("text")], names=["key", "h1", "text"])
 
-    texts = docs.withColumn("x", F.pmod(F.xxhash64("key"), F.lit(BITS)).cast("int")).mapInArrow(pick, f"key {kind}, h1 long, text string").join(need, ["key", "h1"]).dropDuplicates(["key", "h1"])
+    texts = _common.bounded(docs).withColumn("x", F.pmod(F.xxhash64("key"), F.lit(BITS)).cast("int")).mapInArrow(pick, f"key {kind}, h1 long, text string").join(need, ["key", "h1"]).dropDuplicates(["key", "h1"])
     texts = _common.materialize(texts, "pair-texts")
     side = lambda c: texts.select(F.col("key").alias(c), F.col("h1").alias(f"h_{c}"), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("b"), ["b", "h_b"]).join(side("a"), ["a", "h_a"]).select("a", "b", "text_a", "text_b")
@@ -309,7 +309,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 links.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
             yield part.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
-    return both.mapInArrow(judge, f"a {kind}, b {kind}")
+    return _common.bounded(both).mapInArrow(judge, f"a {kind}, b {kind}")
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

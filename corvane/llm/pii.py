@@ -160,7 +160,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, _SPANS) for x in as_rows)], [*kept, "base", "spans"])
 
     kind = "array<struct<kind: string, start: long, end: long>>"
-    return docs.mapInArrow(spans, docs.select("*", F.lit(None).cast(kind).alias("base"), F.lit(None).cast(kind).alias("spans")).schema)
+    return _common.bounded(docs).mapInArrow(spans, docs.select("*", F.lit(None).cast(kind).alias("base"), F.lit(None).cast(kind).alias("spans")).schema)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -183,7 +183,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             new = pa.array([x if x is None else masked(x) for x in part.column(text).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(part.columns)], kept)
 
-    return docs.mapInArrow(mask, docs.schema)
+    return _common.bounded(docs).mapInArrow(mask, docs.schema)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

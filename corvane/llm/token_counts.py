@@ -94,7 +94,7 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", into: str = "n
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(counter(texts), pa.int64())], [*kept, into])
 
     schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add(into, "long")
-    return docs.mapInArrow(lengths, schema)
+    return _common.bounded(docs).mapInArrow(lengths, schema)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

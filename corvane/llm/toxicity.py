@@ -285,7 +285,7 @@ def _features(docs: DataFrame, terms: list[Term], cues: frozenset[str], text: st
     schema = docs.select(kept).schema
     for f in FEATURES:
         schema = schema.add(f, "double")
-    return docs.mapInArrow(read, schema)
+    return _common.bounded(docs).mapInArrow(read, schema)
 
 
 def _score(weights: np.ndarray) -> Column:
