@@ -12,12 +12,12 @@ def _lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 
 
-def by_term(courses: DataFrame, *who: str) -> DataFrame:
+def by_term(courses: DataFrame, *who: str, digits: int = 2) -> DataFrame:
     """Credits, courses and credit-weighted grade average of each term; the average is null without grades that count."""
     point = F.when(F.col("credits") > 0, _lookup(fixed.GRADE_POINTS, F.col("grade")))
     graded = F.sum(F.when(point.isNotNull(), F.col("credits")))
     rows = courses.where("term IS NOT NULL AND term != ''")
-    return rows.groupBy(*who, "term").agg(F.round(F.sum("credits"), 1).alias("credits"), F.count("*").alias("courses"), F.round(F.sum(point * F.col("credits")) / graded, 2).alias("gpa"))
+    return rows.groupBy(*who, "term").agg(F.round(F.sum("credits"), 1).alias("credits"), F.count("*").alias("courses"), F.round(F.sum(point * F.col("credits")) / graded, digits).alias("gpa"))
 
 
 def grades(courses: DataFrame, *who: str) -> DataFrame:
