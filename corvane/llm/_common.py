@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _written: list[tuple[SparkSession, str]] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -38,7 +41,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _path_of[table] = path
+    return table
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -48,13 +53,30 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again, and shuffle files of jobs whose results are written.
+
+    Spark's cleaner drops those files once the driver's garbage is collected, which by itself may not happen for long.
+    """
+    for table in tables:
+        if path := _path_of.pop(table, None):
+            _delete(spark, path)
+            _written[:] = [x for x in _written if x[1] != path]
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release() -> None:
     """Delete every intermediate table written so far; call it once the results that read them are stored."""
     while _written:
         spark, path = _written.pop()
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone at interpreter exit
             return
 

@@ -309,7 +309,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 links.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
             yield part.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
-    return _common.bounded(both).mapInArrow(judge, f"a {kind}, b {kind}")
+    links = _common.materialize(_common.bounded(both).mapInArrow(judge, f"a {kind}, b {kind}"), "links")
+    _common.discard(docs.sparkSession, pairs, texts)
+    return links
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -331,11 +333,12 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     total = usable.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, ceil(2 * total * (100 - percent) / percent / BUCKET))
     blocks = _common.materialize(shared_signatures(source.where(F.col("key").isNotNull()), shingle, percent, buckets), "blocks")
+    _common.discard(docs.sparkSession)
 
     side = lambda c: classes.select(F.col("h1").alias(f"h_{c}"), F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
     star = blocks.where("h1 != lead").select(F.col("lead").alias("h_a"), F.col("h1").alias("h_b")).distinct()
     first = _bounded(star.join(side("a"), "h_a").join(side("b"), "h_b").where("a != b"), percent)
-    links = _common.materialize(_verify(first, source, shingle, percent), "links")
+    links = _verify(first, source, shingle, percent)
     known = components(links)
 
     # blocks of three or more classes that are not yet in one component; equal blocks count once
@@ -349,6 +352,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     more = _seek_pairs(tiles, percent).join(seen, ["a", "b"], "left_anti")
     named = lambda c: classes.select(F.col("rep").alias(c), F.col("h1").alias(f"h_{c}"))
     second = _verify(more.join(named("a"), "a").join(named("b"), "b").select("a", "b", "h_a", "h_b"), source, shingle, percent)
+    _common.discard(docs.sparkSession, blocks, first)
     found = components(links.unionByName(second))
 
     of_row = rows.select("key", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
