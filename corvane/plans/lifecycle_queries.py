@@ -15,7 +15,7 @@ from corvane.session import table
 
 @query(
     "CHK01_fixed_windows",
-    rf"SELECT doc_id, pos, md5(chunk) AS digest FROM (SELECT doc_id, (at / {chunking.SIZE - chunking.OVERLAP})::INT AS pos, substr(text, at + 1, {chunking.SIZE}) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), {chunking.SIZE - chunking.OVERLAP})) AS at FROM documents)) WHERE regexp_replace(chunk, '[\s]', '', 'g') != ''",
+    rf"SELECT doc_id, pos, md5(chunk) AS digest FROM (SELECT doc_id, (b / {chunking.SIZE - chunking.OVERLAP})::INT AS pos, substr(text, b + 1, {chunking.SIZE}) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), {chunking.SIZE - chunking.OVERLAP})) AS b FROM documents)) WHERE regexp_replace(chunk, '[\s]', '', 'g') != ''",
 )
 def fixed_windows(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.fixed_windows(table(spark, sf, "documents")).select("doc_id", "pos", F.md5("chunk").alias("digest"))
