@@ -27,6 +27,8 @@ SLICE_BYTES = 4 << 20
 FIT_ROWS = 10_000
 #: Edits allowed to terms of at least so many characters.
 EDITS = ((10, 2), (5, 1), (0, 0))
+#: The same for tokens of letters and digits, which are seldom a neighbouring word.
+MIXED_EDITS = ((10, 2), (4, 1), (0, 0))
 #: Words before and after a hit that make its context.
 CONTEXT = 6
 #: Size of the automaton at which a worker starts it anew.
@@ -47,8 +49,8 @@ class Term(NamedTuple):
     stem: bool
 
 
-def edits_for(term: Term) -> int:
-    return 0 if term.stem else next(e for n, e in EDITS if len(term.text) >= n)
+def edits_for(term: Term, edits: tuple = EDITS) -> int:
+    return 0 if term.stem else next(e for n, e in edits if len(term.text) >= n)
 
 
 class Automaton:
@@ -57,7 +59,8 @@ class Automaton:
     A state is a set of (trie node, edits spent) and the best stem read so far.
     """
 
-    def __init__(self, terms: list[Term]) -> None:
+    def __init__(self, terms: list[Term], edits: tuple = EDITS) -> None:
+        self.allowed = [edits_for(term, edits) for term in terms]
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[tuple[int, int]] = [(-1, -1)]  # (term, stem) that end at a node
         self.most = [0]  # edits that some term below allows
@@ -74,7 +77,7 @@ class Automaton:
                 path.append(node)
             self.ends[node] = (self.ends[node][0], i) if term.stem else (i, self.ends[node][1])
             for x in path:
-                self.most[x] = max(self.most[x], edits_for(term))
+                self.most[x] = max(self.most[x], self.allowed[i])
         self.reset()
 
     def reset(self) -> None:
@@ -101,7 +104,7 @@ class Automaton:
             self.ids[key] = len(self.states)
             self.states.append((nodes, stem))
             self.step.append({})
-            found = [(e, -self.terms[t].weight, t) for node, e in nodes.items() if (t := self.ends[node][0]) >= 0 and e <= edits_for(self.terms[t])]
+            found = [(e, -self.terms[t].weight, t) for node, e in nodes.items() if (t := self.ends[node][0]) >= 0 and e <= self.allowed[t]]
             self.verdict.append((min(found)[2], min(found)[0]) if found else (stem, -1) if stem >= 0 else None)
             self.size += len(nodes)
         return self.ids[key]
@@ -145,12 +148,18 @@ class Reader:
 
     def __init__(self, terms: list[Term], cues: frozenset[str]) -> None:
         self.automaton, self.terms, self.cues = Automaton(terms), terms, cues
+        self.mixed: Automaton | None = None  # of tokens of letters and digits, once there is one
         self.known: dict[str, tuple[int, int] | None] = {}
 
     def token(self, token: str) -> tuple[int, int] | None:
-        found = self.automaton.read(token)
-        if not token.isalpha() and (plain := token.translate(_LEET)) != token and (other := self.automaton.read(plain)) and other[1] >= 0:
-            found = (other[0], max(1, other[1])) if not found or found[1] < 0 else found
+        if token.isalpha() or token.isdigit():
+            automaton = self.automaton
+        else:
+            automaton = self.mixed = self.mixed or Automaton(self.terms, MIXED_EDITS)
+        found = automaton.read(token)
+        if not token.isalpha() and (plain := token.translate(_LEET)) != token and (other := automaton.read(plain)):
+            if not found or found[1] < 0 <= other[1]:
+                found = (other[0], max(1, other[1]) if other[1] >= 0 else -1)
         return found
 
     def hits(self, text: str) -> list[tuple[int, int, int, int, bool]]:
@@ -246,9 +255,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     for r in stems_in.orderBy(F.length("w"), "w").collect():  # the sample's words / the least count, at most
         if not any(r["w"].startswith(x.text) for x in stems):
             stems.append(Term(r["w"], float(r["weight"]), True))
-    # a word that begins with a stem is found by the stem
-    found = [Term(r["w"], float(r["weight"]), False) for r in words_in.orderBy("w").collect()]  # bounded alike
-    terms = [t for t in found if not t.text.startswith(tuple(x.text for x in stems))] + stems
+    # words stay beside the stems they begin with: a stem allows no edits, its words do
+    terms = [Term(r["w"], float(r["weight"]), False) for r in words_in.orderBy("w").collect()] + stems  # bounded alike
     # words that go with hits in clean texts mark reported speech
     beside = _beside(texts.where("y = 0").select("text"), terms)
     hits = beside.where("w = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

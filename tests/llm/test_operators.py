@@ -363,3 +363,26 @@ def test_levenshtein_automaton():
         assert (found is None) == (not fits)
         if found:
             assert fits[terms[found[0]].text] == min(fits.values()) == found[1]
+
+
+def test_toxicity_misspelt_words_of_stems(spark):
+    rng = random.Random(5)
+    plain = lambda: " ".join("".join(rng.choice("abcdeilmnorstu") for _ in range(6)) for _ in range(15))
+    words = ["zorbigakian", "zorbigatude", "zorbigament"]
+    rows = [(i, f"{plain()} {words[i % 3]} {plain()}" if i % 4 == 0 else plain(), int(i % 4 == 0)) for i in range(480)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    terms, cues, _ = toxicity.learn(df, df)
+    stem = next(t.text for t in terms if t.stem and "zorbigakian".startswith(t.text))
+    assert {t.text for t in terms if not t.stem} >= set(words)
+    reader = toxicity.Reader(terms, cues)
+    for token in ("zrbigakian", "zoorbigatude", "zobrigament"):  # dropped, doubled, swapped within the stem
+        assert not token.startswith(stem) and reader.token(token) is not None, token
+    assert reader.token("zorbigakian")[1] == 0
+
+
+def test_toxicity_digits():
+    reader = toxicity.Reader([toxicity.Term("nildos", 1.0, True), toxicity.Term("grob", 1.0, False)], frozenset())
+    assert reader.token("n1ld0saner") == (0, -1)  # a stem's hit of the reading with letters
+    assert reader.token("gr0b") == (1, 1)
+    assert reader.token("gr4b") == (1, 1)  # one edit in four letters, as there is a digit
+    assert reader.token("grab") is None and reader.token("2019") is None
