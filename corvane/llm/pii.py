@@ -53,9 +53,23 @@ _DOT = r"[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]"
 _BRACKETED = re.compile(rf"(?i)\s?(?:(?P<at>{_AT})|{_DOT})\s?")
 #: Bare words count as signs only together: name at host dot tld.
 _WORDY = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)*\s*(?:\s+at\s+|@)\s*[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*")
+#: A bare "at" before a plain host counts if the word before it isn't one of prose.
+_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9._%+-]*[A-Za-z0-9])\s+at\s+(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
+# Words that stand before "at" and a web site.
+_PROSE = frozenset(
+    "me us you him her them it we i he she they look looks looked looking visit visited see seen find found available here there live lives online"
+    " site website page pages blog store shop home hosted host posted published register registered sign signup join read more info information"
+    " details detail contact order ordered buy bought download downloads downloaded check is are was were be being been and or but not now only also"
+    " out up down back over start starts started starting arrive arrived located location based work works worked working employee engineer developer"
+    " developers ceo founder editor team staff people customers users support service services help again today tomorrow directly free guide article"
+    " story post link links listed list document documents documentation docs code source sources project video videos photos images news report"
+    " reports data study map login account accounts click go going get getting meet met stay sold sale prices price products product tickets apply"
+    " course courses jobs job career careers forum question questions try tool tools update updated version that this these those one all any best"
+    " first last yourself themselves mail email e-mail write".split()
+)
 _NUMBERY = re.compile(r"(?i)(?<![0-9.])[0-9]{1,3}(?:(?:\s+dot\s+|\.)[0-9]{1,3}){3}(?![0-9])")
 _SIGN = re.compile(r"(?i)\s+(at|dot)\s+")
-_DOT_CUE = re.compile(r"(?i)\sdot\s")
+_SIGN_CUE = re.compile(r"(?i)\sdot\s|\sat\s+[a-z0-9.-]+\.[a-z]{2}")
 
 
 def luhn(digits: str) -> bool:
@@ -111,20 +125,25 @@ def _signs(m: re.Match) -> str:
     return _SIGN.sub(lambda s: "@" if s[1].lower() == "at" else ".", m[0])
 
 
+def _bare(m: re.Match) -> str:
+    name = m["name"].lower()
+    return m[0] if name in _PROSE or not any(c.isalpha() for c in name) else _signs(m)
+
+
 def _digits(m: re.Match) -> str:
     return "".join("+" if t.lower() == "plus" else str(DIGITS.get(t.lower(), t if t.isdigit() else "")) for t in _TOKEN.findall(m[0]))
 
 
 def disguised(text: str) -> list[tuple[int, int, int]]:
     """Identifiers that only show after rewriting, as source ranges (their disguise included)."""
-    odd, brackets, words, spelled = _ODD.search(text), _BRACKETED.search(text), _DOT_CUE.search(text), _SPELLED_CUE.search(text)
+    odd, brackets, words, spelled = _ODD.search(text), _BRACKETED.search(text), _SIGN_CUE.search(text), _SPELLED_CUE.search(text)
     if not (odd or brackets or words or spelled):
         return []
     tape = Tape(text)
     if odd:
         tape.rewrite(_HIDDEN, lambda m: "")
         tape.rewrite(_ODD, lambda m: LOOKALIKE[m[0]])
-    for pattern, to in ((_SPELLED, _digits), (_BRACKETED, lambda m: "@" if m["at"] else "."), (_WORDY, _signs), (_NUMBERY, _signs)):
+    for pattern, to in ((_SPELLED, _digits), (_BRACKETED, lambda m: "@" if m["at"] else "."), (_WORDY, _signs), (_BARE, _bare), (_NUMBERY, _signs)):
         tape.rewrite(pattern, to)
     found = []
     for kind, lo, hi in detect(tape.text):
@@ -134,9 +153,12 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The identifiers as written, and all with the disguised ones that overlap none of their kind."""
+    """The identifiers as written, and all with the disguised ones that aren't within one of their kind.
+
+    A disguised identifier of which a part looks plain is longer than the base span in it; both are given.
+    """
     base = detect(text)
-    more = [x for x in disguised(text) if not any(x[0] == k and x[1] < e and s < x[2] for k, s, e in base)]
+    more = [x for x in disguised(text) if not any(x[0] == k and s <= x[1] and x[2] <= e for k, s, e in base)]
     return base, sorted({*base, *more})
 
 
@@ -172,7 +194,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         for kind, start, end in sorted(scan(value)[1], key=lambda x: (x[1], -x[2])):
             if start >= last:
                 out += [value[last:start], f"<{KINDS[kind]}>"]
-            else:  # overlaps an identifier of another kind; both go
+            else:  # overlaps another identifier; both go
                 start = last
             last = max(last, end)
         return "".join([*out, value[last:]])

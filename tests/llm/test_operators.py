@@ -386,3 +386,26 @@ def test_toxicity_digits():
     assert reader.token("gr0b") == (1, 1)
     assert reader.token("gr4b") == (1, 1)  # one edit in four letters, as there is a digit
     assert reader.token("grab") is None and reader.token("2019") is None
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("to jоhn@example.com now", "email", "jоhn@example.com"),  # a Cyrillic letter in the local part
+        ("to joe@sub.example [dot] com now", "email", "joe@sub.example [dot] com"),
+        ("to joe@sub.example dot com now", "email", "joe@sub.example dot com"),
+        ("host 1\u200b92.168.1.20 up", "ip", "1\u200b92.168.1.20"),
+        ("to jane at example.com now", "email", "jane at example.com"),
+        ("to jane.doe at mail.example [dot] com now", "email", "jane.doe at mail.example [dot] com"),
+    ],
+)
+def test_pii_partly_disguised(spark, text, kind, part):
+    base, spans = pii.scan(text)
+    assert set(base) <= set(spans)
+    assert [(pii.KINDS[k], text[s:e]) for k, s, e in spans if (k, s, e) not in base] == [(kind, part)]
+    assert pii.redact(spark.createDataFrame([(text,)], "text string")).first()[0] == text.replace(part, f"<{kind}>")
+
+
+@pytest.mark.parametrize("text", ["visit us at example.com today", "more is available at www.example.com", "see it at example.com.", "at 10 at example.com"])
+def test_pii_leaves_sites_alone(text):
+    assert pii.scan(text) == ([], [])
