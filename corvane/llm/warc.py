@@ -31,8 +31,6 @@ _CLOSE = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _MEMBER = b"\x1f\x8b\x08"
-#: A header of more bytes than this is taken for damage.
-MOST_HEADER = 1 << 16
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public URL name space
 
 
@@ -88,22 +86,23 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
     """The record that begins at ``at`` and where it ends; or why there is none."""
     if not _VERSION.match(data, at):
         return "no version line"
-    stop = data.find(_CLOSE, at, at + MOST_HEADER)
-    if stop < 0:
-        return "no end of header"
     header: dict[str, str] = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    line = data.index(b"\r\n", at) + 2
+    while (end := data.find(b"\r\n", line)) != line:  # as long as lines look like fields, however long they are
+        if end < 0:
+            return "no end of header"
+        name, colon, value = data[line:end].partition(b":")
         if not colon:
             return "bad header line"
         field = name.decode("utf-8", "replace").strip().lower()
         if field in header and field != "warc-concurrent-to":  # the only field that may be repeated; two headers run together
             return "repeated header field"
         header[field] = value.decode("utf-8", "replace").strip()
+        line = end + 2
     length = header.get("content-length", "")
     if not re.fullmatch("[0-9]{1,18}", length):
         return "no length"
-    begin = stop + 4
+    begin = line + 2
     end = begin + int(length)
     if data[end : end + 4] != _CLOSE:
         return "cut short" if end + 4 > len(data) else "no end of record"
@@ -184,7 +183,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     # only digests are grouped, and summed up before they move; a digest of very many pages is one row of ``last``
     last = rows.where(F.col("bytes") >= least).groupBy("sha", "bytes").agg(F.max("id").alias("last"))
     joined = rows.join(last, ["sha", "bytes"], "left")
-    role = joined.select("id", "url", "payload", F.when(F.col("last") > F.coalesce(F.col("id"), F.col("last") - 1), F.col("last")).alias("refers_to"))
+    role = joined.select("id", "url", "payload", F.when(F.col("last").isNotNull() & (F.col("id").isNull() | (F.col("last") > F.col("id"))), F.col("last")).alias("refers_to"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +207,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        number = lambda x: int(x) if x is not None and re.fullmatch("-?[0-9]{1,18}", x) else None
+        number = lambda x: int(x) if re.fullmatch("-?[0-9]{1,19}", x or "") and -(1 << 63) <= int(x) < 1 << 63 else None
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, held, file = [], 0, batch.column("path")[i].as_py()
@@ -230,7 +229,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(read, "file string, at long, until long, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary, gap string")
 
 
+def undamaged(found: DataFrame) -> DataFrame:
+    """The rows of ``read_archives``; a gap among them fails the query, so that no record is lost unseen."""
+    says = F.concat_ws(" ", F.lit("gap in an archive:"), "gap", F.lit("at"), "at", F.lit("of"), "file")
+    return found.where(F.when(F.col("gap").isNull(), True).otherwise(F.raise_error(says).cast("boolean")))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _common.new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_archives(spark, path).where("gap IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return undamaged(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

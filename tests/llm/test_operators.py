@@ -409,3 +409,17 @@ def test_pii_partly_disguised(spark, text, kind, part):
 @pytest.mark.parametrize("text", ["visit us at example.com today", "more is available at www.example.com", "see it at example.com.", "at 10 at example.com"])
 def test_pii_leaves_sites_alone(text):
     assert pii.scan(text) == ([], [])
+
+
+def test_warc_long_urls_and_large_ids(spark, tmp_path):
+    top, low = 2**63 - 1, -(2**63)
+    rows = [(top, "http://x/" + "u" * 100_000, "long"), (10**18, "http://x/WARC/1.1", "same"), (top - 1, "u", "same"), (low, "u", "alone"), (None, "u", "alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for compression in ("gzip", "none"):
+        path = str(tmp_path / compression)
+        warc.write_archives(pages, path, compression=compression)
+        found = warc.undamaged(warc.read_archives(spark, path)).select("page_id", "record_type", "refers_to").collect()
+        same(found, [(top, "response", None), (10**18, "revisit", top - 1), (top - 1, "response", None), (low, "response", None), (None, "revisit", low)])
+    hurt = spark.createDataFrame([("f", 3, "digest")], "file string, at long, gap string")
+    with pytest.raises(Exception, match="gap in an archive: digest at 3 of f"):
+        warc.undamaged(hurt).collect()
