@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,12 +59,17 @@ def cosine(a: Column, b: Column) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, top: int, key: str = "vec_id", query_rows: int = 10_000) -> DataFrame:
     """(query_id, key, score, rank): exact cosine search of queries (query_id, vector) among vectors (key, embedding).
 
-    The queries are the side that is sent to all tasks, so their number is checked; more go in several calls.
+    The queries are the side that is sent to all tasks: beyond ``query_rows`` they go in blocks of about so many, by a
+    hash of query_id, each ranked by itself.
     """
-    if queries.limit(query_rows + 1).count() > query_rows:
-        raise ValueError(f"more than {query_rows} queries; search them in parts")
-    pairs = vectors.crossJoin(F.broadcast(queries))
-    return ranked(pairs.select("query_id", key, F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("score")), top, tie=key)
+    blocks = -(-queries.count() // query_rows)
+    parts = [queries] if blocks <= 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+
+    def search(part: DataFrame) -> DataFrame:
+        pairs = vectors.crossJoin(F.broadcast(part))
+        return ranked(pairs.select("query_id", key, F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("score")), top, tie=key)
+
+    return reduce(DataFrame.unionByName, map(search, parts))
 
 
 def metadata_filter(year: Column, doc_types: Column, semester: Column) -> Column:

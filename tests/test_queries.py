@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import corvane.plans.all  # noqa: F401
-from corvane.operators import chunking
+from corvane.operators import chunking, index
 from corvane.registry import ORACLE, QUERIES
 from tests.compare import differences
 
@@ -35,3 +35,10 @@ def test_packed_paragraphs():
     chunks = chunking.packed_paragraphs("\n\n".join(paragraphs))
     assert all(any(p.strip()[: chunking.SIZE] in c for c in chunks) for p in paragraphs)
     assert chunking.packed_paragraphs("") == []
+
+
+def test_dense_in_query_blocks(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    queries = e.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    whole, parts = (sorted(map(tuple, index.dense(e, queries, 5, query_rows=n).collect())) for n in (10_000, max(1, queries.count() // 3)))
+    assert len(whole) == 5 * queries.count() and whole == parts
