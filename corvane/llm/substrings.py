@@ -1,11 +1,9 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against every block of the corpus.
+"""Substring deduplication by hashes of word windows, in place of a relative Lempel-Ziv parse.
 
-Documents are dealt into reference blocks. Each block indexes the sequences of ``window`` words that start in its
-documents, with the least id they start in, and each document is factored against all blocks: a factor begins at the
-first words not yet parsed that some block has in a smaller document, and goes on word by word as long as the
-last ``window`` words are again found so, in that block or another. The sequences across the boundary of two
-factors are thereby looked up too, so no duplicate is lost where a parse changes its reference; runs shorter than
-``window`` words are literals. All words of factors are duplicates.
+Documents are dealt into blocks. Each block looks up the sequences of ``window`` words that start in its documents,
+with the least id they start in, in buckets over all blocks; a sequence that starts in a smaller document too is a
+copy, and all words of copies are duplicates. There are no factors with a reference document and position: runs of
+removed words are given, in which neighbouring copies from different documents are one.
 
 A block asks about each distinct sequence once, so a passage that very many documents share costs a bucket of the
 index one entry a block. The index goes by 64-bit hashes of the sequences.
@@ -73,7 +71,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """(key, n_words, n_removed, kept, spans) for each row of ``docs``; key is an integer.
 
     A word is removed if ``window`` consecutive words with it in them also start in a document with a smaller key,
-    judged on the input. kept: the other words joined by one space. spans: the factors as (at, size) in words.
+    judged on the input. kept: the other words joined by one space. spans: the runs of removed words as (at, size).
     Null and empty texts have no words. Rows repeated with one key don't remove each other's words, and get a result
     each. A null key counts as larger than any other. Other columns are ignored; an empty table gives an empty result.
     """
