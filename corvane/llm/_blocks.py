@@ -29,3 +29,9 @@ def in_blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYT
 def bucket_of(hashed: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of each hash, by bits that the hash's order doesn't use."""
     return (_words.mix(hashed + np.uint64(0x632BE59BD9B4E019)) % np.uint64(buckets)).astype(np.int64)
+
+
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """``df`` by its keys in ``parts`` partitions where the session's number of them is smaller; grouping then keeps them."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys) if parts > usual else df

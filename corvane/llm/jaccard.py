@@ -4,11 +4,16 @@ Each text is the set of its word shingles. Equal sets are one class, so copies c
 hashed into groups, and a class is the point of its group counts: the overlap of two sets is at most the sum of
 the coordinate minima, for points as for the boxes of an R-tree, and pairs that survive are verified on the sets.
 
-Points of a hundred groups and more can't be cut up by space alone, so the trees stand on blocks that lose no
-pair: sets of about s shingles that link differ in at most d(s) of them, so of d + 2 groups of shingles two at
-least are the same, contents and all. A block is the classes of like size that share such a group. In each block
-every class is first held against the least one; blocks whose classes are then not in one component get an R-tree
-(several, tile by tile, when large), which skips boxes that lie in the seeker's own component.
+Points of a hundred groups and more can't be cut up by space alone, so the trees stand on families that lose no
+pair: sets of about s shingles that link differ in at most d(s) of them, so of d + 1 + q groups of shingles q + 1 at
+least are the same, contents and all. Sets with more than q empty groups sign by their least d + 1 shingles too, of
+which linked sets share one. The classes of like size that share a signature are a block, and the least of them leads it.
+
+Each class first joins the family of the leader that it shares most signatures with; a family's tree is walked by its
+members, survivors are verified on the spot, and links merge components as they are found, so that a family gives at
+most a spanning forest and its trees skip what is already together. Blocks whose members then aren't in one component
+are joined by their leaders in a second pass. A class's shingles move once in the first pass, and in the second once
+for each open family it is in.
 """
 
 from __future__ import annotations
@@ -29,12 +34,11 @@ SLICE_BYTES = 1 << 20
 GROUPS = 256
 #: Points of a tree's leaf and leaves of an inner box.
 FANOUT = 24
-#: Points of a tree; larger blocks are joined tile by tile.
-TILE = 4096
+#: Members of a tree's half, and shingles of it; larger families are joined tile by tile.
+TILE = 2048
+TILE_SHINGLES = 1 << 20
 #: Signatures that meet in a bucket, about.
 BUCKET = 1_000_000
-#: Bits of the map that picks the texts to verify; a fixed size, more texts only let more through.
-BITS = 1 << 23
 
 
 def shingle_sets(column: pa.Array, k: int, slices: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -74,36 +78,52 @@ class Sizes:
         self._grow(int(n.max(initial=1)))
         return np.searchsorted(self.bounds, n, side="right") - 1
 
-    def groups(self, c: np.ndarray) -> np.ndarray:
-        """Groups of class c: two more than the differences that a link allows its smaller set; 0 where none is allowed."""
-        most = (self.bounds[c + 1] - 1) * (100 - self.percent) // self.percent
-        return np.where(most > 0, most + 2, 0)
+    def shape(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of class c: the differences d that a link allows its smaller set, its groups d + 1 + q, and q.
+
+        q is above the number of empty groups that all but few sets of the class have. Classes without allowed
+        differences have no groups: their sets link with equal ones only.
+        """
+        least, most = self.bounds[c], self.bounds[c + 1] - 1
+        d = most * (100 - self.percent) // self.percent
+        empty = (d + 2) * np.exp(-least / (d + 2))
+        q = 1 + np.ceil(empty + 2 * np.sqrt(empty)).astype(np.int64)
+        return d, np.where(d > 0, d + 1 + q, 0), q
 
 
 def _signatures(keys: np.ndarray, first: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, signature) of each set's groups, in its own size class and the next smaller one."""
+    """(owner, signature) of each set, in its own size class and the next smaller one."""
     n = np.diff(first)
     cls = sizes.of(np.maximum(n, 1))
     spread = _words.mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     owners, found = [], []
     for below in (0, 1):
-        c = cls - below
-        g = np.where((n > 0) & (c >= 0), sizes.groups(np.maximum(c, 0)), 0)
+        c = np.maximum(cls - below, 0)
+        d, g, q = sizes.shape(c)
+        g = np.where((n > 0) & (cls >= below), g, 0)
+        tag = _words.mix(c.astype(np.uint64) << np.uint64(32))
         base = np.concatenate([[0], np.cumsum(g)])
         owner = np.repeat(np.arange(len(n)), n)
         used = g[owner] > 0
         owner, value = owner[used], spread[used]
-        slot = base[owner] + (value % g[owner].astype(np.uint64)).astype(np.int64)
+        slot = base[owner] + (value % np.maximum(g, 1)[owner].astype(np.uint64)).astype(np.int64)
         total = np.zeros(base[-1], np.uint64)
         np.add.at(total, slot, _words.mix(value))
-        count = np.bincount(slot, minlength=base[-1])
+        full = np.bincount(slot, minlength=base[-1]) > 0
         who = np.repeat(np.arange(len(n)), g)
-        bare = np.bincount(who, weights=count == 0, minlength=len(n))
-        keep = (count > 0) | (bare[who] >= 2)  # one bare group can't be all that two sets share
-        inner = np.arange(base[-1]) - base[who]
-        sig = _words.mix(total + _words.mix((c[who].astype(np.uint64) << np.uint64(32)) + inner.astype(np.uint64)))
-        owners.append(who[keep])
-        found.append(sig[keep])
+        inner = (np.arange(base[-1]) - base[who]).astype(np.uint64)
+        owners.append(who[full])
+        found.append(_words.mix(total + tag[who] + _words.mix(inner))[full])
+        sparse = np.bincount(who, weights=~full, minlength=len(n)) > q
+        if (sparse & (g > 0)).any():
+            mine = sparse[owner]
+            owner, value = owner[mine], value[mine]
+            order = np.lexsort((value, owner))
+            owner, value = owner[order], value[order]
+            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            least = rank <= d[owner]
+            owners.append(owner[least])
+            found.append(_words.mix(value[least] + tag[owner[least]] + np.uint64(0x5851F42D4C957F2D)))
     return np.concatenate(owners), np.concatenate(found)
 
 
@@ -117,18 +137,26 @@ def _set_hash(keys: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """(key, n, h1, h2, counts) of each row of ``docs`` (key, text): size, two set hashes, count vector."""
+    """(key, n, h1, h2) of each row of ``docs`` (key, text): size and two set hashes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _common.in_slices(batches, "text", SLICE_BYTES):
             keys, first = shingle_sets(part.column("text"), k)
-            rows, n = part.num_rows, np.diff(first)
             h1, h2 = (_set_hash(keys, first, salt).view(np.int64) for salt in _SALTS)
-            group = (_words.mix(keys) % np.uint64(GROUPS)).astype(np.int64)
-            counts = np.bincount(np.repeat(np.arange(rows), n) * GROUPS + group, minlength=rows * GROUPS).reshape(rows, GROUPS)
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(map(_packed, counts), pa.binary())], names=["key", "n", "h1", "h2", "counts"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(first), pa.int64()), pa.array(h1), pa.array(h2)], names=["key", "n", "h1", "h2"])
+
+    return _common.bounded(docs).mapInArrow(sets, f"key {docs.schema['key'].dataType.simpleString()}, n long, h1 long, h2 long")
+
+
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of ``values`` up to each end, as bytes."""
+    size = values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.concatenate([[0], ends]) * size).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
-    return _common.bounded(docs).mapInArrow(sets, f"key {docs.schema['key'].dataType.simpleString()}, n long, h1 long, h2 long, counts binary")
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """All values of a column of packed runs, in order."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist() if x)])
 
 
 def shared_signatures(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
@@ -142,75 +170,44 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, buckets: int) -> Da
         sizes = Sizes(percent)
         for part in _common.in_slices(batches, "text", 4 * SLICE_BYTES):
             keys, first = shingle_sets(part.column("text"), k)
-            h1 = _set_hash(keys, first, _SALTS[0])
             owner, sig = _signatures(keys, first, sizes)
-            table, which = np.unique(h1, return_inverse=True)
-            owner = which[owner].astype(np.uint32)
-            order = np.lexsort((owner, sig))
-            owner, sig = owner[order], sig[order]
+            own = _set_hash(keys, first, _SALTS[0]).view(np.int64)[owner]
+            order = np.lexsort((own, sig))
+            own, sig = own[order], sig[order]
             fresh = np.ones(len(sig), bool)
-            fresh[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])  # copies within the slice count once
-            owner, sig = owner[fresh], sig[fresh]
+            fresh[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])  # copies within the slice count once
+            own, sig = own[fresh], sig[fresh]
             begin = np.ones(len(sig), bool)
             begin[1:] = sig[1:] != sig[:-1]
             run = np.cumsum(begin) - 1
-            lead = owner[np.flatnonzero(begin)]
             many = np.bincount(run)[run] > 1 if len(run) else begin
-            local = many & ~begin
-            sent = np.flatnonzero(begin)
-            bucket = _blocks.bucket_of(sig[sent], buckets)
-            by = np.lexsort((owner[sent], bucket))  # by owner within a bucket, so that owners pack well
-            sent, bucket = sent[by], bucket[by]
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            out: dict[str, list] = {"bucket": [], "sigs": [], "owners": [], "sets": [], "known": []}
-            for b in range(buckets):
-                at = sent[ends[b] : ends[b + 1]]
-                if len(at):
-                    for name, value in zip(out, (b, sig[at].tobytes(), owner[at].tobytes(), table.tobytes(), b""), strict=True):
-                        out[name].append(value)
-            if local.any():
-                # both the led sets and their leaders are known to share
-                rows = np.stack([sig[local], table[owner[local]], table[lead[run[local]]]])
-                mine = np.flatnonzero(many & begin)
-                rows = np.concatenate([rows, np.stack([sig[mine], table[owner[mine]], table[owner[mine]]])], axis=1)
-                for name, value in zip(out, (int(_words.mix(table[:1])[0] % np.uint64(buckets)), b"", b"", b"", rows.tobytes()), strict=True):
-                    out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[n], pa.binary()) for n in ("sigs", "owners", "sets", "known"))], names=list(out))
+            lead = own[begin][run] if len(run) else own
+            bucket = _blocks.bucket_of(sig[begin], buckets)
+            by = np.lexsort((own[begin], bucket))
+            at = np.flatnonzero(np.concatenate([bucket[by][1:] != bucket[by][:-1], [True]])) + 1 if len(by) else np.zeros(0, np.int64)
+            columns = [pa.array(bucket[by][at - 1], pa.int64()), _packed(sig[begin][by], at), _packed(own[begin][by], at), pa.array([b""] * len(at), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "sigs", "owners", "known"])
+            if many.any():
+                rows = np.stack([sig[many].view(np.int64), own[many], lead[many]])  # the led sets and their leaders are known to share
+                near = int(own[0]) % buckets
+                yield pa.RecordBatch.from_arrays([pa.array([near], pa.int64()), *(pa.array([x], pa.binary()) for x in (b"", b"", rows.tobytes()))], names=["bucket", "sigs", "owners", "known"])
 
     def meet(group: tuple, packed: pa.Table) -> pa.Table:
-        sigs, sets, found = [], [], [np.zeros((3, 0), np.uint64)]
-        for row in zip(*(packed.column(c).to_pylist() for c in ("sigs", "owners", "sets", "known")), strict=True):
-            if row[3]:
-                found.append(np.frombuffer(row[3], np.uint64).reshape(3, -1))
-            else:
-                sigs.append(np.frombuffer(row[0], np.uint64))
-                sets.append(np.frombuffer(row[2], np.uint64)[np.frombuffer(row[1], np.uint32)])
-        if sigs:
-            sig, own = np.concatenate(sigs), np.concatenate(sets)
+        known = [np.frombuffer(x, np.int64).reshape(3, -1) for x in packed.column("known").to_pylist() if x]
+        sig, own = (_unpacked(packed.column(c), np.int64) for c in ("sigs", "owners"))
+        if len(sig):
             order = np.argsort(sig, kind="stable")
             sig, own = sig[order], own[order]
-            begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-            if len(sig):
-                size = np.diff(np.append(begin, len(sig)))
-                least, most = (np.repeat(f.reduceat(own, begin), size) for f in (np.minimum, np.maximum))
-                shared = least != most
-                found.append(np.stack([sig[shared], own[shared], least[shared]]))
-        rows = np.concatenate(found, axis=1).view(np.int64)
+            begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            size = np.diff(np.append(begin, len(sig)))
+            least, most = (np.repeat(f.reduceat(own, begin), size) for f in (np.minimum, np.maximum))
+            shared = least != most
+            known.append(np.stack([sig[shared], own[shared], least[shared]]))
+        rows = np.concatenate([np.zeros((3, 0), np.int64), *known], axis=1)
         return pa.table({"sig": rows[0], "h1": rows[1], "lead": rows[2]})
 
-    return _common.bounded(docs).mapInArrow(pack, "bucket int, sigs binary, owners binary, sets binary, known binary").groupBy("bucket").applyInArrow(meet, "sig long, h1 long, lead long")
-
-
-def _packed(counts: np.ndarray) -> bytes:
-    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
-
-
-def _unpacked(column: pa.Array) -> np.ndarray:
-    """A row of group counts for each packed one."""
-    found = np.zeros((len(column), GROUPS), np.int32)
-    for row, packed in zip(found, column.to_pylist(), strict=True):
-        row[:] = np.frombuffer(packed, np.uint16 if len(packed) == 2 * GROUPS else np.uint32)
-    return found
+    packed = _common.bounded(docs).mapInArrow(pack, "bucket long, sigs binary, owners binary, known binary")
+    return _blocks.dealt(packed, buckets, "bucket").groupBy("bucket").applyInArrow(meet, "sig long, h1 long, lead long")
 
 
 def _may_link(shared: np.ndarray, n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
@@ -238,7 +235,7 @@ class RTree:
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             high, lo, up, comp = (x[at] for x in self.levels[depth])
-            most = np.minimum(high, q).sum(1)
+            most = np.minimum(high, q).sum(1, dtype=np.int64)
             # the best that a box can hold: overlap ``most``, in a set no smaller than that or than the box's least
             fits = _may_link(most, n, np.maximum(lo, most), self.percent) & (100 * up >= self.percent * n) & (self.percent * lo <= 100 * n) & (comp != component)
             at = at[fits]
@@ -247,71 +244,105 @@ class RTree:
             at = at[at < size]
             if not len(at):
                 return at
-        fits = _may_link(np.minimum(self.points[at], q).sum(1), n, self.n[at], self.percent) & (self.component[at] != component)
+        fits = _may_link(np.minimum(self.points[at], q).sum(1, dtype=np.int64), n, self.n[at], self.percent) & (self.component[at] != component)
         return self.order[at[fits]]
 
 
-def _seek_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a < b: pairs of a tile from different components whose bound lets them link."""
+def _overlaps(seeker: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the other sets has in common with the seeker's."""
+    ends = np.cumsum([0, *map(len, others)])
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(seeker, every), len(seeker) - 1)
+    return np.add.reduceat((seeker[at] == every).astype(np.int64), ends[:-1])
+
+
+def forest(sets: list[np.ndarray], component: np.ndarray, percent: int, half: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (positions) between sets of different components, as many as it takes to join what links.
+
+    half: where given, only sets of different halves are held against each other.
+    """
+    m, n = len(sets), np.array([len(x) for x in sets], np.int64)
+    component = np.unique(component, return_inverse=True)[1]
+    group = (_words.mix(np.concatenate(sets)) % np.uint64(GROUPS)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(m), n) * GROUPS + group, minlength=m * GROUPS).reshape(m, GROUPS)
+    counts = counts.astype(np.uint8 if counts.max() < 1 << 8 else np.uint16 if counts.max() < 1 << 16 else np.uint32)
+    tree, merged, links = RTree(counts, n, component, percent), 0, []
+    left = len(np.unique(component))
+    for i in range(m):
+        if left == 1:
+            break
+        if merged > left:  # the tree's boxes learn what has been joined since
+            tree, merged = RTree(counts, n, component, percent), 0
+        near = tree.seek(counts[i], n[i], component[i])
+        near = near[(near > i) & (component[near] != component[i])]
+        if half is not None:
+            near = near[half[near] != half[i]]
+        if not len(near):
+            continue
+        shared = _overlaps(sets[i], [sets[j] for j in near.tolist()])
+        for j in near[(shared > 0) & (100 * shared >= percent * (n[i] + n[near] - shared))].tolist():
+            if component[j] != component[i]:
+                links.append((i, j))
+                component[component == component[j]] = component[i]
+                merged, left = merged + 1, left - 1
+    return links
+
+
+def _join(members: DataFrame, sets: DataFrame, bins: int, percent: int) -> DataFrame:
+    """(a, b): links within the tiles of ``members`` (family, i, j, half, h1, component); small families share a bin."""
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        name, n, number = table.column("node").combine_chunks(), table.column("n").to_numpy(), table.column("number").to_numpy()
-        counts = _unpacked(table.column("counts"))
-        chunk = table.column("chunk").to_numpy()
-        tile = key[1].as_py()
-        across = tile["i"] != tile["j"]  # a tile of two chunks joins across them, a tile of one joins within
-        tree = RTree(counts, n, number, percent)
-        left, right = [], []
-        for i in range(len(n)):
-            near = tree.seek(counts[i], n[i], number[i])
-            near = near[chunk[near] > chunk[i] if across else near > i]
-            left += [i] * len(near)
-            right += near.tolist()
-        a, b = name.take(pa.array(left, pa.int64())), name.take(pa.array(right, pa.int64()))
-        return pa.table({"a": a, "b": b})
-
-    kind = members.schema["node"].dataType.simpleString()
-    pairs = members.groupBy("block", "tile").applyInArrow(join, f"a {kind}, b {kind}")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, h_a, h_b) of classes that link, judged on their whole sets."""
-    pairs = _common.materialize(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("key"), F.col("h_a").alias("h1")).union(pairs.select("b", "h_b")).distinct()
-    bits = np.zeros(BITS, bool)
-    taken = need.select(F.pmod(F.xxhash64("key"), F.lit(BITS)).cast("int").alias("x")).distinct().toPandas()["x"]  # at most BITS
-    bits[taken.to_numpy(np.int64)] = True
-    packed = np.packbits(bits)
-    kind = docs.schema["key"].dataType.simpleString()
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(packed).view(bool)
-        for batch in batches:
-            batch = batch.filter(pa.array(wanted[batch.column("x").to_numpy()]))
-            for part in _common.in_slices(iter([batch]), "text", SLICE_BYTES):
-                keys, first = shingle_sets(part.column("text"), k)
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(_set_hash(keys, first, _SALTS[0]).view(np.int64)), part.column("text")], names=["key", "h1", "text"])
-
-    texts = _common.bounded(docs).withColumn("x", F.pmod(F.xxhash64("key"), F.lit(BITS)).cast("int")).mapInArrow(pick, f"key {kind}, h1 long, text string").join(need, ["key", "h1"]).dropDuplicates(["key", "h1"])
-    texts = _common.materialize(texts, "pair-texts")
-    side = lambda c: texts.select(F.col("key").alias(c), F.col("h1").alias(f"h_{c}"), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(side("b"), ["b", "h_b"]).join(side("a"), ["a", "h_a"]).select("a", "b", "text_a", "text_b")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for y in _common.in_slices(batches, "text_a", SLICE_BYTES) for x in _common.in_slices(iter([y]), "text_b", SLICE_BYTES)):
-            (ka, fa), (kb, fb) = shingle_sets(part.column("text_a"), k), shingle_sets(part.column("text_b"), k)
-            links = []
-            for i in range(part.num_rows):
-                x, y = ka[fa[i] : fa[i + 1]], kb[fb[i] : fb[i + 1]]
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                links.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield part.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
-
-    links = _common.materialize(_common.bounded(both).mapInArrow(judge, f"a {kind}, b {kind}"), "links")
-    _common.discard(docs.sparkSession, pairs, texts)
-    return links
+        tile = np.stack([table.column(c).to_numpy() for c in ("family", "i", "j", "h1")])
+        order = np.lexsort(tile[::-1])
+        tile = tile[:, order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (tile[:, 1:] != tile[:, :-1]).any(0)  # rows repeated with one key repeat their sets
+        order, tile = order[fresh], tile[:, fresh]
+        component, half = (table.column(c).to_numpy()[order] for c in ("component", "half"))
+        packed = table.column("shingles").combine_chunks()
+        begin = np.flatnonzero(np.concatenate([[True], (tile[:3, 1:] != tile[:3, :-1]).any(0)]))
+        a, b = [], []
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+            found = [np.frombuffer(packed[at].as_buffer(), np.uint64) for at in order[lo:hi].tolist()]
+            across = half[lo:hi] if tile[1, lo] != tile[2, lo] else None
+            for x, y in forest(found, component[lo:hi], percent, across) if hi - lo > 1 else ():
+                a.append(int(tile[3, lo + x]))
+                b.append(int(tile[3, lo + y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = members.join(sets, "h1").withColumn("bin", F.when(F.col("alone"), F.xxhash64("family", "i", "j")).otherwise(F.pmod(F.xxhash64("family"), F.lit(bins)))).drop("alone")
+    return _common.materialize(_blocks.dealt(rows, bins, "bin").groupBy("bin").applyInArrow(join, "a long, b long"), "links")
+
+
+def _tiled(members: DataFrame, sizes: DataFrame, star: bool) -> tuple[DataFrame, int, DataFrame]:
+    """``members`` (family, h1, component) dealt to tiles, the number of bins for the small families, and the large ones.
+
+    A family of more than a tile goes by chunks: with ``star`` each chunk with the leader, else each with every other.
+    """
+    sized = members.join(sizes, "h1")
+    chunks = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    large = _common.materialize(sized.groupBy("family").agg(chunks.alias("chunks")).where("chunks > 1"), "large")
+    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = sized.join(large, "family", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("half", F.pmod(F.xxhash64("h1"), "chunks").cast("int"))
+    every = F.expr("sequence(0, chunks - 1)")
+    if star:
+        rows = rows.withColumn("i", F.explode(F.when(F.col("h1") == F.col("family"), every).otherwise(F.array("half")))).withColumn("j", F.col("i"))
+    else:
+        rows = rows.withColumn("x", F.explode(every)).withColumn("i", F.least("half", "x")).withColumn("j", F.greatest("half", "x"))
+    return rows.select("family", "i", "j", "half", "h1", "component", (F.col("chunks") > 1).alias("alone")), max(1, ceil(total / TILE_SHINGLES)), large
+
+
+def _shingles(source: DataFrame, need: DataFrame, k: int) -> DataFrame:
+    """(h1, shingles): the packed sets of the needed classes, from the texts of their rows in ``need`` (key, h1)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _common.in_slices(batches, "text", SLICE_BYTES):
+            keys, first = shingle_sets(part.column("text"), k)
+            same = pa.array(_set_hash(keys, first, _SALTS[0]).view(np.int64) == part.column("h1").to_numpy())  # rows repeated with one key may have other texts
+            yield pa.RecordBatch.from_arrays([part.column("h1"), _packed(keys, first[1:])], names=["h1", "shingles"]).filter(same)
+
+    return _common.bounded(source.join(need, "key")).select("h1", "text").mapInArrow(pack, "h1 long, shingles binary")
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -321,58 +352,53 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     shingle. Rows link when 100 * intersection >= percent * union; component_id is the smallest key that links
     reach. Null and empty texts, and texts without words, have no shingle and are alone; a null key links with
     nothing and has a null component. Rows repeated with one key get a result each. Other columns are ignored; an
-    empty table gives an empty result. Sets are compared by 64-bit hashes of their shingles, class identity by 128 bits.
+    empty table gives an empty result. Shingles, and sets in links, are told apart by 64-bit hashes.
     """
     if not 50 <= percent < 100:
         raise ValueError("percent must be from 50 to 99")
+    spark = docs.sparkSession
     source = docs.select(F.col(key).alias("key"), _common.text_or_empty(text).alias("text"))
     rows = _common.materialize(describe(source, shingle), "sets")
     usable = rows.where((F.col("n") > 0) & F.col("key").isNotNull())
-    classes = _common.materialize(usable.groupBy("n", "h1", "h2").agg(F.min("key").alias("rep"), F.first("counts").alias("counts")), "classes")
+    classes = _common.materialize(usable.groupBy("n", "h1", "h2").agg(F.min("key").alias("rep")), "classes")
 
     total = usable.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(1, ceil(2 * total * (100 - percent) / percent / BUCKET))
+    buckets = max(1, ceil(2.2 * total * (100 - percent) / percent / BUCKET))
     blocks = _common.materialize(shared_signatures(source.where(F.col("key").isNotNull()), shingle, percent, buckets), "blocks")
-    _common.discard(docs.sparkSession)
-
-    side = lambda c: classes.select(F.col("h1").alias(f"h_{c}"), F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
-    star = blocks.where("h1 != lead").select(F.col("lead").alias("h_a"), F.col("h1").alias("h_b")).distinct()
-    first = _bounded(star.join(side("a"), "h_a").join(side("b"), "h_b").where("a != b"), percent)
-    links = _verify(first, source, shingle, percent)
+    _common.discard(spark)
+
+    # each class with the leader that it shares most signatures with, the least of equal ones
+    best = blocks.where("h1 != lead").groupBy("h1", "lead").agg(F.count("*").alias("often")).groupBy("h1").agg(F.max_by("lead", F.struct("often", F.bitwise_not("lead"))).alias("family"))
+    best = _common.materialize(best, "families")
+    sizes = classes.select("h1", "n", "rep").join(blocks.select("h1").distinct(), "h1")
+    sizes = _common.materialize(sizes, "members")
+    sets = _common.materialize(_shingles(source, sizes.select(F.col("rep").alias("key"), "h1"), shingle), "shingles")
+    _common.discard(spark)
+    sizes = sizes.select("h1", "n")
+    members = best.unionByName(best.select(F.col("family").alias("h1"), "family").distinct()).withColumn("component", F.col("h1"))
+    tiles, bins, large = _tiled(members, sizes, star=True)
+    links = _join(tiles, sets, bins, percent)
     known = components(links)
 
-    # blocks of three or more classes that are not yet in one component; equal blocks count once
-    placed = blocks.select("sig", "h1").distinct().join(classes.select("h1", F.col("rep").alias("node"), "n", "counts"), "h1").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("sig").agg(F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("total"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("members > 2 AND c1 != c2")
-    open_ = open_.groupBy("members", "total").agg(F.min("sig").alias("sig"))
-    tiles = placed.join(open_.select("sig", "members"), "sig").withColumn("chunks", F.ceil(F.col("members") / TILE).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    tiles = tiles.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    tiles = tiles.select(F.col("sig").alias("block"), F.struct(F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).alias("tile"), "node", "n", "counts", "chunk", F.xxhash64("component").alias("number"))
-    seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _seek_pairs(tiles, percent).join(seen, ["a", "b"], "left_anti")
-    named = lambda c: classes.select(F.col("rep").alias(c), F.col("h1").alias(f"h_{c}"))
-    second = _verify(more.join(named("a"), "a").join(named("b"), "b").select("a", "b", "h_a", "h_b"), source, shingle, percent)
-    _common.discard(docs.sparkSession, blocks, first)
-    found = components(links.unionByName(second))
-
-    of_row = rows.select("key", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    own = F.when(F.col("n") == 0, F.col("key")).when(F.col("key").isNotNull(), F.coalesce("component", "rep"))
+    # blocks that are not yet in one component, by their leaders
+    placed = blocks.select("sig", "h1").distinct().join(known.withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+    open_ = placed.groupBy("sig").agg(F.min("h1").alias("family"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("sig", "family")
+    again = placed.join(open_, "sig").select("family", "h1", "component").distinct().join(best.withColumnRenamed("family", "tried"), "h1", "left")
+    again = _common.materialize(again.withColumn("new", (F.col("h1") != F.col("family")) & ~F.col("tried").eqNullSafe(F.col("family"))), "open")
+    # all pairs of a family that was one tile in the first pass have been tried
+    wide = again.groupBy("family").agg(F.max("new").alias("new")).join(large.withColumn("cut", F.lit(True)), "family", "left").where("new OR cut").select("family")
+    tiles, bins, _ = _tiled(again.join(wide, "family").select("family", "h1", "component"), sizes, star=False)
+    more = _join(tiles, sets, bins, percent)
+    found = components(links.unionByName(more))
+    _common.discard(spark, blocks, best, sets, again)
+
+    named = classes.select("n", "h1", "h2", "rep").join(found.withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    named = named.join(least, "component").select("n", "h1", "h2", "least")
+    of_row = rows.join(named, ["n", "h1", "h2"], "left")
+    own = F.when(F.col("n") == 0, F.col("key")).when(F.col("key").isNotNull(), F.col("least"))
     return of_row.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, h_a, h_b) of the pairs whose count vectors let them link."""
-    kind = pairs.schema["a"].dataType.simpleString()
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            x, y = (_unpacked(part.column(f"counts_{c}")) for c in "ab")
-            fits = _may_link(np.minimum(x, y).sum(1), part.column("n_a").to_numpy(), part.column("n_b").to_numpy(), percent)
-            yield part.select(["a", "b", "h_a", "h_b"]).filter(pa.array(fits))
-
-    picked = pairs.select("a", "b", "h_a", "h_b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(bound, f"a {kind}, b {kind}, h_a long, h_b long")
-    return _common.materialize(picked, "first-pairs")
-
-
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=90)
