@@ -92,6 +92,33 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Bits of a key filter at most (8 MB); more keys than a sixteenth of that let more rows through.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """Packed bits of which every key of ``keys`` (one column) has one set, and their number; no more than 1/16 are set
+    while there are few enough keys. A fixed size at most comes to the driver and goes to the tasks."""
+    name = keys.columns[0]
+    bits = 1 << 12
+    wanted = 16 * keys.count()
+    while bits < min(FILTER_BITS, wanted):
+        bits <<= 1
+    at = keys.select(slot(name, bits).alias("x"))
+    words = at.groupBy(F.shiftright("x", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, x & 63)")).alias("bits")).toPandas()
+    packed = np.zeros(bits >> 6, np.int64)
+    packed[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return packed, bits
+
+
+def slot(name: str, bits: int) -> "F.Column":
+    return F.pmod(F.xxhash64(name), F.lit(bits)).cast("int")
+
+
+def passes(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (packed[slots >> 6] >> (slots & 63) & 1).astype(bool)
+
+
 def text_or_empty(column: str) -> "F.Column":
     return F.coalesce(F.col(column), F.lit("")).alias(column)
 

@@ -334,15 +334,18 @@ def _tiled(members: DataFrame, sizes: DataFrame, star: bool) -> tuple[DataFrame,
 
 
 def _shingles(source: DataFrame, need: DataFrame, k: int) -> DataFrame:
-    """(h1, shingles): the packed sets of the needed classes, from the texts of their rows in ``need`` (key, h1)."""
+    """(h1, shingles): the packed sets of the texts whose key is in ``need``; some others, too many for its filter, come along."""
+    bits, size = _common.key_filter(need)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _common.in_slices(batches, "text", SLICE_BYTES):
-            keys, first = shingle_sets(part.column("text"), k)
-            same = pa.array(_set_hash(keys, first, _SALTS[0]).view(np.int64) == part.column("h1").to_numpy())  # rows repeated with one key may have other texts
-            yield pa.RecordBatch.from_arrays([part.column("h1"), _packed(keys, first[1:])], names=["h1", "shingles"]).filter(same)
+        for batch in batches:
+            picked = batch.filter(pa.array(_common.passes(bits, batch.column("slot").to_numpy())))
+            for part in _common.in_slices(iter([picked]), "text", SLICE_BYTES):
+                keys, first = shingle_sets(part.column("text"), k)
+                yield pa.RecordBatch.from_arrays([pa.array(_set_hash(keys, first, _SALTS[0]).view(np.int64)), _packed(keys, first[1:])], names=["h1", "shingles"])
 
-    return _common.bounded(source.join(need, "key")).select("h1", "text").mapInArrow(pack, "h1 long, shingles binary")
+    slots = source.where(F.col("key").isNotNull()).select("text", _common.slot("key", size).alias("slot"))
+    return _common.bounded(slots).mapInArrow(pack, "h1 long, shingles binary")
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -372,7 +375,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     best = _common.materialize(best, "families")
     sizes = classes.select("h1", "n", "rep").join(blocks.select("h1").distinct(), "h1")
     sizes = _common.materialize(sizes, "members")
-    sets = _common.materialize(_shingles(source, sizes.select(F.col("rep").alias("key"), "h1"), shingle), "shingles")
+    sets = _common.materialize(_shingles(source, sizes.select(F.col("rep").alias("key")), shingle), "shingles")
     _common.discard(spark)
     sizes = sizes.select("h1", "n")
     members = best.unionByName(best.select(F.col("family").alias("h1"), "family").distinct()).withColumn("component", F.col("h1"))
