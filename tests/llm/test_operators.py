@@ -423,3 +423,26 @@ def test_warc_long_urls_and_large_ids(spark, tmp_path):
     hurt = spark.createDataFrame([("f", 3, "digest")], "file string, at long, gap string")
     with pytest.raises(Exception, match="gap in an archive: digest at 3 of f"):
         warc.undamaged(hurt).collect()
+
+
+def test_substring_factors(spark, monkeypatch):
+    """Factors are copies of what they refer to, begin where the sequence is known, and can't be longer."""
+    monkeypatch.setattr(substrings, "SEGMENT", 40)
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    long = [rng.choice(vocabulary) for _ in range(300)]
+    rows = [(1, " ".join(long)), (2, " ".join(rng.choices(vocabulary, k=30)))]
+    for i in range(3, 40):
+        a, b = sorted(rng.sample(range(300), 2))
+        rows.append((i, " ".join([*rng.choices(vocabulary, k=rng.randrange(20)), *long[a:b], *long[b : b + 20], *rng.choices(vocabulary, k=5)])))
+    words = {k: t.split() for k, t in rows}
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any(f["size"] > 80 for r in found for f in r["spans"])
+    for r in found:
+        own, until = words[r["doc_id"]], 0
+        for at, size, ref, ref_at in r["spans"]:
+            assert ref < r["doc_id"] and at >= until and size >= 13
+            assert own[at : at + size] == words[ref][ref_at : ref_at + size]
+            until = at + size
+    copies = [[s for s in r["spans"] if s["ref"] == 1] for r in found if r["doc_id"] > 2]
+    assert all(len(s) == 1 for s in copies if s and s[0]["size"] > 60)  # segments of one copy are one factor
