@@ -116,10 +116,17 @@ def least_segments(rows: DataFrame, window: int, buckets: int) -> DataFrame:
         copied = ids[least] < ids[order]
         asker, least = block[order[copied]], least[copied]
         refs = np.unique(np.stack([asker.astype(np.int64), ids[least], segments[least].astype(np.int64)]), axis=1)
-        return pa.table({"block": pa.array(refs[0], pa.int32()), "ref": refs[1], "segment": pa.array(refs[2], pa.int32())})
+        at = np.flatnonzero(np.diff(refs[0], prepend=-1, append=-1)).tolist()
+        packed = [refs[1:, lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:], strict=True)]
+        return pa.table({"block": pa.array(refs[0, at[:-1]], pa.int32()), "refs": pa.array(packed, pa.binary())})
+
+    def gather(group: tuple, table: pa.Table) -> pa.Table:
+        refs = np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in table.column("refs").to_pylist()], axis=1), axis=1)
+        return pa.table({"block": pa.array([group[0].as_py()] * refs.shape[1], pa.int32()), "ref": refs[0], "segment": pa.array(refs[1], pa.int32())})
 
     asked = rows.groupBy("block").applyInArrow(ask, "block int, bucket int, hashes binary, ids binary, segments binary, counts binary")
-    return _blocks.dealt(asked, ceil(buckets / 4), "bucket").groupBy("bucket").applyInArrow(answer, "block int, ref long, segment int").distinct()
+    answers = _blocks.dealt(asked, ceil(buckets / 4), "bucket").groupBy("bucket").applyInArrow(answer, "block int, refs binary")
+    return answers.groupBy("block").applyInArrow(gather, "block int, ref long, segment int")
 
 
 def _segments(docs: DataFrame, refs: DataFrame, window: int) -> DataFrame:
