@@ -1,26 +1,30 @@
 """Quality rules as a short-circuit cascade.
 
-A rule is a Column that is true for a text to reject. On a sample each rule's cost (time per row) and
-selectivity (share rejected) are measured; rules then run in the order of rejection per cost, as the branches of
-one conditional, so that a text rejected by an early rule never pays for a later one. The order decides only the
-time and which rule is named first: a text is kept when no rule rejects it, whatever the order.
+A rule is a Column that is true for a text to reject, made from the text alone, and a Column for the work it does: about
+how many characters it reads, times how often. On a sample each rule's mean work and its selectivity (share rejected)
+are measured; rules then run in the order of rejection per work, as the branches of one conditional, so that a text
+rejected by an early rule never pays for a later one. Work is counted, not timed, so the order is the same in any run.
+It decides only the time and which rule is named first: a text is kept when no rule rejects it, whatever the order.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import _common
-
-#: The sample for the rules' order: so many rows at most, those with the lowest hash of their text.
-SAMPLE_ROWS = 256
+#: The sample for the rules' order: about so many rows, those whose text's hash is below a threshold.
+SAMPLE_ROWS = 2000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+class Rule(NamedTuple):
+    rejects: Column
+    work: Column
+
+
 def _let(value: Column, then) -> Column:
     """``then`` of ``value``, with ``value`` evaluated once."""
     return F.element_at(F.transform(F.array(value), then), 1)
@@ -60,62 +64,76 @@ def measures(text: str = "text") -> dict[str, Column]:
     }
 
 
-def standard_rules(m: Mapping[str, Column]) -> dict[str, Column]:
-    """Rules over the counts in ``m``; true rejects."""
+def standard_rules(text: str = "text", given: Mapping[str, Column] | None = None) -> dict[str, Rule]:
+    """Rules over a text; true rejects. given: measures that are there already, whose rules then cost next to nothing."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    chars = F.length(value).cast("double")
+    m = measures(text) | dict(given or {})
+    lines = F.filter(F.split(value, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    words = F.regexp_extract_all(value, F.lit(_WORD), F.lit(0))
+    share = lambda of, is_so, percent: _let(of, lambda x: 100 * F.size(F.filter(x, is_so)) > percent * F.size(x))
+
+    def rule(rejects: Column, passes: float, *needs: str) -> Rule:
+        return Rule(rejects, F.lit(1.0) if needs and given and all(n in given for n in needs) else F.lit(passes) * chars + 1)
+
     return {
-        "few_words": m["n_words"] < 50,
-        "many_words": m["n_words"] > 100_000,
-        "word_length": (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 12 * m["n_words"]),
-        "symbols": 10 * m["n_symbols"] > m["n_words"],
-        "dup_lines": m["n_dup_lines"] >= 3,
-        "repeats": 100 * m["n_repeat_words"] > 50 * m["n_words"],
+        "few_words": rule(m["n_words"] < 50, 3, "n_words"),
+        "many_words": rule(m["n_words"] > 100_000, 3, "n_words"),
+        "word_length": rule((m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 12 * m["n_words"]), 5, "n_words", "word_chars"),
+        "symbols": rule(10 * m["n_symbols"] > m["n_words"], 4, "n_words", "n_symbols"),
+        "dup_lines": rule(m["n_dup_lines"] >= 3, 4, "n_dup_lines"),
+        "repeats": rule(100 * m["n_repeat_words"] > 50 * m["n_words"], 40, "n_words", "n_repeat_words"),
+        # four words in ten without a letter
+        "letters": rule(share(words, lambda w: ~w.rlike(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"), 40), 6),
+        "bullets": rule(share(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*\u2022]"), 90), 3),
+        "cut_off": rule(share(lines, lambda x: x.rlike(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$"), 30), 4),
     }
 
 
-def order_rules(docs: DataFrame, rules: Mapping[str, Column], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds a row, share rejected), the rule with most rejections per second first, then by name.
+def order_rules(docs: DataFrame, rules: Mapping[str, Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+    """(rule, mean work, share rejected), the rule with most rejections per work first; equal ones keep their order.
 
-    Measured on ``sample_rows`` rows at most; with no row, rules keep their given order.
+    One pass over the sample, whose rows are summed up where they are read; with no row, rules keep their given order.
     """
-    sample = _common.materialize(docs.orderBy(F.xxhash64(text)).limit(sample_rows), "rule-sample")
-    found = []
-    for name, rule in rules.items():
-        ask = sample.agg(F.count("*").alias("n"), F.count_if(rule).alias("out"))
-        times = []
-        for _ in range(2):  # the first run also compiles
-            began = time.perf_counter()
-            n, out = ask.first()
-            times.append(time.perf_counter() - began)
-        found.append((name, min(times) / max(n, 1), out / max(n, 1)))
-    return sorted(found, key=lambda x: -x[2] / max(x[1], 1e-9)) if found and n else found
-
-
-def cascade(docs: DataFrame, rules: Mapping[str, Column], text: str = "text") -> DataFrame:
+    if not rules:
+        return []
+    every = max(1, docs.count() // max(1, sample_rows))
+    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0)
+    names = list(rules)
+    sums = [x for n, r in enumerate(rules.values()) for x in (F.avg(r.work).alias(f"w{n}"), F.avg(F.coalesce(r.rejects, F.lit(False)).cast("int")).alias(f"r{n}"))]
+    row = sample.agg(*sums).first()
+    found = [(name, row[f"w{n}"] or 1.0, row[f"r{n}"] or 0.0) for n, name in enumerate(names)]
+    return sorted(found, key=lambda x: -x[2] / x[1])
+
+
+def rejected_by(rules: Mapping[str, Rule], names: list[str]) -> Column:
+    """The first of the named rules that rejects; later ones aren't evaluated then."""
+    verdict = F.lit(None).cast("string")
+    for name in reversed(names):
+        verdict = F.when(rules[name].rejects, F.lit(name)).otherwise(verdict)
+    return verdict
+
+
+def cascade(docs: DataFrame, rules: Mapping[str, Rule], text: str = "text") -> DataFrame:
     """``docs`` with ``rejected_by``: the first rule of the measured order that rejects a row, else null.
 
     Rows aren't dropped; null and empty texts go through the rules as empty; repeated rows are judged alike; a
     column ``rejected_by`` is replaced; an empty table gives an empty result.
     """
     docs = docs.drop("rejected_by")
-    names = [name for name, _, _ in order_rules(docs, rules, text)]
-    verdict = F.lit(None).cast("string")
-    for name in reversed(names):
-        verdict = F.when(rules[name], F.lit(name)).otherwise(verdict)
-    return docs.withColumn("rejected_by", verdict)
+    return docs.withColumn("rejected_by", rejected_by(rules, [name for name, _, _ in order_rules(docs, rules, text)]))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     counts = measures()
-    # every count is asked for here, so they are made once and the rules read them
+    # the base counts are asked for here, so they are made once and the rules that need them read them
     counted = docs.select("doc_id", "text", *(c.alias(n) for n, c in counts.items()))
-    rules = standard_rules({n: F.col(n) for n in counts})
-    names = [name for name, _, _ in order_rules(docs, standard_rules(counts))]
-    verdict = F.lit(None).cast("string")
-    for name in reversed(names):
-        verdict = F.when(rules[name], F.lit(name)).otherwise(verdict)
+    rules = standard_rules(given={n: F.col(n) for n in counts})
+    names = [name for name, _, _ in order_rules(counted, rules)]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.select("doc_id", *counts, failed.alias("base_failed"), (~failed & verdict.isNull()).alias("kept"))
+    verdict = F.when(failed, F.lit("base")).otherwise(rejected_by(rules, names))
+    return counted.select("doc_id", *counts, failed.alias("base_failed"), verdict.alias("rejected_by")).select("doc_id", *counts, "base_failed", F.col("rejected_by").isNull().alias("kept"))
 
 
 OP9_SQL = r"""
@@ -132,14 +150,17 @@ WITH w AS (
 ), r AS (
   SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM v WHERE c > 1) GROUP BY doc_id
 ), m AS (
-  SELECT doc_id, len(ws) AS n_words, length(list_aggregate(ws, 'string_agg', '')) AS wc,
+  SELECT doc_id, ws, ls, len(ws) AS n_words, length(list_aggregate(ws, 'string_agg', '')) AS wc,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM t LEFT JOIN r USING (doc_id)
 ), f AS (
-  SELECT doc_id, n_words::BIGINT AS n_words, coalesce(wc, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  SELECT 100 * len(list_filter(ws, lambda x: NOT regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) > 40 * len(ws)
+         OR 100 * len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]'))) > 90 * len(ls)
+         OR 100 * len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$'))) > 30 * len(ls) AS odd,
+         doc_id, n_words::BIGINT AS n_words, coalesce(wc, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
          n_repeat_words::BIGINT AS n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed
   FROM m
 )
-SELECT *, NOT (base_failed OR n_words > 100000 OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR n_dup_lines >= 3) AS kept FROM f
+SELECT * EXCLUDE (odd), NOT (base_failed OR odd OR n_words > 100000 OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR n_dup_lines >= 3) AS kept FROM f
 """

@@ -195,12 +195,29 @@ def test_quality(spark, docs, odd, empty):
     measured = odd.select("doc_id", *(c.alias(f"m_{n}") for n, c in quality.measures().items()))
     same(measured.collect(), [r[:6] for r in brute.quality(pairs(odd))])
     same(quality.op9_quality(spark, SF).select("doc_id", *columns, "base_failed").collect(), brute.quality(pairs(docs)))
-    judged = quality.cascade(odd, quality.standard_rules(quality.measures()))
+    rules = quality.standard_rules()
+    judged = quality.cascade(odd, rules)
     assert judged.count() == len(ODD) and "rejected_by" in judged.columns
-    assert quality.cascade(empty, quality.standard_rules(quality.measures())).count() == 0
+    assert quality.cascade(empty, rules).count() == 0
+    kept = quality.cascade(docs, rules).where("rejected_by IS NULL")
     wanted = {r["doc_id"] for r in quality.op9_quality(spark, SF).where("kept").collect()}
-    kept = quality.cascade(docs, quality.standard_rules(quality.measures())).where("rejected_by IS NULL")
     assert wanted == {r["doc_id"] for r in kept.collect()}
+    assert len(wanted) > 0.5 * docs.count()
+
+
+def test_quality_cascade_order(spark, docs):
+    """The same order in any run, by rejections per work; each text is rejected by the first rule that applies, and later rules aren't run."""
+    rules = quality.standard_rules()
+    order = quality.order_rules(docs, rules)
+    assert order == quality.order_rules(docs.repartition(3), rules)
+    assert [r / w for _, w, r in order] == sorted((r / w for _, w, r in order), reverse=True)
+    names = [name for name, _, _ in order]
+    judged = quality.cascade(docs, rules).select("rejected_by", *(rules[n].rejects.alias(n) for n in names)).collect()
+    assert all(r["rejected_by"] == next((n for n in names if r[n]), None) for r in judged)
+    late = F.when(F.length("text") >= 0, F.raise_error(F.lit("not reached")).cast("boolean"))
+    lazy = {"short": quality.Rule(F.length("text") < 5, F.lit(1.0)), "late": quality.Rule(late, F.lit(9.0))}
+    rows = spark.createDataFrame([("a",), ("b",)], "text string").withColumn("by", quality.rejected_by(lazy, ["short", "late"]))
+    assert {r["by"] for r in rows.collect()} == {"short"}
 
 
 @pytest.mark.parametrize(("shingle", "percent"), [(3, 90), (5, 80), (1, 50)])
