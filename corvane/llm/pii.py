@@ -1,15 +1,20 @@
 """Personal data by offset-preserving deobfuscation.
 
-Transducers rewrite a text step by step (look-alike letters and digits, invisible characters, bracketed or
-spelled at/dot, spelled digits) and carry, for every character they emit, the source range it stands for.
-Identifiers are detected in the source and in the rewritten text; spans of the latter are mapped back.
+Transducers read a text from left to right, once each, and carry for every character they emit the source range it
+stands for. The first writes look-alike and compatibility forms as ASCII and drops invisible characters, the second
+writes spelled digits as digits, the third reads names, numbers and the signs between them (at, dot and their bracketed,
+spelled and spaced-out disguises) as chains. Identifiers are detected in the source, in the rewritten text and in the
+chains; spans of the latter are mapped back. Every pass takes time in proportion to the text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,19 +24,15 @@ from corvane.llm import _common
 SLICE_BYTES = 4 << 20
 KINDS = ("email", "ip", "card", "phone")
 
-# The contract's patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+# The contract's patterns, those that could scan one place twice in possessive parts.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-# Letters and signs that look like ASCII ones.
-LOOKALIKE = dict(zip("аеорсухіјѕԁһⅼոցеАВЕКМНОРСТУХІЈЅοαενικρτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhlngeABEKMHOPCTYXIJSoaevikptuxABEZHIKMNOPTYX", strict=True))
-LOOKALIKE |= {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)}  # full-width forms
-LOOKALIKE |= {"。": ".", "｡": ".", "․": ".", "﹫": "@"} | dict.fromkeys("\u2010\u2011\u2012\u2013\u2212", "-") | dict.fromkeys("\u00a0\u2009\u202f", " ")
-LOOKALIKE |= {chr(zero + d): str(d) for zero in (0x0660, 0x06F0, 0x0966) for d in range(10)}
-LOOKALIKE |= {c: d for c, d in zip("⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉", "01234567890123456789", strict=True)}
-INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+# Letters of other scripts that look like ASCII ones; signs that do; what has no width.
+LOOKALIKE = dict(zip("аеорсухіјѕԁһⅼոցеАВЕКМНОРСТУХІЈЅοαενικρτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhlngeABEKMHOPCTYXIJSoaevikptuxABEZHIKMNOPTYX", strict=True)) | {"。": ".", "․": "."}
 # Digit names.
 DIGITS = {
     "zero": 0, "oh": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
@@ -40,21 +41,22 @@ DIGITS = {
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 
-_ODD = re.compile("[" + re.escape("".join(LOOKALIKE) + INVISIBLE) + "]")
-_HIDDEN = re.compile(f"[{INVISIBLE}]+")
 _NAME = "|".join(sorted(DIGITS, key=len, reverse=True))
-_GAP = r"[\s,;._-]{1,3}"
-#: Four or more names in a row, single digits between them allowed, as "plus four nine 1 seven".
-_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus{_GAP})?(?:(?:{_NAME}|[0-9]+){_GAP})*(?:{_NAME})(?:{_GAP}(?:{_NAME}|[0-9]+)){{3,}}(?![^\W_])")
-_SPELLED_CUE = re.compile(rf"(?i)(?<![^\W_])(?:{_NAME}){_GAP}(?:(?:{_NAME}|[0-9]+){_GAP}){{1,2}}(?:{_NAME}|[0-9])")
-_TOKEN = re.compile(rf"(?i)plus|{_NAME}|[0-9]+|{_GAP}")
-_AT = r"[\[({<]\s*(?:at|@|arroba|chez)\s*[\])}>]"
-_DOT = r"[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]"
-_BRACKETED = re.compile(rf"(?i)\s?(?:(?P<at>{_AT})|{_DOT})\s?")
-#: Bare words count as signs only together: name at host dot tld.
-_WORDY = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)*\s*(?:\s+at\s+|@)\s*[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*")
-#: A bare "at" before a plain host counts if the word before it isn't one of prose.
-_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9._%+-]*[A-Za-z0-9])\s+at\s+(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
+_TIMES = {"double": 2, "triple": 3}
+_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus|double|triple|{_NAME}|[0-9]++)(?![^\W_])")
+_GAP = re.compile(r"[\s,;._-]{1,3}")
+_SPELLED_CUE = re.compile(rf"(?i)(?<![^\W_])(?:{_NAME})(?![^\W_])")
+#: Items of a run of spelled digits at least.
+SPELLED_ITEMS = 4
+_AT = r"(?:at|@|arroba|chez)"
+_DOT = r"(?:dot|\.|punkt|point|punto)"
+#: A chain's parts in the order they are tried; blanks that are no part of a sign are passed in one piece.
+_CHAIN = re.compile(
+    rf"(?i)(?P<at_sign>\s*+[\[({{<]\s*+{_AT}\s*+[\])}}>]\s*+)|(?P<dot_sign>\s*+[\[({{<]\s*+{_DOT}\s*+[\])}}>]\s*+)"
+    r"|(?P<at_word>\s++at\s++)|(?P<dot_word>\s++dot\s++)|(?P<at_apart>\s++@\s*+|@\s++)|(?P<dot_apart>\s++\.\s*+)"
+    r"|(?P<at>@)|(?P<dot>\.)|(?P<atom>[A-Za-z0-9_%+-]++)|\s++"
+)
+_CHAIN_CUE = re.compile(r"(?i)[\[({<]\s*+(?:at|@|arroba|chez|dot|\.|punkt|point|punto)\s*+[\])}>]|\sdot\s|\sat\s++[a-z0-9.-]++(?<=[a-z0-9.]{4})|\s@|@\s")
 # Words that stand before "at" and a web site.
 _PROSE = frozenset(
     "me us you him her them it we i he she they look looks looked looking visit visited see seen find found available here there live lives online"
@@ -67,9 +69,6 @@ _PROSE = frozenset(
     " course courses jobs job career careers forum question questions try tool tools update updated version that this these those one all any best"
     " first last yourself themselves mail email e-mail write".split()
 )
-_NUMBERY = re.compile(r"(?i)(?<![0-9.])[0-9]{1,3}(?:(?:\s+dot\s+|\.)[0-9]{1,3}){3}(?![0-9])")
-_SIGN = re.compile(r"(?i)\s+(at|dot)\s+")
-_SIGN_CUE = re.compile(r"(?i)\sdot\s|\sat\s+[a-z0-9.-]+\.[a-z]{2}")
 
 
 def luhn(digits: str) -> bool:
@@ -82,13 +81,31 @@ def _small(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
+def _emails(text: str) -> list[tuple[int, int]]:
+    """From each sign back to where its local part begins, and on over its domain."""
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        begin = free + len(text[free:at].rstrip(LOCAL))
+        free = at + 1
+        if begin < at and (m := DOMAIN.match(text, at + 1)):
+            found.append((begin, m.end()))
+            free = m.end()
+        at = text.find("@", free)
+    return found
+
+
 def detect(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the identifiers as written, by kind and start; leftmost and apart within a kind."""
-    found = []
-    if "@" in text:
-        found += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+    found = [(0, s, e) for s, e in _emails(text)]
     if any(d in text for d in "0123456789"):
-        found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(map(_small, m[0].split(".")))]
+        for m in NUMBERS.finditer(text):
+            parts, at = m[0].split("."), m.start()
+            for i in range(0, len(parts) - 3, 4):
+                four = parts[i : i + 4]
+                end = at + sum(map(len, four)) + 3
+                if all(map(_small, four)):
+                    found.append((1, at, end))
+                at = end + 1
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -98,57 +115,163 @@ def detect(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+@cache
+def _plain(c: str) -> str | None:
+    """What a character stands for, if it isn't itself."""
+    kind = unicodedata.category(c)
+    if kind == "Cf":
+        return ""
+    if c in LOOKALIKE:
+        return LOOKALIKE[c]
+    if kind == "Nd":
+        return str(unicodedata.digit(c))
+    if kind in ("Zs", "Pd"):
+        return " " if kind == "Zs" else "-"
+    found = unicodedata.normalize("NFKC", c)
+    return found if found.isascii() and (found.isalnum() or found in "@.+()[]<>{}_%") else None
+
+
 class Tape:
     """A rewritten text with, per character, the source range it stands for and whether it was rewritten."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.start, self.end, self.changed = text, list(range(len(text))), list(range(1, len(text) + 1)), bytearray(len(text))
-
-    def rewrite(self, pattern: re.Pattern, to: Callable[[re.Match], str]) -> None:
-        """Replace each match; every character put in stands for the match's whole source range."""
-        out, start, end, changed, last = [], [], [], bytearray(), 0
-        for m in pattern.finditer(self.text):
-            new, lo, hi = to(m), m.start(), m.end()
-            if hi == lo or new == m[0]:
+        self.text = text
+        self.start = np.arange(len(text), dtype=np.int32)
+        self.end = self.start + 1
+        self.changed = np.zeros(len(text), bool)
+
+    def replace(self, edits: list[tuple[int, int, str]]) -> None:
+        """Put other characters in places (start, end), in order and apart; each stands for the whole place."""
+        if not edits:
+            return
+        lo, hi = (np.array([x[i] for x in edits]) for i in (0, 1))
+        text, last = [], 0
+        for begin, end, new in edits:
+            text += [self.text[last:begin], new]
+            last = end
+        text.append(self.text[last:])
+        size = np.array([len(x) for x in text])  # kept and put in by turns
+        part = np.repeat(np.arange(len(size)), size)
+        put = part % 2 == 1
+        kept = np.arange(len(part)) - np.repeat(np.cumsum(size) - size, size) + np.concatenate([[0], hi])[part // 2]
+        first, final = (np.where(put, np.append(x, 0)[part // 2], kept) for x in (lo, hi - 1))
+        self.text = "".join(text)
+        self.start, self.end, self.changed = self.start[first], self.end[final], self.changed[np.minimum(kept, len(self.changed) - 1)] | put
+
+    def source(self, lo: int, hi: int) -> tuple[int, int]:
+        return int(self.start[lo]), int(self.end[hi - 1])
+
+
+_NOT_ASCII = re.compile(r"[^\x00-\x7F]")
+
+
+def _look_alikes(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), new) for m in _NOT_ASCII.finditer(text) if (new := _plain(m[0])) is not None]
+
+
+def _spelled(text: str) -> list[tuple[int, int, str]]:
+    """Runs of digit names, with digits between them, as digits; "double" and "triple" repeat the next."""
+    edits: list[tuple[int, int, str]] = []
+    run: list[re.Match] = []
+
+    def close() -> None:
+        while run and run[-1][0].lower() in (*_TIMES, "plus"):
+            run.pop()
+        named = [i for i, m in enumerate(run) if m[0].lower() in DIGITS]
+        if named and len(run) - named[0] >= SPELLED_ITEMS:
+            out, times = [], 1
+            for m in run:
+                word = m[0].lower()
+                if word in _TIMES:
+                    times = _TIMES[word]
+                else:
+                    out.append("+" if word == "plus" else str(DIGITS.get(word, word)) * times)
+                    times = 1
+            edits.append((run[0].start(), run[-1].end(), "".join(out)))
+        run.clear()
+
+    for m in _SPELLED.finditer(text):
+        if run and (m[0].lower() == "plus" or not _GAP.fullmatch(text, run[-1].end(), m.start())):
+            close()
+        run.append(m)
+    close()
+    return edits
+
+
+def _chains(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
+    """Maximal chains: (start, end) of atoms, and the kinds of the signs between them."""
+    atoms: list[tuple[int, int]] = []
+    signs: list[str] = []
+    upto = 0
+    for m in _CHAIN.finditer(text):
+        kind = m.lastgroup
+        if m.start() != upto or kind is None or (kind == "atom") == (len(atoms) > len(signs)):
+            if len(atoms) > 1:
+                yield atoms, signs[: len(atoms) - 1]
+            atoms, signs = [], []
+        if kind == "atom":
+            atoms.append(m.span())
+        elif kind and atoms:
+            signs.append(kind)
+        upto = m.end()
+    if len(atoms) > 1:
+        yield atoms, signs[: len(atoms) - 1]
+
+
+def _of_chain(text: str, atoms: list[tuple[int, int]], signs: list[str]) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, end) of the addresses in a chain that has a disguised sign."""
+    last = -1  # the last atom taken
+    for i, sign in enumerate(signs):
+        if not sign.startswith("at") or i <= last:
+            continue
+        spoken = sign == "at_word"
+        dots = ("dot", "dot_sign", "dot_word") if sign != "at_apart" else ("dot", "dot_sign", "dot_word", "dot_apart")
+        lo, hi = i, i + 1
+        while lo > last + 1 and signs[lo - 1] in dots:
+            lo -= 1
+        while hi < len(signs) and signs[hi] in dots:
+            hi += 1
+        used = signs[lo:hi]
+        if hi == i + 1 or set(used) <= {"at", "dot"}:
+            continue
+        if spoken and set(signs[i + 1 : hi]) == {"dot"}:  # a bare "at" before a plain host
+            name = text[atoms[lo][0] : atoms[i][1]].lower()
+            top = text[slice(*atoms[hi])]
+            if name in _PROSE or not any(c.isalpha() for c in name) or not (top.isalpha() and len(top) >= 2):
                 continue
-            out += [self.text[last:lo], new]
-            start += [*self.start[last:lo], *[self.start[lo]] * len(new)]
-            end += [*self.end[last:lo], *[self.end[hi - 1]] * len(new)]
-            changed += self.changed[last:lo] + b"\1" * len(new)
-            last = hi
-        if last:
-            self.text = "".join([*out, self.text[last:]])
-            self.start, self.end, self.changed = start + self.start[last:], end + self.end[last:], changed + self.changed[last:]
-
-
-def _signs(m: re.Match) -> str:
-    return _SIGN.sub(lambda s: "@" if s[1].lower() == "at" else ".", m[0])
-
-
-def _bare(m: re.Match) -> str:
-    name = m["name"].lower()
-    return m[0] if name in _PROSE or not any(c.isalpha() for c in name) else _signs(m)
-
-
-def _digits(m: re.Match) -> str:
-    return "".join("+" if t.lower() == "plus" else str(DIGITS.get(t.lower(), t if t.isdigit() else "")) for t in _TOKEN.findall(m[0]))
+        yield 0, atoms[lo][0], atoms[hi][1]
+        last = hi
+    i = 0
+    while i + 3 < len(atoms):
+        four = [text[s:e] for s, e in atoms[i : i + 4]]
+        if all(s.startswith("dot") for s in signs[i : i + 3]) and all(x.isdecimal() for x in four):
+            if all(map(_small, four)) and set(signs[i : i + 3]) != {"dot"}:
+                yield 1, atoms[i][0], atoms[i + 3][1]
+            i += 4
+        else:
+            i += 1
 
 
 def disguised(text: str) -> list[tuple[int, int, int]]:
     """Identifiers that only show after rewriting, as source ranges (their disguise included)."""
-    odd, brackets, words, spelled = _ODD.search(text), _BRACKETED.search(text), _SIGN_CUE.search(text), _SPELLED_CUE.search(text)
-    if not (odd or brackets or words or spelled):
-        return []
-    tape = Tape(text)
-    if odd:
-        tape.rewrite(_HIDDEN, lambda m: "")
-        tape.rewrite(_ODD, lambda m: LOOKALIKE[m[0]])
-    for pattern, to in ((_SPELLED, _digits), (_BRACKETED, lambda m: "@" if m["at"] else "."), (_WORDY, _signs), (_BARE, _bare), (_NUMBERY, _signs)):
-        tape.rewrite(pattern, to)
-    found = []
-    for kind, lo, hi in detect(tape.text):
-        if tape.end[hi - 1] - tape.start[lo] != hi - lo or any(tape.changed[lo:hi]):
-            found.append((kind, tape.start[lo], tape.end[hi - 1]))
+    tape, found = None, []
+    for cue, edits_of in ((_NOT_ASCII, _look_alikes), (_SPELLED_CUE, _spelled)):
+        read = tape.text if tape else text
+        if cue.search(read) and (edits := edits_of(read)):
+            tape = tape or Tape(text)
+            tape.replace(edits)
+    if tape:
+        for kind, lo, hi in detect(tape.text):
+            s, e = tape.source(lo, hi)
+            if e - s != hi - lo or tape.changed[lo:hi].any():
+                found.append((kind, s, e))
+    read = tape.text if tape else text
+    if _CHAIN_CUE.search(read):
+        for atoms, signs in _chains(read):
+            if set(signs) <= {"at", "dot"}:
+                continue
+            for kind, lo, hi in _of_chain(read, atoms, signs):
+                found.append((kind, *(tape.source(lo, hi) if tape else (lo, hi))))
     return found
 
 
@@ -158,7 +281,12 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     A disguised identifier of which a part looks plain is longer than the base span in it; both are given.
     """
     base = detect(text)
-    more = [x for x in disguised(text) if not any(x[0] == k and s <= x[1] and x[2] <= e for k, s, e in base)]
+    wide = {k: np.array([(s, e) for x, s, e in base if x == k], np.int64).reshape(-1, 2) for k in range(len(KINDS))}
+    more = []
+    for kind, s, e in disguised(text):
+        at = int(np.searchsorted(wide[kind][:, 0], s, side="right")) - 1  # base spans of a kind lie apart
+        if at < 0 or wide[kind][at, 1] < e:
+            more.append((kind, s, e))
     return base, sorted({*base, *more})
 
 
