@@ -11,13 +11,14 @@ speech they count apart, and a logistic model learns from the labels what each k
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import _common
@@ -34,10 +35,10 @@ CONTEXT = 6
 #: Size of the automaton at which a worker starts it anew.
 REMEMBERED = 500_000
 #: Tokens that a worker remembers before it starts anew.
-KNOWN = 200_000
+KNOWN = 100_000
 _TOKEN = re.compile(r"[^\W_]+")
-_QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’"}
-_QUOTED = re.compile('"[^"\n]{1,300}"|“[^”\n]{1,300}”|„[^“\n]{1,300}“|«[^»\n]{1,300}»')
+#: A quotation of any length within a line.
+_QUOTED = re.compile('"[^"\n]++"|“[^“”\n]++”|„[^„“\n]++“|«[^«»\n]++»')
 # Digits and signs written for letters.
 _LEET = str.maketrans("0134578", "oieastb")
 FEATURES = ("exact", "exact_quoted", "near", "near_quoted", "stem", "density")
@@ -176,13 +177,15 @@ class Reader:
         bad = {t for t in distinct if known[t] is not None}
         if not bad:
             return []
-        quoted = [m.span() for m in _QUOTED.finditer(text)]
+        quoted = [m.span() for m in _QUOTED.finditer(text)]  # in order and apart
+        opened = [s for s, _ in quoted]
         out = []
         for i, m in enumerate(_TOKEN.finditer(text)):
             if m[0] in bad:
                 term, edits = known[m[0]]
                 near = tokens[max(0, i - CONTEXT) : i + CONTEXT + 1]
-                reported = any(s <= m.start() < e for s, e in quoted) or not self.cues.isdisjoint(near)
+                at = bisect_right(opened, m.start()) - 1
+                reported = at >= 0 and m.start() < quoted[at][1] or not self.cues.isdisjoint(near)
                 out.append((m.start(), m.end(), term, edits, reported))
         return out
 
@@ -207,15 +210,15 @@ def reader_of(terms: list[Term], cues: frozenset[str]) -> Reader:
     return _readers[key]
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights, the constant first, by damped Newton steps on a small ridge."""
+def _fit(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Logistic weights, the constant first, by damped Newton steps on a small ridge; rows count by their share."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
-    w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else -2.0
+    w[0] = np.log(((y * share).sum() + 0.5) / (((1 - y) * share).sum() + 0.5)) if len(y) else -2.0
     ridge = np.diag([1e-6, *[0.05] * (x.shape[1] - 1)])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(x.T @ (x * (share * p * (1 - p))[:, None]) + ridge, x.T @ (share * (y - p)) - ridge @ w)
         w = w + step * min(1.0, 4.0 / max(1e-9, float(np.abs(step).max())))
         if np.abs(step).max() < 1e-8:
             break
@@ -230,22 +233,30 @@ def labelled_sample(labels: DataFrame, key: str, label: str, fit_rows: int = FIT
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[list[Term], frozenset[str], np.ndarray]:
-    """Lexicon, words of reported speech, and logistic weights; see FIT_ROWS for the sample's bound."""
+    """Lexicon, words of reported speech, and logistic weights; see FIT_ROWS for the sample's bound.
+
+    All rows of the sample are learned from. Rows of one label that have the same two words of least hash, as copies and
+    near copies mostly do, share one row's weight, lest a copied text's rare words look telling.
+    """
     sample = labelled_sample(labels, key, label, fit_rows)
     texts = docs.select(F.col(key).alias("key"), _common.text_or_empty(text).alias("text")).where(F.col("key").isNotNull()).join(F.broadcast(sample), "key")  # fit_rows rows at most
     texts = texts.withColumn("words", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0))))
-    # copies, near ones too, mostly agree in the words of least hash; one of each is learned from, lest their rare words look telling
     least = [F.array_min(F.transform("words", lambda w, salt=salt: F.xxhash64(w, F.lit(salt)))) for salt in (1, 2)]
     texts = texts.withColumn("like", F.xxhash64(*least, F.when(F.size("words") == 0, F.col("key"))))
-    texts = _common.materialize(texts.groupBy("like", "y").agg(F.min_by(F.struct("key", "text", "words"), "key").alias("r")).select("r.*", "y"), "labelled")
-    n_bad, n = texts.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    texts = texts.withColumn("share", 1 / F.count("*").over(Window.partitionBy("like", "y"))).drop("like")
+    texts = _common.materialize(texts, "labelled")
+    n_bad, n = texts.agg(F.coalesce(F.sum(F.col("share") * F.col("y")), F.lit(0.0)), F.coalesce(F.sum("share"), F.lit(0.0))).first()
+    n_bad, n = round(n_bad, 6), round(n, 6)  # sums of shares
     if not n_bad or n_bad == n:
         return [], frozenset(), np.array([-2.0 if not n_bad else 2.0, *[0.0] * len(FEATURES)])
-    words = texts.select("y", F.explode("words").alias("w"))
-    seen = _common.materialize(words.groupBy("w").agg(F.sum("y").alias("bad"), F.count("*").alias("of")), "labelled-words")
+    words = texts.select("y", "share", F.explode("words").alias("w"))
+    part = lambda c: F.round(F.sum(c), 6)  # noqa: E731  the same in any order of rows
+    seen = words.groupBy("w").agg(part(F.col("share") * F.col("y")).alias("bad"), part("share").alias("of"))
+    seen = _common.materialize(seen.where("bad > 0"), "labelled-words")
+    n_words = words.select("w").distinct().count()
     odds = F.log((F.col("bad") + 0.1) / (n_bad + 0.2)) - F.log((F.col("of") - F.col("bad") + 0.1) / (n - n_bad + 0.2))
     # so unlikely by chance that among all words seen less than one would get as far
-    sure = F.col("bad") * F.log(F.col("bad") / F.col("of") / (n_bad / n)) >= F.log(F.lit(float(max(1, seen.count())))) + 2
+    sure = F.col("bad") * F.log(F.col("bad") / F.col("of") / (n_bad / n)) >= F.log(F.lit(float(max(1, n_words)))) + 2
     words_in = seen.withColumn("weight", odds).where((F.col("bad") >= max(3, 0.01 * n_bad)) & (F.col("weight") >= 3) & sure & (F.col("of") <= 1.3 * F.col("bad")))
     # a stem: a beginning of 4 to 6 letters with three or more words of toxic texts and next to none of others
     ends = seen.where(F.length("w") >= 5).select("bad", "of", "w", F.explode(F.expr("sequence(4, least(6, length(w) - 1))")).alias("k"))
@@ -261,8 +272,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     beside = _beside(texts.where("y = 0").select("text"), terms)
     hits = beside.where("w = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cues = frozenset(r["w"] for r in beside.where((F.length("w") >= 4) & (F.col("n") >= max(5, 0.1 * hits))).collect())  # 20 * CONTEXT words at most
-    rows = _features(texts.select("key", "text", "y"), terms, cues, "text").select("y", *FEATURES).toPandas()
-    return terms, cues, _fit(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float))
+    rows = _features(texts.select("key", "text", "y", "share"), terms, cues, "text").select("y", "share", *FEATURES).toPandas()
+    return terms, cues, _fit(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float), rows["share"].to_numpy(float))
 
 
 def _beside(texts: DataFrame, terms: list[Term]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import time
@@ -120,8 +121,8 @@ def test_language_model_by_partial_matching(spark):
     for order in (2, 3, 5):
         found = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r["score"] for r in language_model.score_texts(df, order=order).collect()}
         base = brute.base_scores(rows)
-        for (k, _, n, _, _, b), wanted, (_, t) in zip(base, brute.ppm_scores(rows, order), rows, strict=True):
-            assert found[k, n, round(b, 6)] == pytest.approx(wanted, abs=(len((t or "").encode()) + 1) / language_model.STEPS)
+        for (k, _, n, _, _, b), wanted in zip(base, brute.ppm_scores(rows, order), strict=True):
+            assert found[k, n, round(b, 6)] == pytest.approx(wanted, rel=1e-6)
 
 
 def test_language_model_beats_words(spark):
@@ -527,3 +528,45 @@ def test_substring_factors(spark, monkeypatch):
             until = at + size
     copies = [[s for s in r["spans"] if s["ref"] == 1] for r in found if r["doc_id"] > 2]
     assert all(len(s) == 1 for s in copies if s and s[0]["size"] > 60)  # segments of one copy are one factor
+
+
+def test_toxicity_quotations_of_any_length():
+    reader = toxicity.Reader([toxicity.Term("grob", 1.0, False)], frozenset())
+    for n in (10, 1000, 20_000):
+        text = 'he wrote "' + "x y " * n + 'grob" and grob'
+        assert [q for *_, q in reader.hits(text)] == [True, False]
+    began = time.perf_counter()
+    reader.hits('„ grob " « grob ' * 60_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_toxicity_scores(spark):
+    """Scores from features counted plainly, under the learned lexicon and weights."""
+    rng = random.Random(5)
+    plain = lambda: " ".join("".join(rng.choice("abcdeilmnorstu") for _ in range(6)) for _ in range(15))
+    rows = [(i, f'{plain()} {rng.choice(["zorbig", "zorbigs", "zrbig", chr(34) + "zorbig" + chr(34)])} {plain()}' if i % 4 == 0 else plain(), int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    terms, cues, weights = toxicity.learn(df, df)
+    assert terms
+
+    def distance(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            line, last = [i], line
+            for j, y in enumerate(b, 1):
+                line.append(min(last[j] + 1, line[-1] + 1, last[j - 1] + (x != y)))
+        return line[-1]
+
+    for r in toxicity.score_toxicity(df, df).collect():
+        text = rows[r["doc_id"]][1]
+        sums = [0.0] * 5
+        for m in re.finditer(r"[a-z]+", text):
+            near = sorted((d, -t.weight, n) for n, t in enumerate(terms) if not t.stem and (d := distance(m[0], t.text)) <= toxicity.edits_for(t))
+            stems = [t for t in terms if t.stem and m[0].startswith(t.text)]
+            quoted = text[: m.start()].count('"') % 2 + (not cues.isdisjoint([w for w in re.findall("[a-z]+", text[: m.start()])[-toxicity.CONTEXT :] + re.findall("[a-z]+", text[m.start() :])[: toxicity.CONTEXT + 1]])) > 0
+            if near:
+                sums[(0 if near[0][0] == 0 else 2) + quoted] -= near[0][1]
+            elif stems:
+                sums[4] += max(stems, key=lambda t: len(t.text)).weight
+        x = [*map(math.log1p, sums), math.log1p(100 * (sums[0] + sums[2] + sums[4]) / (20 + len(text) / 6))] if any(sums) else [0.0] * 6
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-weights[0] - sum(a * b for a, b in zip(weights[1:], x, strict=True)))), rel=1e-9)
