@@ -168,7 +168,7 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, buckets: int) -> Da
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(percent)
-        for part in _common.in_slices(batches, "text", 4 * SLICE_BYTES):
+        for part in _common.in_slices(batches, "text", 3 * SLICE_BYTES):
             keys, first = shingle_sets(part.column("text"), k)
             owner, sig = _signatures(keys, first, sizes)
             own = _set_hash(keys, first, _SALTS[0]).view(np.int64)[owner]
