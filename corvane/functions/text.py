@@ -35,7 +35,8 @@ def strip_suffix(token: Column) -> Column:
 
 
 def stems(text: Column) -> Column:
-    return F.filter(F.transform(tokens(text), strip_suffix), lambda t: F.length(t) >= 2)
+    """All suffixes are Hangul, so texts without it keep their tokens as they are."""
+    return F.when(text.rlike("[가-힣]"), F.filter(F.transform(tokens(text), strip_suffix), lambda t: F.length(t) >= 2)).otherwise(tokens(text))
 
 
 def without(words: Column, stopwords: Iterable[str]) -> Column:

@@ -2,40 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as text_functions
 
 
+#: Asked terms that are sent to the documents at most; more are joined with the postings.
+ASKED_TERMS = 1_000_000
+
+
 class Index(NamedTuple):
-    postings: DataFrame  #: term, doc_id, tf
-    docs: DataFrame  #: doc_id, dl
-    terms: DataFrame  #: term, df
+    listed: DataFrame  #: doc_id, dl, tokens
+    postings: DataFrame  #: term, doc_id, dl, tf
     size: DataFrame  #: one row: n, avgdl
 
 
+def _postings(listed: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, dl, tf), summed up before it moves; only: the terms wanted, sent to the documents."""
+    words = listed.select("doc_id", "dl", F.explode("tokens").alias("term"))
+    if only is not None:
+        words = words.join(F.broadcast(only), "term")
+    return words.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+
+
 def build_index(docs: DataFrame, key: str = "doc_id", tokens: Column | None = None) -> Index:
-    """Postings and statistics; one shuffle of the distinct (term, document) pairs, summed up before it moves."""
+    """Tokens, postings and statistics; one shuffle of the distinct (term, document) pairs."""
     listed = docs.select(F.col(key).alias("doc_id"), (tokens if tokens is not None else text_functions.search_tokens(F.col("text"))).alias("tokens"))
-    lengths = listed.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-    postings = listed.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return Index(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    listed = listed.select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens")
+    return Index(listed, _postings(listed), listed.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def bm25(index: Index, queries: DataFrame, top: int, k1: float = 1.5, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the best ``top`` documents of each query (query_id, tokens), scores at 6 digits.
 
-    Statistics are of the whole corpus even if ``allowed`` (doc_id) narrows what may be found. Only the postings of
-    asked terms are joined further; ties go to the smaller id.
+    Statistics are of the whole corpus even if ``allowed`` (doc_id) narrows what may be found. Up to ASKED_TERMS asked
+    terms are sent to the documents, so that only their postings are made; ties go to the smaller id.
     """
     asked = queries.select("query_id", F.explode("tokens").alias("term"))
+    only = asked.select("term").distinct()
+    few = only.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS
+    postings = _postings(index.listed, only) if few else index.postings.join(only, "term", "left_semi")
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = asked.join(index.terms, "term").crossJoin(F.broadcast(index.size))  # size has one row
-    found = terms.join(index.postings, "term").join(index.docs, "doc_id")
+    found = asked.join(df, "term").crossJoin(F.broadcast(index.size)).join(postings, "term")  # size has one row
     if allowed is not None:
         found = found.join(allowed, "doc_id", "left_semi")
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -59,15 +76,35 @@ def cosine(a: Column, b: Column) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, top: int, key: str = "vec_id", query_rows: int = 10_000) -> DataFrame:
     """(query_id, key, score, rank): exact cosine search of queries (query_id, vector) among vectors (key, embedding).
 
-    The queries are the side that is sent to all tasks: beyond ``query_rows`` they go in blocks of about so many, by a
-    hash of query_id, each ranked by itself.
+    The queries are sent to all tasks as a matrix: beyond ``query_rows`` they go in blocks of about so many, by a hash of
+    query_id. A batch of vectors gives each query its best ``top``, which are then ranked over all batches.
     """
     blocks = -(-queries.count() // query_rows)
     parts = [queries] if blocks <= 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+
+    def units(column: pa.Array) -> np.ndarray:
+        flat = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return flat / np.sqrt((flat * flat).sum(1, keepdims=True))
 
     def search(part: DataFrame) -> DataFrame:
-        pairs = vectors.crossJoin(F.broadcast(part))
-        return ranked(pairs.select("query_id", key, F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("score")), top, tie=key)
+        asked = part.select("query_id", "vector").toArrow().combine_chunks()  # query_rows, about
+        ids, matrix = asked.column("query_id").combine_chunks(), units(asked.column("vector").combine_chunks())
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.take(pc.sort_indices(batch.column(key)))  # so that ties go to the smaller key
+                for lo in range(0, batch.num_rows, 4096):
+                    rows = batch.slice(lo, 4096)
+                    scores = np.round(matrix @ units(rows.column("embedding")).T, 6)
+                    near = np.argsort(-scores, axis=1, kind="stable")[:, :top]
+                    found = np.take_along_axis(scores, near, 1).ravel()
+                    asker = pa.array(np.repeat(np.arange(len(ids)), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([ids.take(asker), rows.column(key).take(pa.array(near.ravel())), pa.array(found)], names=["query_id", key, "score"])
+
+        pairs = vectors.select(key, "embedding").mapInArrow(best, f"query_id {kinds[0]}, {key} {kinds[1]}, score double") if len(ids) else None
+        return ranked(pairs, top, tie=key) if pairs is not None else ranked(part.select("query_id").crossJoin(vectors.select(key)).withColumn("score", F.lit(0.0)), top, tie=key)
 
     return reduce(DataFrame.unionByName, map(search, parts))
 

@@ -71,13 +71,13 @@ def metadata_filter(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("query_id", "doc_type").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
-_DENSE = "SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 4) q"
+_DENSE = "SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q"
 
 
 @query("TOP01_dense", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_DENSE}) QUALIFY rank <= 10")
 def top_dense(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return index.dense(e, e.where("vec_id < 4").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
+    return index.dense(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
 
 
 @query(
@@ -263,7 +263,7 @@ def faq_search(spark: SparkSession, sf: str) -> DataFrame:
 
 _HYBRID = f"""WITH {_FUSED}, sel AS (SELECT query_id, count(*) AS n FROM fc GROUP BY query_id), pre AS (SELECT query_id, count(*) AS b FROM fr GROUP BY query_id), vt AS (SELECT query_id, max(score) AS top FROM re GROUP BY query_id)
 SELECT query_id, rank, doc_key AS doc_id, score, round(CASE WHEN b >= 5 AND n <= b * 0.6 THEN least(m, 0.4) ELSE m END, 6) AS confidence,
-  '---[' || doc_type || '] ' || substr(text, 1, 40) AS context
+  '---[' || doc_type || '] ' || text AS context
 FROM (SELECT *, CASE WHEN top < 0 THEN least(c, 0.3) WHEN top > 2 THEN greatest(c, 0.8) ELSE c END AS m FROM (SELECT *, CASE WHEN n >= 3 THEN 0.8 WHEN n = 2 THEN 0.6 ELSE 0.4 END AS c FROM fc JOIN sel USING (query_id) JOIN pre USING (query_id) JOIN vt USING (query_id))) JOIN documents ON doc_id = doc_key"""
 
 
@@ -277,4 +277,4 @@ def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     top = rank.rerank(_scored(spark, sf), 5).groupBy("query_id").agg(F.max("score").alias("top"))
     rows = cut.join(after, "query_id").join(before, "query_id").join(top, "query_id").join(table(spark, sf, "documents").select(F.col("doc_id").alias("doc_key"), "text"), "doc_key")
     sure = rank.confidence(F.lit(False), F.col("n"), F.lit(True), F.col("top"), F.col("b"), F.col("n"))
-    return rows.select("query_id", "rank", F.col("doc_key").alias("doc_id"), "score", F.round(sure, 6).alias("confidence"), F.concat(F.lit("---["), "doc_type", F.lit("] "), F.substring("text", 1, 40)).alias("context"))
+    return rows.select("query_id", "rank", F.col("doc_key").alias("doc_id"), "score", F.round(sure, 6).alias("confidence"), F.concat(F.lit("---["), "doc_type", F.lit("] "), "text").alias("context"))
