@@ -100,14 +100,3 @@ BUDGETS = {
     "SCHOLARSHIP": 1200, "LEAVE_OF_ABSENCE": 1200, "EARLY_GRADUATION": 1600, "MAJOR_CHANGE": 1600, "TRANSCRIPT": 1600,
 }
 DEFAULT_BUDGET = 1200
-CUT_RATIOS = {"EARLY_GRADUATION": 0.60, "MAJOR_CHANGE": 0.60}
-# Words of follow-up questions.
-SINGULAR = ("그거", "이거", "저거", "그것", "이것", "저것", "그게", "이게")
-SINGULAR_EN = (" it", " that", " this", "it ", "that ", "this ")
-DISTRIBUTIVE = ("각각", "둘 다", "둘다", "셋 다", "셋다", "모두", "다들", "전부", "첫번째", "첫 번째", "두번째", "두 번째", "세번째", "세 번째", "마지막")
-DISTRIBUTIVE_EN = (" each ", "each ", " both ", "both ", " all ", "all of ", " first", " second", " third", " last", " former", " latter")
-COMPARISON = ("차이", "비교", "다른 점", "다른점", "vs")
-COMPARISON_EN = (" difference", " compare", " vs ", " versus ")
-ELLIPTIC = ("그럼", "그럼요", "그러면", "그리고", "또", "그런데", "근데")
-ELLIPTIC_EN = ("then ", "and ", "but ", "also ")
-NEGATION = ("못해", "못 해", "못하", "안돼", "안 돼", "안되", "안 되", "없나", "없어", "없을까", "불가", "안되나")

@@ -55,3 +55,14 @@ def uncovered(log: DataFrame, since: Column, refused: Column) -> DataFrame:
     low = F.coalesce(F.col("rating") <= 2, F.lit(False))
     empty = F.coalesce(F.trim("answer"), F.lit("")) == ""
     return log.where((F.to_date("ts") >= since) & (F.length(F.trim("question")) >= 2) & (empty | refused | low))
+
+
+def last_pairs(turns: DataFrame, session: str, n: int) -> DataFrame:
+    """(session, user_turn, assistant_turn): the last ``n`` answers, each with the user's turn it is the first to answer."""
+    said = turns.where(F.col("role").isin("user", "assistant") & (F.trim("text") != ""))
+    before = Window.partitionBy(session).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda role: F.max(F.when(F.col("role") == role, F.col("turn"))).over(before)
+    pairs = said.select(session, "role", F.col("turn").alias("assistant_turn"), last("user").alias("user_turn"), last("assistant").alias("_a"))
+    pairs = pairs.where((F.col("role") == "assistant") & F.col("user_turn").isNotNull() & (F.col("_a").isNull() | (F.col("_a") < F.col("user_turn"))))
+    newest = Window.partitionBy(session).orderBy(F.desc("assistant_turn"))
+    return pairs.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n).select(session, "user_turn", "assistant_turn")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,18 +57,12 @@ def record_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("change", kind).where("change IS NOT NULL").select("course", "term", "change", "old_grade", "new_grade")
 
 
-#: Action rules by name: a condition over a student's summary row, its severity, and the measure it reports.
-RULES: dict[str, tuple[str, Column, Column]] = {}
-
-
-def rule(name: str, severity: str, when: Column, value: Column) -> None:
-    """Register an action rule."""
-    RULES[name] = (severity, when, value)
-
+def actions(summaries: DataFrame, key: str, rules: Mapping[str, tuple[str, Column, Column]]) -> DataFrame:
+    """(key, rule, severity, value, place): a row for each rule that holds, errors first, then warnings and notes.
 
-def actions(summaries: DataFrame, key: str) -> DataFrame:
-    """(key, rule, severity, value, place): a row for each rule that holds, errors first, then warnings and notes."""
-    each = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"), F.coalesce(w, F.lit(False)).alias("holds"), v.cast("double").alias("value")) for n, (s, w, v) in sorted(RULES.items())))
+    rules: by name the severity, the condition over a student's summary row, and the measure to report.
+    """
+    each = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"), F.coalesce(w, F.lit(False)).alias("holds"), v.cast("double").alias("value")) for n, (s, w, v) in sorted(rules.items())))
     rows = summaries.select(key, F.explode(each).alias("r")).where("r.holds")
     order = F.when(F.col("r.severity") == "error", 0).when(F.col("r.severity") == "warn", 1).otherwise(2)
     return rows.select(key, "r.rule", "r.severity", F.round("r.value", 6).alias("value"), F.row_number().over(Window.partitionBy(key).orderBy(order, "r.rule")).alias("place"))

@@ -78,3 +78,28 @@ def field_report(nodes: DataFrame, registry: DataFrame) -> DataFrame:
     need = nodes.join(registry.where("required"), "node_type").select("node_type", "node_id", "field")
     missing = need.join(fields, ["node_type", "node_id", "field"], "left_anti").select("node_type", "field").distinct().withColumn("kind", F.lit("missing"))
     return unseen.unionByName(missing)
+
+
+def delete_by_type(rows: DataFrame, column: str, value: str) -> DataFrame:
+    """Without the rows of a type; rows without a type stay."""
+    return rows.where(~F.col(column).eqNullSafe(F.lit(value)))
+
+
+def islands(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, first_value, last_value, periods): runs of consecutive whole numbers, repeats counted once."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    runs = rows.select(key, value).distinct().withColumn("_run", F.col(value) - place)
+    return runs.groupBy(key, "_run").agg(F.min(value).alias("first_value"), F.max(value).alias("last_value"), F.count("*").alias("periods")).drop("_run")
+
+
+def next_ids(ids: DataFrame, column: str, digits: int = 4) -> DataFrame:
+    """(day, next_id): the id after the largest of each day, for ids like faq-20240131-0007."""
+    parts = ids.select(F.regexp_extract(column, r"^(.*)-(\d{8})-(\d+)$", 1).alias("prefix"), F.regexp_extract(column, r"-(\d{8})-\d+$", 1).alias("day"), F.regexp_extract(column, r"(\d+)$", 1).cast("long").alias("n"))
+    last = parts.where("day != ''").groupBy("prefix", "day").agg(F.max("n").alias("n"))
+    return last.select("day", F.concat_ws("-", "prefix", "day", F.lpad((F.col("n") + 1).cast("string"), digits, "0")).alias("next_id"))
+
+
+def source_urls(rows: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """(query_id, url, rank): the distinct web addresses of rows of the types, by the first row that has them."""
+    web = rows.where(F.col("doc_type").isin(*types) & (F.col("url").startswith("http://") | F.col("url").startswith("https://")))
+    return web.groupBy("query_id", "url").agg(F.min("rank").alias("rank"))

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from corvane.plans import analytics_queries, lifecycle_queries, retrieval_queries, text_queries  # noqa: F401
+from corvane.plans import analytics_queries, lifecycle_queries, question_queries, retrieval_queries, route_queries, text_queries  # noqa: F401
