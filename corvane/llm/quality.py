@@ -70,7 +70,7 @@ def standard_rules(text: str = "text", given: Mapping[str, Column] | None = None
     chars = F.length(value).cast("double")
     m = measures(text) | dict(given or {})
     lines = F.filter(F.split(value, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    words = F.regexp_extract_all(value, F.lit(_WORD), F.lit(0))
+    bare = F.regexp_count(value, F.lit(r"(?<![^\x20\x09-\x0D])[\x00-\x08\x0E-\x1F\x21-\x40\x5B-\x60\x7B-\x7F]++(?![^\x20\x09-\x0D])"))
     share = lambda of, is_so, percent: _let(of, lambda x: 100 * F.size(F.filter(x, is_so)) > percent * F.size(x))
 
     def rule(rejects: Column, passes: float, *needs: str) -> Rule:
@@ -84,7 +84,7 @@ def standard_rules(text: str = "text", given: Mapping[str, Column] | None = None
         "dup_lines": rule(m["n_dup_lines"] >= 3, 4, "n_dup_lines"),
         "repeats": rule(100 * m["n_repeat_words"] > 50 * m["n_words"], 40, "n_words", "n_repeat_words"),
         # four words in ten without a letter
-        "letters": rule(share(words, lambda w: ~w.rlike(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"), 40), 6),
+        "letters": rule(100 * bare > 40 * m["n_words"], 6),
         "bullets": rule(share(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*\u2022]"), 90), 3),
         "cut_off": rule(share(lines, lambda x: x.rlike(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$"), 30), 4),
     }
