@@ -107,13 +107,14 @@ def job_history(spark: SparkSession, sf: str) -> DataFrame:
     return log(spark, sf).withColumn("place", F.row_number().over(latest)).where("place <= 3").select(F.col("session").alias("job"), "id", "duration", "place")
 
 
-_PAIRS = f"""pa AS (SELECT l.item_id AS key, l.ts AS p, r.ts AS e FROM (SELECT item_id, {_STEMS} AS ts FROM benchmark) l JOIN (SELECT item_id, {_STEMS} AS ts FROM benchmark) r ON r.item_id = (l.item_id + 1) % (SELECT count(*) FROM benchmark))"""
+_PAIRS = f"""st AS MATERIALIZED (SELECT item_id, {_STEMS} AS ts FROM benchmark), nu AS MATERIALIZED (SELECT count(*) AS n FROM benchmark),
+sh AS MATERIALIZED (SELECT item_id AS key, (item_id + 1) % n AS other, ts AS p FROM st CROSS JOIN nu), pa AS MATERIALIZED (SELECT sh.key, sh.p, st.ts AS e FROM sh JOIN st ON st.item_id = sh.other)"""
 
 
 def _answer_pairs(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark").select("item_id", text.stems(F.col("text")).alias("ts"))
-    n = F.lit(b.count())
-    return b.select(F.col("item_id").alias("key"), ((F.col("item_id") + 1) % n).alias("other"), F.col("ts").alias("p")).join(b.select(F.col("item_id").alias("other"), F.col("ts").alias("e")), "other").select("key", "p", "e")
+    n = b.agg(F.count("*").alias("n"))  # one row
+    return b.crossJoin(F.broadcast(n)).select(F.col("item_id").alias("key"), ((F.col("item_id") + 1) % F.col("n")).alias("other"), F.col("ts").alias("p")).join(b.select(F.col("item_id").alias("other"), F.col("ts").alias("e")), "other").select("key", "p", "e")
 
 
 @query(
