@@ -9,6 +9,7 @@ from corvane.operators import chunking, graph, records, route, tables
 from corvane.plans.lifecycle_queries import _COURSES, _EDGES, _NODES, courses, property_graph
 from corvane.registry import query
 from corvane.session import table
+from corvane.sources import html
 
 # ---- candidates: a customer is a question, an order a document
 
@@ -226,3 +227,21 @@ def table_pieces(spark: SparkSession, sf: str) -> DataFrame:
 @query("CHK10_trimmed_sections", "SELECT doc_id, md5(CASE WHEN cut >= 100 THEN substr(text, 1, cut) ELSE text END) AS digest FROM (SELECT doc_id, text, coalesce(least(CASE WHEN instr(text, 'xer') > 0 THEN instr(text, 'xer') END, CASE WHEN instr(text, 'oli') > 0 THEN instr(text, 'oli') END), 0) - 1 AS cut FROM documents WHERE text IS NOT NULL)")
 def trimmed_sections(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.md5(chunking.trimmed(F.col("text"), ("xer", "oli"))).alias("digest"))
+
+
+# ---- web pages: parsed in Python, so tested against written-out pages
+
+
+@query("SRC14_visible_texts")
+def visible_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return html.page_texts(table(spark, sf, "pages"))
+
+
+@query("SRC15_main_texts")
+def main_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return html.page_texts(table(spark, sf, "pages"), main_only=True)
+
+
+@query("SRC17_sections")
+def sections(spark: SparkSession, sf: str) -> DataFrame:
+    return html.page_sections(table(spark, sf, "pages"))
