@@ -84,6 +84,45 @@ UNIT_PATTERNS = {
     "phone": r"051-?509-?(\d{4})",
     "url": r"(https?://[^\s)\]가-힣]+)",
 }
+# Units that stand between other signs, and the extension in a line about a department.
+UNIT_PATTERNS_AROUND = {
+    "date": r"((?:\d{4}\s*년\s*)?\d{1,2}\s*월\s*\d{1,2}\s*일|\d{4}\s*년\s*\d{1,2}\s*월|(?<!\d)\d{1,2}\.\d{1,2}\.?(?!\d))",
+    "room": r"(?<![\p{L}\p{N}_])([A-Z]\d{3}(?:-\d+)?)(?![\p{L}\p{N}_])",
+    "grade": r"(?<![\p{L}\p{N}_])([A-Da-d](?:\+(?=[\p{L}\p{N}_])|(?![\p{L}\p{N}_])))",
+}
+EXTENSION = r"(?<!\d)(\d{4})(?!\d)"
+# Units that an answer must have where the question asks for them.
+REQUIRED_UNITS = ("won", "url", "phone", "room", "grade")
+# Signs by which question and answer are told apart. An answer's values of the first kind must be the
+# question's, those of the second share one with it; subjects must share one if both have any.
+EXACT_SIGNS = {"cohort": r"20\d{2}\s*학번", "year_4": r"(?<!\d)20\d{2}(?!\s*학번)"}
+SHARED_SIGNS = {"semester_half": "전기|후기|상반기|하반기", "semester_ord": r"[1-4]\s*학기", "permission": "제한|불가|금지|가능|허용"}
+SUBJECT_SIGNS = {"qualification": "자격|요건|기준", "period": "기간|언제|날짜|일정", "action": "신청방법|취소방법|등록방법|제출방법|발급방법|어떻게"}
+# What is added to an answer for a unit that it lacks.
+UNIT_NOTES = {"phone": "전화: 051-509-{1}", "url": "사이트: {1}", "room": "사무실: {1}", "date": "날짜: {1}", "time": "시간: {1}", "credit": "학점: {1}학점", "won": "금액: {1}원"}
+NOTE_HEAD, NOTE_JOIN = "\n\n[참고] ", " / "
+# Word pairs of questions, and patterns, that ask for two values.
+TWO_VALUE_WORDS = (("복수전공", "이수학점"), ("복수전공", "최소"), ("부전공", "이수학점"), ("제2전공", "이수학점"))
+TWO_VALUE_PATTERN = r"(?:주\s*전공|제1\s*전공|본\s*전공)[^\n]*?(?:제2\s*전공|부\s*전공|복수\s*전공|융합\s*전공)|이론[^\n]*?실습|실습[^\n]*?이론|최대[^\n]*?최소|최소[^\n]*?최대|\d\s*학년[^\n]*?\d\s*학년"
+#: Least score of a reranked row whose stored answer may be given as it is.
+BYPASS_SCORE = 0.2
+# Facts read from a context. The question (without blanks) has one word of each group and none of the
+# last; then the first pattern found fills the answer. {more} is what FACT_MORE finds besides, if anything.
+_RETAKE = ((r"재수강기준성적[:\s]*([A-Da-d][+]?이하)", "{1} 과목만 재수강 가능합니다."), (r"([A-Da-d][+]?)\s*이하[^\n]*?(?:과목|가능|재수강)", "{1} 이하의 과목만 가능합니다."))
+FACT_RULES = (
+    ((("재수강",), ("가능", "몇")), (), _RETAKE),
+    ((("재수강",), ("기준",)), ("제한", "한도", "최대"), _RETAKE),
+    ((("출석",), ("요건", "조건", "기준")), (), ((r"(\d+/\d+)\s*이상", "전체 출석일수의 {1} 이상을 충족해야 합니다."), (r"출석요건[:\s]*(\d+/\d+)", "전체 출석일수의 {1} 이상을 충족해야 합니다."))),
+    ((("ocu",), ("개강", "시작", "언제")), (), ((r"개강일[:\s]*([\d\-]+)", "OCU 개강일은 {1}{more}입니다."),)),
+    ((("몇시", "마감시간", "마감몇시"),), (), ((r"마감[^:]*?(\d{1,2}:\d{2})", "{1}입니다."), (r"(\d{1,2}:\d{2})[^\n]*?마감", "{1}입니다."), (r"시간[:\s]*(\d{1,2}:\d{2})", "{1}입니다."))),
+    ((("이론", "실습", "이수과목"),), (), ((r"이론\s*(\d+)\s*(?:학점)?\s*실습\s*(\d+)", "이론 {1}학점, 실습 {2}학점입니다."),)),
+    ((("수강료", "비용", "금액", "얼마"),), ("초과",), ((r"(\d{1,3}(?:,\d{3})*)\s*원", "{1}원입니다."),)),
+    ((("초과",), ("수강료", "비용", "금액")), (), ((r"초과[^:]*?(\d{1,3}(?:,\d{3})*)\s*원", "초과 수강료는 {1}원입니다."),)),
+)
+FACT_MORE = r"개강시간[:\s]*(오[전후]\s*\d+시)"
+# Words that ask how to reach a department, and the parts of the answer.
+REACH_WORDS = ("전화", "연락처", "번호", "사무실", "어디")
+REACH_PHONE, REACH_ROOM = "051-509-{1}", "사무실 {1}"
 # Grade points and grade ranks.
 GRADE_POINTS = {"A+": 4.5, "A": 4.0, "A0": 4.0, "B+": 3.5, "B": 3.0, "B0": 3.0, "C+": 2.5, "C": 2.0, "C0": 2.0, "D+": 1.5, "D": 1.0, "D0": 1.0, "F": 0.0}
 GRADE_RANKS = {"A+": 10, "A": 9, "A0": 9, "B+": 8, "B": 7, "B0": 7, "C+": 6, "C": 5, "C0": 5, "D+": 4, "D": 3, "D0": 3, "F": 0, "P": -1, "NP": -2}

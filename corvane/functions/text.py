@@ -207,4 +207,5 @@ def expected_units(question: Column) -> Column:
 
 
 def unit_values(text: Column, unit: str) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(fixed.UNIT_PATTERNS[unit]), F.lit(1)), lambda x: F.trim(x))
+    pattern = (fixed.UNIT_PATTERNS | fixed.UNIT_PATTERNS_AROUND)[unit]
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.trim(x))
