@@ -11,6 +11,7 @@ speech they count apart, and a logistic model learns from the labels what each k
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ FIT_ROWS = 10_000
 EDITS = ((10, 2), (5, 1), (0, 0))
 #: The same for tokens of letters and digits, which are seldom a neighbouring word.
 MIXED_EDITS = ((10, 2), (4, 1), (0, 0))
+_EDIT_BITS = 3
 #: Words before and after a hit that make its context.
 CONTEXT = 6
 #: Size of the automaton at which a worker starts it anew.
@@ -57,7 +59,7 @@ def edits_for(term: Term, edits: tuple = EDITS) -> int:
 class Automaton:
     """The deterministic product of the lexicon trie and the terms' Levenshtein automata, built on demand.
 
-    A state is a set of (trie node, edits spent) and the best stem read so far.
+    A state is a set of (trie node, edits spent), packed to four bytes each, and the best stem read so far.
     """
 
     def __init__(self, terms: list[Term], edits: tuple = EDITS) -> None:
@@ -83,7 +85,7 @@ class Automaton:
 
     def reset(self) -> None:
         self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
+        self.states: list[tuple[bytes, int]] = []
         self.step: list[dict[str, int]] = []
         self.verdict: list[tuple[int, int] | None] = []
         self.size = 0
@@ -100,10 +102,10 @@ class Automaton:
         for node, e in nodes.items():
             if e == 0 and (s := self.ends[node][1]) >= 0:
                 stem = s
-        key = (frozenset(nodes.items()), stem)
+        key = (array("I", sorted(node << _EDIT_BITS | e for node, e in nodes.items())).tobytes(), stem)
         if key not in self.ids:
             self.ids[key] = len(self.states)
-            self.states.append((nodes, stem))
+            self.states.append(key)
             self.step.append({})
             found = [(e, -self.terms[t].weight, t) for node, e in nodes.items() if (t := self.ends[node][0]) >= 0 and e <= self.allowed[t]]
             self.verdict.append((min(found)[2], min(found)[0]) if found else (stem, -1) if stem >= 0 else None)
@@ -111,14 +113,15 @@ class Automaton:
         return self.ids[key]
 
     def _follow(self, at: int, c: str) -> int:
-        nodes, stem = self.states[at]
+        packed, stem = self.states[at]
         new: dict[int, int] = {}
 
         def put(node: int, e: int) -> None:
             if e <= self.most[node] and e < new.get(node, 99):
                 new[node] = e
 
-        for node, e in nodes.items():
+        for x in array("I", packed):
+            node, e = x >> _EDIT_BITS, x & (1 << _EDIT_BITS) - 1
             if c in self.child[node]:
                 put(self.child[node][c], e)
             if e < self.most[node]:
