@@ -53,3 +53,16 @@ def threshold_grid(rows: DataFrame, first: str, second: str, label: str, firsts:
     one, two = F.col("i") >= F.col("gi"), F.col("j") >= F.col("gj")
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     return cells.crossJoin(F.broadcast(grid)).groupBy("t1", "t2", "label").agg(n(one & two).alias("n_and"), n(one | two).alias("n_or"))
+
+
+def two_channel_ranks(rows: DataFrame, evidence: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, recall, mrr, channels): by the best rank up to k at which either channel of ``rows`` (query_id, channel,
+    rank, page) has a page of ``evidence`` (query_id, page). Queries without evidence are left out; without a hit the
+    channels are ``hybrid`` if the graph gave any row, else ``vector``.
+    """
+    graph = rows.groupBy("query_id").agg(F.max(F.col("channel") == "graph").alias("any_graph"))
+    hits = rows.where(F.col("rank") <= k).join(evidence.distinct(), ["query_id", "page"]).groupBy("query_id")
+    hits = hits.agg(F.min("rank").alias("best"), F.max(F.col("channel") == "graph").alias("g"), F.max(F.col("channel") == "vector").alias("v"))
+    found = evidence.select("query_id").distinct().join(hits, "query_id", "left").join(graph, "query_id", "left")
+    channels = F.when(F.col("g") & F.col("v"), "hybrid").when(F.col("g"), "graph").when(F.col("v"), "vector").when(F.coalesce("any_graph", F.lit(False)), "hybrid").otherwise("vector")
+    return found.select("query_id", F.when(F.col("best").isNotNull(), 1.0).otherwise(0.0).alias("recall"), F.coalesce(F.round(1 / F.col("best"), 6), F.lit(0.0)).alias("mrr"), channels.alias("channels"))

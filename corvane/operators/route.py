@@ -91,3 +91,36 @@ def by_focus(rows: DataFrame, intent: Column, least: int = 3) -> DataFrame:
     query = Window.partitionBy("query_id")
     first = F.when((F.count("*").over(query) > least) & hit, 0).otherwise(1)
     return rows.withColumn("_first", first).withColumn("rank", F.row_number().over(query.orderBy("_first", "rank"))).drop("_first")
+
+
+# The factor of rows for other student groups, notices beside other results, results sent to a page, and the head by which retried rows are the same.
+OTHER_GROUP, SERIALISED, RETRY_HEAD = 0.6, 10, 120
+
+
+def for_group(rows: DataFrame, own: Column) -> DataFrame:
+    """``rows`` (group, score) with the scores of rows for another group than ``own`` lowered; rows of no group are for all."""
+    other = (F.coalesce("group", F.lit("")) != "") & own.isNotNull() & (F.col("group") != own)
+    return rows.withColumn("score", F.when(other, F.col("score") * OTHER_GROUP).otherwise(F.col("score")))
+
+
+def notice_quota(rows: DataFrame) -> DataFrame:
+    """``rows`` (query_id, channel, direct, rank) less the notices beyond their query's quota: none beside a direct answer, one beside two results, else two."""
+    query = Window.partitionBy("query_id")
+    notice = F.col("channel") == "notice"
+    quota = F.when(F.max(F.coalesce(F.col("direct") & ~notice, F.lit(False))).over(query), 0).when(F.count_if(~notice).over(query) >= 2, 1).otherwise(2)
+    nth = F.row_number().over(Window.partitionBy("query_id", "channel").orderBy("rank"))
+    return rows.withColumn("_quota", quota).withColumn("_nth", nth).where(~notice | (F.col("_nth") <= F.col("_quota"))).drop("_quota", "_nth")
+
+
+def with_retry(first: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows (query_id, channel, text, rank) of a search and its retry in that order, each head of a channel once, rows without text left out."""
+    rows = first.withColumn("_run", F.lit(0)).unionByName(again.withColumn("_run", F.lit(1))).withColumn("_head", F.substring("text", 1, RETRY_HEAD)).where("_head != ''")
+    nth = F.row_number().over(Window.partitionBy("query_id", "channel", "_head").orderBy("_run", "rank"))
+    rows = rows.withColumn("_nth", nth).where("_nth = 1")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "channel").orderBy("_run", "rank"))).drop("_run", "_head", "_nth")
+
+
+def serialised(rows: DataFrame) -> DataFrame:
+    """The first SERIALISED rows of each query as they are sent: scores of four digits, empty texts for what is missing."""
+    texts = [c for c, t in rows.dtypes if t == "string"]
+    return rows.where(F.col("rank") <= SERIALISED).withColumns({c: F.coalesce(c, F.lit("")) for c in texts} | {"score": F.round(F.coalesce("score", F.lit(0.0)), 4)})
