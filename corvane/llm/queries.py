@@ -1,6 +1,6 @@
 """The subpackage's registered queries, and their DuckDB twins where SQL can express them."""
 
-from corvane.llm import decontaminate, jaccard, language_model, mixing, pii, quality, substrings, token_counts, toxicity, warc
+from corvane.llm import decontaminate, dialogue, jaccard, language_model, mixing, pii, quality, runs, simhash, substrings, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_simhash": simhash.op11_simhash,
+    "op12_conversation_repair": dialogue.op12_conversation_repair,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {"op9_quality": quality.OP9_SQL}

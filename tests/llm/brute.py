@@ -171,3 +171,134 @@ def targets(sizes: dict, weights: tuple = (1, 2, 3), most: int = 3) -> dict:
         if not over:
             return full | {s: share * weight[s] for s in left}
         full |= {s: most * sizes[s] for s in over}
+
+
+def simhash(docs: list[tuple], shingle: int = 3, bits: int = 2) -> list[tuple]:
+    import xxhash
+
+    prints = []
+    for _, text in docs:
+        words = SPACE_WORD.findall((text or "").translate(UPPER))
+        shingles = [words[i : i + shingle] for i in range(len(words) - shingle + 1)] or ([words] if words else [])
+        hashed = [xxhash.xxh64_intdigest(" ".join(s).encode(), seed=42) for s in shingles]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed)))
+    component = list(range(len(docs)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(docs)):
+            for j in range(len(docs)):
+                if (prints[i] ^ prints[j]).bit_count() <= bits and component[j] < component[i]:
+                    component[i], changed = component[j], True
+    least: dict[int, int] = {}
+    for (k, _), c in zip(docs, component, strict=True):
+        if k is not None:
+            least[c] = min(k, least.get(c, k))
+    return [(k, f"{p:016x}", least.get(c)) for (k, _), p, c in zip(docs, prints, component, strict=True)]
+
+
+def repaired(rows: list[tuple]) -> tuple:
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, sha256) of one conversation's (turn, role, text)."""
+    rows = sorted(((t, " " if r is None else r, " " if x is None else x) for t, r, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(r[2].encode()).digest()))
+    faults, seen = [], set()
+    for _, role, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]", text)
+        faults.append("blank" if not words else "duplicate" if (role, text) in seen else "truncated" if words[-1] not in ".!?" else "")
+        seen.add((role, text))
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    initials = [r[:1] for _, r, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+    cache: dict[tuple, tuple] = {}
+
+    def best(i: int, made: str, free: int) -> tuple:
+        """(cost, audit, turns) of the rest, after the initial ``made``; ``free``: inserts still allowed here."""
+        if (i, made, free) in cache:
+            return cache[i, made, free]
+        ways = []
+        allowed = {"": "su", "s": "u", "u": "a", "a": "u"}[made]
+        if i == len(rows) and made in ("", "a"):
+            ways.append((0, "", ()))
+        for x in "ua":
+            if x in allowed and free:
+                c, a, t = best(i, x, free - 1)
+                ways.append((c + 2, "I" + a, (({"u": "user", "a": "assistant"}[x] + ":"), *t)))
+        if i < len(rows):
+            c, a, t = best(i + 1, made, 3)
+            ways.append((c + 3, "D" + a, t))
+            if faults[i] in ("", "truncated"):
+                more = faults[i] == "truncated"
+                if initials[i] and initials[i] in allowed:
+                    c, a, t = best(i + 1, initials[i], 3)
+                    ways.append((c + more, "K" + a, (f"{rows[i][1]}:{rows[i][2]}", *t)))
+                for x in "ua":
+                    if x in allowed:
+                        c, a, t = best(i + 1, x, 3)
+                        ways.append((c + 2 + more, "R" + a, (f"{ {'u': 'user', 'a': 'assistant'}[x] }:{rows[i][2]}", *t)))
+        cache[i, made, free] = min(ways, default=(1 << 40, "", ()))
+        return cache[i, made, free]
+
+    for i in range(len(rows), 0, -1):  # from the end, so that the recursion stays shallow
+        for made in ("", "s", "u", "a"):
+            best(i, made, 3)
+    cost, audit, made = best(0, "", 3)
+    return gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, sha256("\n".join(made))
+
+
+def damaged(rows: list[tuple]) -> list[tuple]:
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        h = remainder(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}", 20)
+        if h:
+            text = "" if h == 1 else re.sub("[.!?]", "", text) if h == 2 else text
+            out += [(conv, turn, "user" if h == 4 else role, text)] * (2 if h == 3 else 1)
+    return out
+
+
+def repairs(rows: list[tuple], ids: list) -> list[tuple]:
+    by = defaultdict(list)
+    for conv, *rest in rows:
+        by[conv].append(tuple(rest))
+    return [(conv, *(repaired(by[conv]) if conv in by else (0, 0, 0, 0, 0, 0, "", sha256("")))) for conv in set(ids)]
+
+
+def runs(words: list[str], shortest: int = 6, times: int = 4) -> list[tuple]:
+    """(start, length, period) of each run, by looking at every period."""
+    out, taken = [], set()
+    for q in range(1, len(words) // times + 1):
+        i = 0
+        while i + q < len(words):
+            s = i
+            while i + q < len(words) and words[i] == words[i + q]:
+                i += 1
+            length = i - s + q
+            if length >= max(shortest, times * q) and (s, length) not in taken:
+                taken.add((s, length))  # a smaller period has the same stretch
+                out.append((s, length, q))
+            i += i == s
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def with_periods(key: object, words: list[str]) -> list[str]:
+    h = zlib.crc32(str(key).encode())
+    g, n = h // 10, len(words)
+    if key is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[a + (i - a) % p] if i >= a else words[i] for i in range(n)]
+
+
+def periodic(docs: list[tuple]) -> list[tuple]:
+    from fractions import Fraction
+
+    out = []
+    for key, text in docs:
+        words = with_periods(key, SPACE_WORD.findall(text or ""))
+        found = runs(words)
+        gone = {i for s, length, q in found for i in range(s + q, s + length)}
+        best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+        columns = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+        out.append((key, len(found), *columns, sha256("".join(f"{s},{length},{q}\n" for s, length, q in found)), sha256(" ".join(w for i, w in enumerate(words) if i not in gone))))
+    return out
