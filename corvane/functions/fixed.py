@@ -26,7 +26,10 @@ QUESTION_STOPWORDS = (
     "교내", "학교", "캠퍼스", "우리", "어디", "어떻게", "무엇", "언제", "얼마", "점심", "저녁", "아침", "식사",
 )
 # Signs that an answer only says where to ask.
-REDIRECT_MARKERS = ("문의 바랍니다", "통합정보시스템 >", "홈페이지 >", "아래로 문의", "자세한 내용은", "자세한 사항은", "각 학부(과) 사무실", "해당 부서")
+REDIRECT_MARKERS = (
+    "참고하시기 바랍니다", "참고하시기바랍니다", "참고 바랍니다", "문의하시기 바랍니다", "문의 바랍니다", "통합정보시스템 >",
+    "홈페이지 >", "아래로 문의", "자세한 내용은", "자세한 사항은", "각 학부(과) 사무실", "해당 부서",
+)
 CONCRETE = r"\d{2,}\s*학점|\d{4}\s*학?년|\d{4}[.\-]\d{1,2}[.\-]\d{1,2}|\d{1,2}\s*월\s*\d{1,2}\s*일|\d+\s*%|\d+\s*등급|\d+\s*점|\d+\s*시간"
 # Signs of a reported fault.
 TROUBLE_SIGNS = ("안 됩니다", "안 돼요", "안 돼", "안 되네", "안되요", "안돼요", "되지 않", "되질 않", "안 되", "되지않", "오류", "에러", "error", "문제", "막혀", "막혔", "차단", "거부", "왜 안", "왜안")
@@ -139,3 +142,21 @@ BUDGETS = {
     "SCHOLARSHIP": 1200, "LEAVE_OF_ABSENCE": 1200, "EARLY_GRADUATION": 1600, "MAJOR_CHANGE": 1600, "TRANSCRIPT": 1600,
 }
 DEFAULT_BUDGET = 1200
+# Words of students' own, and the terms they stand for.
+GLOSSARY = {
+    "복전": "복수전공", "부전": "부전공", "전필": "전공필수", "전선": "전공선택", "교필": "교양필수", "교선": "교양선택", "학고": "학사경고", "재수강": "재수강", "학점넘김": "학점이월", "마이크로": "마이크로전공", "융합": "융합전공", "전과": "전과",
+    "전부과": "전과", "전부(과)": "전과", "학과변경": "전과", "학과 변경": "전과", "하계수업": "계절학기", "동계수업": "계절학기", "영문성적증명": "영문 성적증명서", "교양상호인정": "교양전공상호인정", "취커": "취업커뮤니티", "글소역": "글로벌소통역량과정",
+    "이수구분변경": "이수구분 변경신청", "이수구분 바꾸기": "이수구분 변경신청", "이수구분 바꾸고": "이수구분 변경신청", "이수구분 바꾸는": "이수구분 변경신청", "전탐": "전공탐색", "PSC": "PSC세미나", "수1/4": "수업일수 1/4선", "추가 수강신청": "수강신청 정정",
+    "추가수강신청": "수강신청정정", "수강 정정": "수강신청 정정", "수강변경": "수강신청 정정", "드랍": "수강취소", "졸업식": "학위수여식", "취소하고 다시 수강신청": "수강정정", "취소 후 다시 수강신청": "수강정정", "취소하고 재신청": "수강정정", "취소 후 재신청": "수강정정",
+    "다시 수강신청": "수강정정", "재수강신청": "수강정정", "졸시": "졸업시험", "졸업시험": "졸업시험", "공결": "공인결석계", "공인결석": "공인결석계", "학사경고": "학사경고", "성적이의": "성적 이의신청", "성적정정": "성적 정정", "성적공시": "성적확인",
+    "성적발표": "성적확인", "성적 언제": "성적확인", "패논패": "Pass/NP 성적선택", "P/NP신청": "성적선택 신청", "패스논패스": "Pass/NP 성적선택", "조기졸신청": "조기졸업 신청", "조기졸업신청": "조기졸업 신청", "7학기졸업": "조기졸업", "6학기졸업": "조기졸업",
+    "7학기만에졸업": "조기졸업", "7학기 만에 졸업": "조기졸업", "6학기 만에 졸업": "조기졸업", "7학기만에": "조기졸업", "6학기만에": "조기졸업", "조기졸업조건": "조기졸업 자격", "조기졸업자격": "조기졸업 자격", "조기졸업기준": "조기졸업 졸업기준", "장학": "장학금",
+    "장학금신청": "장학금 신청", "교내장학": "교내장학금", "근로장학": "근로장학금", "국가장학": "국가장학금", "외부장학": "외부장학금", "민간장학": "민간장학금", "장학자격": "장학금 신청자격", "장학조건": "장학금 신청자격", "장학금조건": "장학금 신청자격",
+    "등록금지원": "등록금 지원", "학비지원": "등록금 지원", "TA장학생": "TA장학생 교육조교", "TA장학": "TA장학 교육조교", "TA 장학": "TA장학 교육조교", "학식": "학생식당", "교식": "학생식당", "교직원 식당": "학생식당", "교직원식당": "학생식당",
+    "학생 식당": "학생식당", "식단표": "학생식당 식단표", "오늘 메뉴": "학생식당 메뉴", "오늘메뉴": "학생식당 메뉴", "오늘 밥": "학생식당 메뉴", "오늘 점심": "학생식당 점심 메뉴", "점심 메뉴": "학생식당 메뉴", "점심메뉴": "학생식당 메뉴", "몇학점": "몇 학점",
+    "총학점": "총 이수학점", "최소학점": "최소 이수학점", "컴공": "컴퓨터공학과", "영문": "영미언어문화학부", "영문과": "영미언어문화학부", "일문": "일본어학과", "일문과": "일본어학과", "중문": "중국언어문화학부", "중문과": "중국언어문화학부", "불문": "프랑스어학과",
+    "불문과": "프랑스어학과", "독문": "독일어학과", "독문과": "독일어학과", "스페인어과": "스페인어학과", "러시아어과": "러시아언어문화학과", "러시아어": "러시아언어문화학과", "소웨": "소프트웨어학부", "솝웹": "소프트웨어학부", "Major Required": "전공필수",
+    "Major Elective": "전공선택", "GE": "교양필수", "7+1": "자유학기제", "7+1학기": "자유학기제", "자유학기": "자유학기제", "ocu": "OCU", "오씨유": "OCU", "원격강좌": "OCU", "전자출석": "전자출결", "출석체크": "전자출결",
+    "출결시스템": "전자출결", "수업료": "등록금", "등록금환불": "등록금 반환", "등록금반환": "등록금 반환", "등록금취소환불": "등록금 반환", "졸업유보자": "졸업유보", "졸업유보": "졸업유보", "학사학위취득유예자": "학사학위취득유예", "학사학위취득유예": "학사학위취득유예",
+    "학위취득유예": "학사학위취득유예", "유예자": "학사학위취득유예",
+}

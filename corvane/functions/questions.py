@@ -6,11 +6,11 @@ expression.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import rules
@@ -32,21 +32,26 @@ def first(cases: Sequence[tuple[Column, Column]], otherwise: Column | None = Non
     return out
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def intent(text: Column) -> Column:
     """The first fitting rule's intent; else the one with most words, ties by what is asked, then by the table's order; else GENERAL."""
-    scores = F.array(*(sum((text.contains(w).cast("int") for w in words), F.lit(0)) for words in rules.INTENT_WORDS.values()))
     names = list(rules.INTENT_WORDS)
-    best = F.array_max(scores)
-    leads = lambda name: F.get(scores, F.lit(names.index(name))) == best
-    tied = F.size(F.filter(scores, lambda s: s == best)) > 1
-    by_focus = [
-        (tied & any_of(text, rules.PERIOD) & leads("SCHEDULE"), F.lit("SCHEDULE")),
-        (tied & any_of(text, rules.LIMIT) & leads("REGISTRATION"), F.lit("REGISTRATION")),
-        (tied & any_of(text, rules.LIMIT) & leads("GRADUATION_REQ"), F.lit("GRADUATION_REQ")),
-        (tied & any_of(text, rules.METHOD) & leads("LEAVE_OF_ABSENCE"), F.lit("LEAVE_OF_ABSENCE")),
-    ]
+    counts = F.array(*(sum((text.contains(w).cast("int") for w in words), F.lit(0)) for words in rules.INTENT_WORDS.values()))
+    asked = F.struct(*(any_of(text, words).alias(name) for name, words in (("period", rules.PERIOD), ("limit", rules.LIMIT), ("method", rules.METHOD))))
+
+    def most(s: Column) -> Column:
+        leads = lambda name: F.get(s["scores"], F.lit(names.index(name))) == s["best"]
+        tied = F.size(F.filter(s["scores"], lambda x: x == s["best"])) > 1
+        ties = [("period", "SCHEDULE"), ("limit", "REGISTRATION"), ("limit", "GRADUATION_REQ"), ("method", "LEAVE_OF_ABSENCE")]
+        return first([(s["best"] == 0, F.lit("GENERAL")), *((tied & s["asked"][a] & leads(name), F.lit(name)) for a, name in ties)], F.element_at(F.array(*map(F.lit, names)), F.array_position(s["scores"], s["best"]).cast("int")))
+
+    scored = bound(counts, lambda c: F.struct(c.alias("scores"), F.array_max(c).alias("best"), asked.alias("asked")))
     by_rule = [(fits(text, groups, none), F.lit(name)) for name, groups, none in rules.INTENT_RULES]
-    return first([*by_rule, (best == 0, F.lit("GENERAL")), *by_focus], F.element_at(F.array(*map(F.lit, names)), F.array_position(scores, best).cast("int")))
+    return first(by_rule, bound(scored, most))
 
 
 def focus(text: Column) -> Column:
@@ -59,6 +64,7 @@ def entities(text: Column) -> Column:
     found = {
         "department": words([(d, (d,)) for d in rules.DEPARTMENTS]),
         "course_number": F.nullif(F.regexp_extract(text, r"[A-Z]{2,4}\d{3,4}", 0), F.lit("")),
+        "course_name": course_name(text),
         "liberal_arts_area": words(rules.LIBERAL_ARTS),
         "major_method": F.when(text.rlike(r"방법\s*[123]"), F.concat(F.lit("방법"), F.regexp_extract(text, r"방법\s*([123])", 1))),
         "graduation_cert": F.when(F.lower(text).contains("topik"), F.lit("TOPIK")),
@@ -69,6 +75,44 @@ def entities(text: Column) -> Column:
     return F.map_filter(every, lambda _, v: v.isNotNull())
 
 
+def course_name(text: Column) -> Column:
+    """The word before one for equivalents of a course, else before one for a course, unless it names none."""
+    named = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (rules.COURSE_BEFORE, rules.COURSE_WITHIN)]
+    return F.coalesce(*(F.when(~n.isin(*rules.NOT_COURSES), n) for n in named))
+
+
+def stores(text: Column, intent_: Column) -> Column:
+    """(graph, vector): whether a question is asked of the graph, and of texts."""
+    timetable = (intent_ == "SCHEDULE") & ~any_of(text, rules.SCHEDULE_TEXT_WORDS)
+    online = F.lower(text).contains("ocu") & any_of(text, rules.OCU_TEXT_WORDS)
+    only, both = any_of(text, rules.TEXT_ONLY_WORDS), any_of(text, rules.BOTH_WORDS)
+    graph = F.when(both, True).when(only, False).otherwise(intent_.isin(*rules.GRAPH_INTENTS))
+    return F.struct(graph.alias("graph"), (both | only | online | ~timetable).alias("vector"))
+
+
+def missing_info(intent_: Column, year: Column) -> Column:
+    """What has to be asked for: the year of entry, for some intents."""
+    return F.when(year.isNull() & intent_.isin(*rules.YEAR_INTENTS), F.array(F.lit("student_id"))).otherwise(F.array().cast("array<string>"))
+
+
+def analyzed(rows: DataFrame, text: str, group_of) -> DataFrame:
+    """``rows`` with the whole analysis of a Korean question in formal terms (see ``terms.replaced_terms``): intent, student_id,
+    student_type, entities, requires_graph, requires_vector, missing_info, lang, question_type, ko_query."""
+    t = F.col(text)
+    found = rows.withColumns({"intent": intent(t), "student_id": student_year(t), "student_type": student_type(t), "_named": entities(t), "_groups": F.array_join(student_groups(t, group_of), ",")})
+    found = found.withColumns({"_stores": stores(t, F.col("intent")), "entities": F.when(F.col("_groups") != "", F.map_concat("_named", F.create_map(F.lit("student_groups"), "_groups"))).otherwise(F.col("_named"))})
+    return found.withColumns(
+        {
+            "requires_graph": F.col("_stores.graph"),
+            "requires_vector": F.col("_stores.vector"),
+            "missing_info": missing_info(F.col("intent"), F.col("student_id")),
+            "lang": F.lit("ko"),
+            "question_type": question_type(t, F.coalesce(F.col("_named")["question_focus"], F.lit(""))),
+            "ko_query": F.lit(None).cast("string"),
+        }
+    ).drop("_named", "_groups", "_stores")
+
+
 def student_groups(text: Column, group_of) -> Column:
     """Distinct groups in the order: a range's two ends (2024 to 2025: one group of its own), years with a bound, years, two-digit years."""
     none = F.array().cast("array<string>")

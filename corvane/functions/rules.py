@@ -35,11 +35,11 @@ INTENT_RULES = (
 # Words that count for an intent, intents in the order that settles ties.
 INTENT_WORDS = {
     "ALTERNATIVE": ("대체", "동일과목", "폐지", "대신", "대체과목", "대체가능"),
-    "EARLY_GRADUATION": ("조기 졸업", "7학기 졸업", "6학기 졸업", "7학기만에", "6학기만에", "빨리 졸업", "일찍 졸업"),
+    "EARLY_GRADUATION": ("조기졸업", "조기 졸업", "7학기 졸업", "6학기 졸업", "7학기만에", "6학기만에", "조기졸업 신청", "조기졸업 자격", "조기졸업 조건", "조기졸업 기준", "조기졸업 학점", "조기졸업 신청기간", "빨리 졸업", "일찍 졸업"),
     "GRADUATION_REQ": ("졸업", "졸업요건", "졸업학점", "이수학점", "몇 학점", "전공학점", "글로벌소통역량", "취업커뮤니티", "NOMAD", "졸업인증", "졸업시험", "학점인정", "선이수", "성적처리", "성적 처리", "성적기준", "평점산출", "평점계산", "학점계산", "성적이의", "성적정정", "이의신청", "상대평가", "절대평가", "성적평가"),
-    "REGISTRATION": ("수강신청", "수강", "학점 이월", "이월", "신청가능학점", "최대학점", "신청학점", "취소", "최대신청", "한국열린사이버대학교", "OCU", "납부", "수강신청 정정", "수강정정", "공인결석계", "이수 가능", "신청 가능", "수강 가능", "계절수업", "하계학기", "동계학기", "성적선택", "성적포기", "Pass", "P/NP", "등급제", "자유학기제", "자유학기", "7+1학기", "7+1", "전자출결", "출결", "출석체크", "전자출석", "등록금 반환", "등록금반환", "등록금 환불", "환불기준", "등록금납부", "수업료 반환"),
+    "REGISTRATION": ("수강신청", "수강", "재수강", "학점이월", "학점 이월", "이월", "신청가능학점", "최대학점", "신청학점", "취소", "최대신청", "한국열린사이버대학교", "OCU", "장바구니", "납부", "수강신청 정정", "수강정정", "공인결석계", "이수 가능", "신청 가능", "수강 가능", "이수구분", "이수구분 변경", "이수구분 신청", "계절학기", "계절수업", "하계학기", "동계학기", "성적선택", "성적포기", "Pass", "P/NP", "등급제", "자유학기제", "자유학기", "7+1학기", "7+1", "전자출결", "출결", "출석체크", "전자출석", "등록금 반환", "등록금반환", "등록금 환불", "환불기준", "등록금납부", "수업료 반환"),
     "SCHEDULE": ("언제", "기간", "일정", "일자", "스케줄", "마감", "시작일", "종료일", "중간고사", "기말고사", "개강", "종강", "방학", "수강취소", "수업일수", "학사일정", "시험기간", "시험일정", "고사"),
-    "MAJOR_CHANGE": ("복수전공", "부전공", "마이크로전공", "제2전공", "융합전공", "전공탐색", "교직", "제1전공", "단일전공", "주전공+복수전공", "복수전공 이수학점", "전과", "전공 변경", "전공변경", "전공을 변경", "전공 바꾸", "학과 변경"),
+    "MAJOR_CHANGE": ("복수전공", "부전공", "마이크로전공", "전과", "제2전공", "융합전공", "전공탐색", "교직", "제1전공", "단일전공", "방법1", "방법2", "방법3", "이수방법1", "이수방법2", "이수방법3", "주전공+복수전공", "복수전공 이수학점", "전공 변경", "전공변경", "전공을 변경", "전공 바꾸", "학과 변경"),
     "COURSE_INFO": ("과목", "교과목", "수업", "강의", "강의실", "개설", "강좌", "온라인", "대면", "플립"),
     "SCHOLARSHIP": ("장학금", "장학금 신청", "장학금 자격", "장학금 조건", "장학금 신청자격", "장학금 신청기간", "장학금 금액", "등록금 지원", "교내장학금", "근로장학금", "국가장학금", "외부장학금", "민간장학금", "성적우수장학금", "생활비지원", "한국장학재단", "TA장학", "TA장학금", "TA장학생", "교육조교"),
     "LEAVE_OF_ABSENCE": ("휴학", "복학", "휴학 신청", "복학 신청", "일반휴학", "군입대휴학", "군입대 휴학", "창업휴학", "질병휴학", "출산휴학", "육아휴학", "휴학 기간", "복학 기간", "휴학 방법", "휴학 서류", "복학 절차", "휴학신청", "복학신청", "휴학연장", "휴학 취소", "입대 휴학", "전부", "전부(과)", "전학과", "재입학", "재입학 신청", "재입학 조건", "자퇴", "자퇴 신청", "자퇴 방법", "자퇴하고", "제적", "중도이탈", "학적 변동", "학적변동", "졸업유보", "졸업유보자", "학사학위취득유예", "학위취득유예", "유예자", "학사학위취득유예자"),
@@ -99,3 +99,18 @@ COMMUNITY_WORDS = (("academic_support", ("교직", "교원자격", "장학", "
 # Candidates searched for an intent.
 INTENT_CANDIDATES = {"SCHEDULE": 15, "ALTERNATIVE": 10, "GRADUATION_REQ": 15, "REGISTRATION": 15, "EARLY_GRADUATION": 10, "SCHOLARSHIP": 15, "LEAVE_OF_ABSENCE": 15, "COURSE_INFO": 20, "MAJOR_CHANGE": 15, "GENERAL": 15}
 FOCUS_WORDS = {"EARLY_GRADUATION": ("조기졸업",), "MAJOR_CHANGE": ("전과", "자유전공"), "LEAVE_OF_ABSENCE": ("휴학",), "SCHOLARSHIP": ("장학", "TA"), "ALTERNATIVE": ("대체과목", "동일과목")}
+# Words before which a course is named, words that name one after a blank, and what isn't a course.
+COURSE_BEFORE = r"([가-힣A-Za-z0-9]{2,12})\s*(?:대체과목|동일과목|대체가능|대체|대신|과목\s*정보)"
+COURSE_WITHIN = r"([가-힣A-Za-z0-9]{2,12})\s+(?:과목|수업|강의)\s"
+NOT_COURSES = (
+    "어떤", "무슨", "이번", "다른", "해당", "전체", "모든", "각각", "수강신청", "수강", "졸업", "학사", "학점", "성적", "교양",
+    "복수전공", "부전공", "제2전공", "마이크로전공", "융합전공",
+)
+# Which stores a question needs. Intents asked of the graph; intents that need a year of entry; words with
+# which a timetable question is asked of texts, too; words that only texts answer, and words that both do.
+GRAPH_INTENTS = ("GRADUATION_REQ", "EARLY_GRADUATION", "ALTERNATIVE", "SCHEDULE", "COURSE_INFO", "MAJOR_CHANGE", "REGISTRATION", "SCHOLARSHIP", "LEAVE_OF_ABSENCE", "TRANSCRIPT", "GENERAL")
+YEAR_INTENTS = ("GRADUATION_REQ", "MAJOR_CHANGE", "REGISTRATION")
+SCHEDULE_TEXT_WORDS = ("교시", "야간수업", "시간표", "강의시간", "성적", "제도", "요건", "조건", "규정", "취소", "마감")
+OCU_TEXT_WORDS = ("수강신청", "기간", "신청기간")
+TEXT_ONLY_WORDS = ("성적선택", "성적포기", "Pass", "P/NP", "등급제")
+BOTH_WORDS = ("성적처리", "평점산출", "평점계산")

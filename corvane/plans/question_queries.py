@@ -18,7 +18,9 @@ TEXTS = (
     "TOPIK 점수", "후기 학위수여식 일정", "College English 면제", "교직 이수", "등록금 반환 절차", "강의", "", "  ", "그거 언제까지야", "각각 차이가 뭐야", "둘 다 돼?", "차이 알려줘", "그럼 언제", "기간이 아닐때는 못해?", "마감", "신청 기간은 언제인가요 알려주세요 꼭", "전기 등록금 납부 기간",
 )
 _LITERALS = values(list(enumerate(TEXTS)), "i, body")
+_LIST_OF_TEXTS = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in TEXTS) + "]"
 _Q = f"""qu AS (SELECT 'l' || i AS qid, body AS text, i % 3 <> 0 AS has_history FROM {_LITERALS}
+UNION ALL SELECT 'o' || o_orderkey, concat(2010 + o_custkey % 17, '학번 ', {_LIST_OF_TEXTS}[o_orderkey % {len(TEXTS)} + 1], ' ', {_LIST_OF_TEXTS}[(o_orderkey // {len(TEXTS)}) % {len(TEXTS)} + 1]), o_orderkey % 2 = 0 FROM orders
 UNION ALL SELECT 'c' || conv_id || '-' || turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 FROM conversations)"""
 _LIT = lambda x: "'" + x.replace("'", "''") + "'"
 
@@ -36,10 +38,13 @@ def _case(pairs, otherwise: str = "NULL") -> str:
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, text, has_history): the literals, and every turn, with whether any came before."""
+    """(qid, text, has_history): the literals, a question of two of them and a year for each order, and every turn, with whether any came before."""
     literals = spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string").select(F.concat(F.lit("l"), "i").alias("qid"), "text", (F.col("i") % 3 != 0).alias("has_history"))
+    k, n, phrases = F.col("o_orderkey"), len(TEXTS), F.array(*map(F.lit, TEXTS))
+    phrase = lambda i: F.get(phrases, i.cast("int"))
+    ordered = table(spark, sf, "orders").select(F.concat(F.lit("o"), k).alias("qid"), F.concat(2010 + F.col("o_custkey") % 17, F.lit("학번 "), phrase(k % n), F.lit(" "), phrase(F.floor(k / n) % n)).alias("text"), (k % 2 == 0).alias("has_history"))
     before = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) > 1
-    return literals.unionByName(table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("qid"), "text", before.alias("has_history")))
+    return literals.unionByName(ordered).unionByName(table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("qid"), "text", before.alias("has_history")))
 
 
 _NAMES = list(rules.INTENT_WORDS)
@@ -66,6 +71,7 @@ def intents(spark: SparkSession, sf: str) -> DataFrame:
 _ENTITIES = {
     "department": _case([(_any((d,)), _LIT(d)) for d in rules.DEPARTMENTS]),
     "course_number": "nullif(regexp_extract(text, '[A-Z]{2,4}[0-9]{3,4}'), '')",
+    "course_name": "coalesce(" + ", ".join(f"CASE WHEN nullif(regexp_extract(text, '{p}', 1), '') NOT IN ({', '.join(map(_LIT, rules.NOT_COURSES))}) THEN nullif(regexp_extract(text, '{p}', 1), '') END" for p in (rules.COURSE_BEFORE, rules.COURSE_WITHIN)) + ")",
     "liberal_arts_area": _case([(_any(ws), _LIT(n)) for n, ws in rules.LIBERAL_ARTS]),
     "major_method": r"CASE WHEN regexp_matches(text, '방법\s*[123]') THEN '방법' || regexp_extract(text, '방법\s*([123])', 1) END",
     "graduation_cert": "CASE WHEN contains(lower(text), 'topik') THEN 'TOPIK' END",
