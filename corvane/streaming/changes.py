@@ -1,7 +1,9 @@
-"""Crawled pages as a stream: each micro-batch is held against the stored state, applied, and what succeeded is committed.
+"""Crawled pages as a stream: what is new or changed is applied as it comes; what is gone goes at the end of its crawl.
 
-State and table are written as a new version a batch, named by the batch's number, so a batch that is run again after a
-failure starts from the same version as the first time and writes the same one.
+A crawl may come in any number of micro-batches: each page carries the crawl's number, and a row marked as the end says
+that no more of it will come. Only then are pages deleted that the crawl didn't see. State and pages are versioned tables
+of which a batch rewrites the parts that it touches; a batch that is run again after a failure starts from the version
+before it and writes the same one.
 """
 
 from __future__ import annotations
@@ -13,51 +15,79 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvane.operators import tables
+from corvane.streaming.versions import VersionedTable
 
-STATE = "source_id string, content_hash string, first_seen timestamp, last_seen timestamp"
+STATE = "source_id string, content_hash string, first_seen timestamp, last_seen timestamp, seen_crawl long"
+PAGES = "source_id string, content string"
+#: What a stream of crawls has; source_id and content are null in a row that only marks the end.
+CRAWL = "crawl_id long, source_id string, content string, crawled_at timestamp, is_end boolean"
 
 
-def _before(spark: SparkSession, folder: str, batch: int, schema: str) -> DataFrame:
-    """The version of the batch before, or an empty table."""
-    if batch == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/v{batch - 1}")
+def state_table(spark: SparkSession, folder: str) -> VersionedTable:
+    return VersionedTable(spark, f"{folder.rstrip('/')}/state", STATE, "source_id")
 
 
-def _versions(folder: str, part: str) -> str:
-    return f"{folder.rstrip('/')}/{part}"
+def page_table(spark: SparkSession, folder: str) -> VersionedTable:
+    return VersionedTable(spark, f"{folder.rstrip('/')}/table", PAGES, "source_id")
+
+
+def _parts(rows: DataFrame, table: VersionedTable) -> set[int]:
+    return {r["p"] for r in rows.select(table.part_of("source_id").alias("p")).distinct().collect()}  # no more than table.parts
+
+
+def unseen(state: DataFrame, ended: list[int]) -> DataFrame:
+    """Events of pages that a crawl which has ended didn't see, though it saw others of their scheme (pages without a scheme: whatever it saw)."""
+    scheme = F.when(F.col("source_id").contains("://"), F.regexp_extract("source_id", "^(.*?)://", 1))
+    known = state.withColumn("scheme", scheme)
+    latest = known.where("scheme IS NOT NULL").groupBy(F.col("scheme").alias("s")).agg(F.max("seen_crawl").alias("latest"))
+    last = max(ended)
+    joined = known.join(latest, F.col("scheme") == F.col("s"), "left").where(F.col("scheme").isNull() | (F.col("latest") >= last))
+    return joined.where(F.coalesce("seen_crawl", F.lit(-1)) < last).select("source_id", F.lit("DELETED").alias("change"), F.col("content_hash").alias("old_hash"), F.lit(None).cast("string").alias("new_hash"))
 
 
 def apply_batch(batch: DataFrame, number: int, folder: str, fails: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """One crawl (source_id, content, crawled_at): the newest row of an id counts.
+    """One micro-batch of crawls (see CRAWL): the newest row of an id counts.
 
     fails: the events (source_id, ...) of those given that couldn't be applied; they are neither applied nor committed,
     so the next crawl finds them again.
     """
     spark = batch.sparkSession
-    content = "source_id string, content string"
-    crawl = tables.newest(batch, "source_id", F.desc("crawled_at"), F.desc("content")).withColumn("content_hash", F.sha2("content", 256)).persist()
-    state, table = _before(spark, _versions(folder, "state"), number, STATE), _before(spark, _versions(folder, "table"), number, content)
-    events = tables.changes(state, crawl).persist()
+    states, pages = state_table(spark, folder), page_table(spark, folder)
+    rows = batch.persist()
+    crawl = tables.newest(rows.where("source_id IS NOT NULL"), "source_id", F.desc("crawled_at"), F.desc("content")).withColumn("content_hash", F.sha2("content", 256)).persist()
+    ended = [r["crawl_id"] for r in rows.where("is_end").select("crawl_id").distinct().collect()]
+    touched = _parts(crawl, states)
+    version = states.before(number)
+    # a crawl's end is held against all of the state (short rows), a part of a crawl against the parts that it touches
+    state = states.read(version, None if ended else touched)
+    seen = crawl.groupBy("source_id").agg(F.max("crawl_id").alias("_crawl"))
+    events = tables.changes(state.select("source_id", "content_hash"), crawl.select("source_id", "content_hash")).where("change <> 'DELETED'")
+    marked = state.join(seen, "source_id", "left").withColumn("seen_crawl", F.greatest("seen_crawl", "_crawl")).drop("_crawl")
+    if ended:
+        arrived = crawl.join(state.select("source_id"), "source_id", "left_anti").select("source_id", F.col("content_hash"), F.col("crawled_at").alias("first_seen"), F.col("crawled_at").alias("last_seen"), F.col("crawl_id").alias("seen_crawl"))
+        events = events.unionByName(unseen(marked.unionByName(arrived), ended))
+    events = events.persist()
     failed = fails(events).select("source_id") if fails else events.limit(0).select("source_id")
-    at = crawl.agg(F.max("crawled_at").alias("at"))
+    failed = failed.persist()
     done = events.join(failed, "source_id", "left_anti")
-    tables.apply_changes(table, done, crawl.select("source_id", "content")).write.mode("overwrite").parquet(f"{_versions(folder, 'table')}/v{number}")
-    _committed(state, events, failed, at).write.mode("overwrite").parquet(f"{_versions(folder, 'state')}/v{number}")
+    at = crawl.agg(F.max("crawled_at").alias("at")).first()["at"]
+    committed = tables.commit_state(marked.drop("seen_crawl"), events, failed, F.lit(at).cast("timestamp"))
+    numbers = marked.select("source_id", F.col("seen_crawl").alias("_was")).join(seen, "source_id", "full").select("source_id", F.greatest("_was", "_crawl").alias("seen_crawl"))
+    committed = committed.join(numbers, "source_id", "left").select("source_id", "content_hash", "first_seen", "last_seen", "seen_crawl")
+    changed = _parts(done, pages)
+    pages.write(tables.apply_changes(pages.read(pages.before(number), changed), done, crawl.select("source_id", "content")), number, changed)
+    rewritten = touched | _parts(done, states)
+    states.write(committed.where(states.part_of("source_id").isin(*rewritten)) if rewritten else committed.limit(0), number, rewritten)
     report = events.join(failed.withColumn("failed", F.lit(True)), "source_id", "left").groupBy("change").agg(F.count("*").alias("n"), F.count_if("failed").alias("failed"))
-    report.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{_versions(folder, 'log')}/batch={number}")
-    events.unpersist()
-    crawl.unpersist()
-
-
-def _committed(state: DataFrame, events: DataFrame, failed: DataFrame, at: DataFrame) -> DataFrame:
-    row = at.first()
-    when = F.lit(row["at"] if row else None).cast("timestamp")
-    return tables.commit_state(state, events, failed, when).select("source_id", "content_hash", "first_seen", "last_seen")
+    report.withColumn("crawls_ended", F.lit(",".join(map(str, sorted(ended))))).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/log/batch={number}")
+    for table in (states, pages):
+        table.clean()
+    for df in (failed, events, crawl, rows):
+        df.unpersist()
 
 
 def follow(stream: DataFrame, folder: str, checkpoint: str, fails: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Start the job on a stream (source_id, content, crawled_at); ``trigger`` as for writeStream, all there is by default."""
+    """Start the job on a stream of crawls; ``trigger`` as for writeStream, all there is by default."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: apply_batch(batch, number, folder, fails))
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corvane.operators import chunking
 from corvane.sources import html, logs
 from corvane.streaming import changes, sessions
+from corvane.streaming.versions import VersionedTable
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,27 +58,76 @@ def test_html(spark):
         assert not re.search(r"<(p|div|script)\b", r["text"]) and len(r["text"]) <= len(r["html"])
 
 
-def test_changes_over_three_batches(spark, tmp_path):
-    """New, changed and deleted pages; what failed is found again; ids of schemes that weren't crawled stay."""
-    crawls = [
-        [("http://a", "1"), ("http://b", "1"), ("faq://x", "1")],
-        [("http://a", "2"), ("http://c", "1")],
-        [("http://a", "2"), ("http://c", "1"), ("http://bad", "1")],
+def _crawled(spark, rows):
+    """Rows (crawl, source_id, content, day), or (crawl, None, None, day) for a crawl's end."""
+    return spark.createDataFrame([(n, s, c, f"2024-01-{d:02} 00:00:00", s is None) for n, s, c, d in rows], "crawl_id long, source_id string, content string, at string, is_end boolean").selectExpr("crawl_id", "source_id", "content", "CAST(at AS timestamp) AS crawled_at", "is_end")
+
+
+def _now(spark, out):
+    state = {r["source_id"]: (str(r["first_seen"])[:10], str(r["last_seen"])[:10]) for r in changes.state_table(spark, out).latest().collect()}
+    return {r["source_id"]: r["content"] for r in changes.page_table(spark, out).latest().collect()}, state
+
+
+def test_crawls_over_several_batches(spark, tmp_path):
+    """A crawl in three micro-batches deletes at its end only; what failed is found again; schemes that weren't crawled stay."""
+    batches = [
+        [(1, "http://a", "1", 1), (1, "http://b", "1", 1), (1, "faq://x", "1", 1)],
+        [(1, "http://c", "1", 1)],
+        [(1, None, None, 1)],
+        [(2, "http://a", "2", 2)],
+        [(2, "http://bad", "1", 2), (2, "http://c", "1", 2), (2, None, None, 2)],
+        [(3, "http://bad", "1", 3), (3, "http://a", "2", 3), (3, None, None, 3)],
     ]
     source, out = tmp_path / "in", str(tmp_path / "out")
-    fails = lambda events: events.where("source_id = 'http://bad' OR (source_id = 'http://c' AND change = 'NEW' AND new_hash IS NOT NULL AND source_id IS NULL)")
-    schema = "source_id string, content string, crawled_at timestamp"
-    for i, crawl in enumerate(crawls):
-        spark.createDataFrame([(s, c, f"2024-01-0{i + 1} 00:00:00") for s, c in crawl], "source_id string, content string, at string").selectExpr("source_id", "content", "CAST(at AS timestamp) AS crawled_at").write.mode("append").parquet(str(source))
-        query = changes.follow(spark.readStream.schema(schema).parquet(str(source)), out, str(tmp_path / "cp"), fails)
+    fails = lambda events: events.where("source_id = 'http://bad' OR change = 'DELETED' AND source_id = 'http://c'")
+    tables_after = []
+    for batch in batches:
+        _crawled(spark, batch).coalesce(1).write.mode("append").parquet(str(source))
+        query = changes.follow(spark.readStream.schema(changes.CRAWL).parquet(str(source)), out, str(tmp_path / "cp"), fails)
         query.awaitTermination(120)
         assert query.exception() is None
-    table = {r["source_id"]: r["content"] for r in spark.read.parquet(f"{out}/table/v2").collect()}
+        tables_after.append(set(_now(spark, out)[0]))
+    first, all_ = {"http://a", "http://b", "faq://x"}, {"http://a", "http://b", "http://c", "faq://x"}
+    assert tables_after == [first, all_, all_, all_, all_ - {"http://b"}, all_ - {"http://b"}]
+    table, state = _now(spark, out)
     assert table == {"http://a": "2", "http://c": "1", "faq://x": "1"}
-    state = {r["source_id"]: (str(r["first_seen"])[:10], str(r["last_seen"])[:10]) for r in spark.read.parquet(f"{out}/state/v2").collect()}
-    assert state == {"http://a": ("2024-01-01", "2024-01-02"), "http://c": ("2024-01-02", "2024-01-02"), "faq://x": ("2024-01-01", "2024-01-01")}
+    assert state == {"http://a": ("2024-01-01", "2024-01-02"), "http://c": ("2024-01-01", "2024-01-01"), "faq://x": ("2024-01-01", "2024-01-01")}
     told = {(r["batch"], r["change"]): (r["n"], r["failed"]) for r in spark.read.parquet(f"{out}/log").collect()}
-    assert told == {(0, "NEW"): (3, 0), (1, "NEW"): (1, 0), (1, "MODIFIED"): (1, 0), (1, "DELETED"): (1, 0), (2, "NEW"): (1, 1)}
+    assert told == {(0, "NEW"): (3, 0), (1, "NEW"): (1, 0), (3, "MODIFIED"): (1, 0), (4, "NEW"): (1, 1), (4, "DELETED"): (1, 0), (5, "NEW"): (1, 1), (5, "DELETED"): (1, 1)}
+
+
+def test_a_batch_that_is_run_again(spark, tmp_path):
+    out = str(tmp_path)
+    changes.apply_batch(_crawled(spark, [(1, f"http://{i}", str(i), 1) for i in range(40)] + [(1, None, None, 1)]), 0, out)
+    second = _crawled(spark, [(2, f"http://{i}", str(i % 7), 2) for i in range(30)] + [(2, None, None, 2)])
+
+    def broken(events):
+        raise RuntimeError("lost")
+
+    pages = changes.page_table(spark, out)
+    with pytest.raises(RuntimeError):
+        changes.apply_batch(second, 1, out, broken)
+    assert pages.versions() == [0] and pages.latest().count() == 40
+    changes.apply_batch(second, 1, out)
+    once = _now(spark, out)
+    changes.apply_batch(second, 1, out)
+    assert _now(spark, out) == once and once[0] == {f"http://{i}": str(i % 7) for i in range(30)}
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    """A reader of a version sees it whole while the next is put in place; untouched parts aren't written again; old ones go."""
+    table = VersionedTable(spark, str(tmp_path), "source_id string, n int", "source_id", parts=4)
+    rows = lambda n, ids: spark.createDataFrame([(str(i), n) for i in ids], "source_id string, n int")
+    assert table.latest().count() == 0
+    table.write(rows(0, range(50)), 0, range(4))
+    pinned = table.read(0)
+    touched = {r["p"] for r in rows(1, [1]).select(table.part_of("source_id").alias("p")).collect()}
+    table.write(rows(1, range(50)).where(table.part_of("source_id").isin(*touched)), 1, touched)
+    assert {r["n"] for r in pinned.collect()} == {0} and pinned.count() == 50
+    assert table.listed(1) == {p: int(p in touched) for p in range(4)} and table.latest().count() == 50
+    table.write(rows(2, []), 2, touched)
+    table.clean(keep=1)
+    assert table.versions() == [2] and {r["n"] for r in table.latest().collect()} == {0} and not (tmp_path / "data" / "v1").exists()
 
 
 def test_children_and_files(spark):
