@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ LOOKALIKE = dict(zip("аеорсухіјѕԁһⅼոցеАВЕКМНОРСТУХ
 # Digit names.
 DIGITS = {
     "zero": 0, "oh": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
-    "null": 0, "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
-    "zéro": 0, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
+    "null": 0, "eins": 1, "zwei": 2, "zwo": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
+    "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 
@@ -45,7 +46,8 @@ _NAME = "|".join(sorted(DIGITS, key=len, reverse=True))
 _TIMES = {"double": 2, "triple": 3}
 _SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus|double|triple|{_NAME}|[0-9]++)(?![^\W_])")
 _GAP = re.compile(r"[\s,;._-]{1,3}")
-_SPELLED_CUE = re.compile(rf"(?i)(?<![^\W_])(?:{_NAME})(?![^\W_])")
+_ARTICLE = "un"  # a digit's name that is an article, too: a cue only beside another number
+_SPELLED_CUE = re.compile(rf"(?i)(?<![^\W_])(?:(?!{_ARTICLE}(?![^\W_]))(?:{_NAME})(?![^\W_])|{_ARTICLE}[\s,;._-]{{1,3}}(?:[0-9]|{_ARTICLE}(?![^\W_]))|[0-9]++[\s,;._-]{{1,3}}{_ARTICLE}(?![^\W_]))")
 #: Items of a run of spelled digits at least.
 SPELLED_ITEMS = 4
 _AT = r"(?:at|@|arroba|chez)"
@@ -53,10 +55,14 @@ _DOT = r"(?:dot|\.|punkt|point|punto)"
 #: A chain's parts in the order they are tried; blanks that are no part of a sign are passed in one piece.
 _CHAIN = re.compile(
     rf"(?i)(?P<at_sign>\s*+[\[({{<]\s*+{_AT}\s*+[\])}}>]\s*+)|(?P<dot_sign>\s*+[\[({{<]\s*+{_DOT}\s*+[\])}}>]\s*+)"
-    r"|(?P<at_word>\s++at\s++)|(?P<dot_word>\s++dot\s++)|(?P<at_apart>\s++@\s*+|@\s++)|(?P<dot_apart>\s++\.\s*+)"
+    r"|(?P<at_word>\s++(?:at|arroba)\s++)|(?P<dot_word>\s++dot\s++)|(?P<dot_punkt>\s++punkt\s++)|(?P<dot_point>\s++point\s++)|(?P<dot_punto>\s++punto\s++)|(?P<at_apart>\s++@\s*+|@\s++)|(?P<dot_apart>\s++\.\s*+)"
     r"|(?P<at>@)|(?P<dot>\.)|(?P<atom>[A-Za-z0-9_%+-]++)|\s++"
 )
-_CHAIN_CUE = re.compile(r"(?i)[\[({<]\s*+(?:at|@|arroba|chez|dot|\.|punkt|point|punto)\s*+[\])}>]|\sdot\s|\sat\s++[a-z0-9.-]++(?<=[a-z0-9.]{4})|\s@|@\s")
+# Ends of addresses by which other languages' words for a dot are told from the words themselves.
+TOPS = {"dot_punkt": ("com", "net", "org", "info", "eu", "de", "at", "ch"), "dot_point": ("com", "net", "org", "info", "eu", "fr"), "dot_punto": ("com", "net", "org", "info", "eu", "es", "it", "mx", "ar")}
+_BESIDE_DOT = re.compile(r"(?i)\s++(?:dot|punkt|point|punto)\s|\s*+[\[({<]\s*+(?:dot|\.|punkt|point|punto)\s*+[\])}>]")
+_AFTER_DOT = re.compile(r"(?i)(?:\s(?:dot|punkt|point|punto)\s|[\])}>]\s?)$")
+_CHAIN_CUE = re.compile(r"(?i)[\[({<]\s*+(?:at|@|arroba|chez|dot|\.|punkt|point|punto)\s*+[\])}>]|\sdot\s|\sarroba\s|\s(?:punkt|point|punto)\s++(?:[0-9]++|com|net|org|info|eu|de|at|ch|fr|es|it|mx|ar)(?![^\W_])|\sat\s++[a-z0-9.-]++(?<=[a-z0-9.]{4})|\s@|@\s")
 # Words that stand before "at" and a web site.
 _PROSE = frozenset(
     "me us you him her them it we i he she they look looks looked looking visit visited see seen find found available here there live lives online"
@@ -178,7 +184,8 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
         while run and run[-1][0].lower() in (*_TIMES, "plus"):
             run.pop()
         named = [i for i, m in enumerate(run) if m[0].lower() in DIGITS]
-        if named and len(run) - named[0] >= SPELLED_ITEMS:
+        # few digits count as a part of an address between spoken dots
+        if named and (len(run) - named[0] >= SPELLED_ITEMS or _BESIDE_DOT.match(text, run[-1].end()) or _AFTER_DOT.search(text, max(0, run[0].start() - 8), run[0].start())):
             out, times = [], 1
             for m in run:
                 word = m[0].lower()
@@ -190,9 +197,15 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
             edits.append((run[0].start(), run[-1].end(), "".join(out)))
         run.clear()
 
-    for m in _SPELLED.finditer(text):
-        if run and (m[0].lower() == "plus" or not _GAP.fullmatch(text, run[-1].end(), m.start())):
+    for m, after in pairwise(chain(_SPELLED.finditer(text), [None])):
+        gap = text[run[-1].end() : m.start()] if run else ""
+        if run and (m[0].lower() == "plus" or not _GAP.fullmatch(gap)):
             close()
+        elif run and m[0].lower() == _ARTICLE:
+            # it counts after a plus, before a dot, or if it is set apart as the digits before or after it are
+            same = run[-1][0].lower() == "plus" or _BESIDE_DOT.match(text, m.end()) or gap == (text[run[-2].end() : run[-1].start()] if len(run) > 1 else " ")
+            if not same and not (after and gap == text[m.end() : after.start()]):
+                close()
         run.append(m)
     close()
     return edits
@@ -225,7 +238,7 @@ def _of_chain(text: str, atoms: list[tuple[int, int]], signs: list[str]) -> Iter
         if not sign.startswith("at") or i <= last:
             continue
         spoken = sign == "at_word"
-        dots = ("dot", "dot_sign", "dot_word") if sign != "at_apart" else ("dot", "dot_sign", "dot_word", "dot_apart")
+        dots = {"dot", "dot_sign", "dot_word", *TOPS} | ({"dot_apart"} if sign == "at_apart" else set())
         lo, hi = i, i + 1
         while lo > last + 1 and signs[lo - 1] in dots:
             lo -= 1
@@ -234,9 +247,11 @@ def _of_chain(text: str, atoms: list[tuple[int, int]], signs: list[str]) -> Iter
         used = signs[lo:hi]
         if hi == i + 1 or set(used) <= {"at", "dot"}:
             continue
-        if spoken and set(signs[i + 1 : hi]) == {"dot"}:  # a bare "at" before a plain host
+        top, other = text[slice(*atoms[hi])], TOPS.keys() & signs[lo:hi]
+        if any(top.lower() not in TOPS[x] for x in other):
+            continue
+        if spoken and set(signs[i + 1 : hi]) <= {"dot", *TOPS}:  # a bare "at" before a host whose dots aren't disguised, or may be a word of prose
             name = text[atoms[lo][0] : atoms[i][1]].lower()
-            top = text[slice(*atoms[hi])]
             if name in _PROSE or not any(c.isalpha() for c in name) or not (top.isalpha() and len(top) >= 2):
                 continue
         yield 0, atoms[lo][0], atoms[hi][1]
