@@ -118,7 +118,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     none = texts.where(F.size("found") == 0).select(*base, F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<at: int, size: int>>").alias("spans"))
 
     run = texts.where(F.size("found") > 0).select(*base, F.explode("found").alias("f")).select(*base, "f.*")
-    keys = run.select("row", "k", "at", "words", F.posexplode("keys").alias("pos", "key_hash"))
+    keys = run.select("row", "k", "at", F.size("words").alias("n"), F.posexplode("keys").alias("pos", "key_hash"))
     often = keys.groupBy("k", "key_hash").agg(F.count("*").alias("often"))
     each = wins.select("item", "k", F.col("words").alias("win"), F.posexplode("keys").alias("offset", "key_hash"))
     # a window one of whose shingles is in no text has no occurrence; else the rarest is its prefix
@@ -130,11 +130,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         .select("item", "k", "win", F.col("p.key_hash").alias("key_hash"), F.col("p.offset").alias("offset"))
     )
     begin = F.col("pos") - F.col("offset")
+    # short rows meet by their keys; a stretch's words come only to the windows that may begin in it
+    maybe = keys.join(prefix, ["k", "key_hash"]).where((begin >= 0) & (begin + F.size("win") <= F.col("n"))).select("row", "k", "at", begin.alias("begin"), "item", "win")
     hit = (
-        keys.join(prefix, ["k", "key_hash"])
-        .where((begin >= 0) & (begin + F.size("win") <= F.size("words")))
-        .where(F.slice("words", begin + 1, F.size("win")) == F.col("win"))
-        .select("row", "item", (F.col("at") + begin).alias("at"), F.size("win").alias("size"))
+        run.select("row", "k", "at", "words")
+        .join(maybe, ["row", "k", "at"])
+        .where(F.slice("words", F.col("begin") + 1, F.size("win")) == F.col("win"))
+        .select("row", "item", (F.col("at") + F.col("begin")).alias("at"), F.size("win").alias("size"))
     )
     hits = hit.groupBy("row").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("item_ids"), F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"))
     some = texts.where(F.size("found") > 0).select(*base).join(hits, "row", "left")
