@@ -9,7 +9,7 @@ from corvane.operators import chunking, graph, records, route, tables
 from corvane.plans.lifecycle_queries import _COURSES, _EDGES, _NODES, courses, property_graph
 from corvane.registry import query
 from corvane.session import table
-from corvane.sources import html
+from corvane.sources import html, page_tree
 
 # ---- candidates: a customer is a question, an order a document
 
@@ -244,4 +244,39 @@ def main_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SRC17_sections")
 def sections(spark: SparkSession, sf: str) -> DataFrame:
-    return html.page_sections(table(spark, sf, "pages"))
+    return page_tree.page_sections(table(spark, sf, "pages"))
+
+
+_LINES = "li AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem)"
+
+
+@query(
+    "SRC18_table_fields",
+    f"""WITH {_LINES} SELECT k AS order_key, 0 AS table, 2 * (r - 1) + c AS seq, (CASE c WHEN 0 THEN 'line' ELSE 'part' END) || CASE WHEN r > 1 THEN '_' || r ELSE '' END AS name, (CASE c WHEN 0 THEN n ELSE p END)::VARCHAR AS value FROM li, range(2) t(c) WHERE k % 3 = 0
+    UNION ALL SELECT k, 0, 0, 'part', string_agg(p::VARCHAR, ' / ' ORDER BY r) FROM li WHERE k % 3 = 1 GROUP BY k UNION ALL SELECT k, 0, r - 1, '내용_' || r, n || ' ' || p FROM li WHERE k % 3 = 2""",
+)
+def fields_of_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order's lines as a table of one of the three layouts, and the fields read from it."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p")))).alias("lines"))
+    row = lambda form: F.array_join(F.transform("lines", lambda x: F.concat(F.lit("<tr>"), form(x), F.lit("</tr>"))), "")
+    cell = lambda x, tag="td": F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>"))
+    both = row(lambda x: F.concat(cell(x["n"]), cell(x["p"])))
+    layout = F.col("l_orderkey") % 3
+    body = F.when(layout == 0, F.concat(F.lit("<tr><th>line</th><th> part</th></tr>"), both)).when(layout == 1, row(lambda x: F.concat(F.lit("<th>part</th>"), cell(x["p"])))).otherwise(both)
+    return page_tree.page_fields(lines.select(F.col("l_orderkey").alias("order_key"), F.concat(F.lit("<body><table>"), body, F.lit("</table>")).alias("html")), "order_key")
+
+
+@query(
+    "SRC19_board_posts",
+    """WITH po AS (SELECT o_custkey AS board, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq, o_orderkey, o_orderpriority AS title, CAST(o_orderdate AS DATE) AS posted, o_orderstatus = 'P' AS pinned FROM orders),
+    st AS (SELECT board, min(seq) AS stop FROM po WHERE NOT pinned AND posted < DATE '1993-06-01' GROUP BY board)
+    SELECT board, seq, 'http://board/b?bo_table=n&id=' || o_orderkey AS url, title, posted, pinned FROM po LEFT JOIN st USING (board) WHERE stop IS NULL OR seq < stop""",
+)
+def board_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's orders as a board's list, open ones pinned, and the posts read from it up to the first old one."""
+    o = table(spark, sf, "orders")
+    number = F.when(F.col("o_orderstatus") == "P", "notice").otherwise(F.col("o_orderkey").cast("string"))
+    row = F.concat(F.lit("<tr><td class='td_num'>"), number, F.lit("</td><td class='td_subject'><a href='/b?bo_table=n&amp;id="), "o_orderkey", F.lit("'>"), "o_orderpriority", F.lit("</a></td><td class='td_date'>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</td></tr>"))
+    rows = o.select(F.col("o_custkey").alias("board"), F.struct("o_orderkey", row.alias("row")).alias("r")).groupBy("board").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    pages = rows.select("board", F.concat(F.lit("<body><div class='tbl_wrap'><table><tbody>"), F.array_join(F.transform("rows", lambda r: r["row"]), ""), F.lit("</tbody></table></div>")).alias("html"))
+    return page_tree.list_posts(pages, F.lit("1993-06-01").cast("date"), "board", base="http://board/list", board="bo_table=n")

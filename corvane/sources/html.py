@@ -1,4 +1,4 @@
-"""Text, sections and tables of web pages. Parsing is Python, batch by batch; what follows is columns."""
+"""The text of web pages. Parsing is Python, batch by batch; what follows is columns."""
 
 from __future__ import annotations
 
@@ -15,25 +15,15 @@ VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "l
 
 
 class _Reader(HTMLParser):
-    """Pieces of text outside hidden elements, with the heading level (0: none) they stand in; and tables' cells."""
+    """Pieces of text outside hidden elements."""
 
     def __init__(self, hidden: frozenset[str]) -> None:
         super().__init__(convert_charrefs=True)
-        self.hidden, self.depth, self.level = hidden, 0, 0
-        self.pieces: list[tuple[int, str]] = []
-        self.tables: list[list[list[tuple[str, str]]]] = []
+        self.hidden, self.depth = hidden, 0
+        self.pieces: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.hidden:
-            self.depth += 1
-        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            self.level = int(tag[1])
-        elif tag == "table":
-            self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables and self.tables[-1]:
-            self.tables[-1][-1].append((tag, ""))
+        self.depth += tag in self.hidden
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         """An element closed at once hides nothing."""
@@ -41,16 +31,10 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in self.hidden:
             self.depth = max(0, self.depth - 1)
-        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            self.level = 0
 
     def handle_data(self, data: str) -> None:
-        if self.depth:
-            return
-        self.pieces.append((self.level, data))
-        if self.tables and self.tables[-1] and self.tables[-1][-1] and data.strip():
-            kind, text = self.tables[-1][-1][-1]
-            self.tables[-1][-1][-1] = (kind, " ".join([text, data.strip()]).strip())
+        if not self.depth:
+            self.pieces.append(data)
 
 
 def read(html: str, hidden: frozenset[str]) -> _Reader:
@@ -62,7 +46,7 @@ def read(html: str, hidden: frozenset[str]) -> _Reader:
 
 def text_of(html: str, hidden: frozenset[str] = HIDDEN) -> str:
     """The visible lines, stripped, without blank ones; every element ends a line."""
-    lines = (line.strip() for _, piece in read(html, hidden).pieces for line in piece.splitlines())
+    lines = (line.strip() for piece in read(html, hidden).pieces for line in piece.splitlines())
     return "\n".join(line for line in lines if line)
 
 
@@ -82,59 +66,6 @@ def page_texts(pages: DataFrame, key: str = "page_id", html: str = "html", main_
     return _mapped(pages, key, html, "text string", lambda h: [(text_of(h, FRAME if main_only else HIDDEN),)])
 
 
-def page_sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, seq, level, title, text): the parts that headings begin, a title below level 2 after that of the section it is in."""
-
-    def rows(value: str) -> Iterator[tuple]:
-        sections: list[list] = []
-        last = 0
-        for level, piece in read(value, FRAME).pieces:
-            piece = " ".join(piece.split())
-            if not piece:
-                last = level if level else last
-                continue
-            if level and last == level and sections and not sections[-1][2]:
-                sections[-1][1] += f" {piece}"  # a heading in several pieces
-            elif level:
-                sections.append([level, piece, []])
-            elif sections:
-                sections[-1][2].append(piece)
-            last = level
-        above = ""
-        for i, (level, title, body) in enumerate(sections):
-            above = title if level <= 2 else above
-            yield i, level, f"{above} > {title}" if level > 2 and above else title, "\n".join(body)
-
-    return _mapped(pages, key, html, "seq int, level int, title string, text string", rows)
-
-
-def page_entries(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, table, row, name, value): table cells by name.
-
-    A first row of headings names the columns; in rows with headings and cells each heading names the cells after it,
-    several joined by " / "; cells without any name are numbered.
-    """
-
-    def rows(value: str) -> Iterator[tuple]:
-        for t, table in enumerate(read(value, FRAME).tables):
-            lines = [line for line in table if line]
-            names = [x for _, x in lines[0]] if lines and all(k == "th" for k, _ in lines[0]) else []
-            for r, line in enumerate(lines[1:] if names else lines):
-                pairs: dict[str, list[str]] = {}
-                name = ""
-                for c, (kind, text) in enumerate(line):
-                    if names:
-                        pairs.setdefault(names[c] if c < len(names) else f"{c + 1}", []).append(text)
-                    elif kind == "th":
-                        name = text
-                    else:
-                        pairs.setdefault(name or f"{c + 1}", []).append(text)
-                for k, v in pairs.items():
-                    yield t, r, k, " / ".join(x for x in v if x)
-
-    return _mapped(pages, key, html, "table int, row int, name string, value string", rows)
-
-
 def within_term(posted: Column, pinned: Column, term_start: Column) -> Column:
     """Whether a board's post is still to be read: those of before the term only if pinned."""
     return pinned | (posted >= term_start)
