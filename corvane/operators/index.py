@@ -109,13 +109,38 @@ def dense(vectors: DataFrame, queries: DataFrame, top: int, key: str = "vec_id",
     return reduce(DataFrame.unionByName, map(search, parts))
 
 
-def metadata_filter(year: Column, doc_types: Column, semester: Column) -> Column:
-    """Whether a chunk may be found: its cohort holds the year (unknown years pass), its type is listed (or none is), its semester is empty or the same."""
+def within_ranges(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, bits: int = 16) -> DataFrame:
+    """Rows of points joined with the rows of ranges that hold them (low and high included); whole numbers from 0 to 2 ** bits - 1.
+
+    A range is cut into the fewest intervals of powers of two, two of each length at most, and a point lies in one interval of each
+    length: an equality join, without a second check, and without pairs that aren't wanted.
+    """
+    p, lo, hi = F.col(point).cast("long"), F.col(low).cast("long"), F.col(high).cast("long")
+    inside = points.where(p.between(0, (1 << bits) - 1))
+    held = inside.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda j: F.struct(j.alias("j"), F.call_function("shiftright", p, j).alias("at")))).alias("_p"))
+    cut = ranges.where(lo <= hi).withColumns({"_lo": F.greatest(lo, F.lit(0)), "_hi": F.least(hi, F.lit((1 << bits) - 1))})
+
+    def of_length(j: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), j)
+        holds = lambda k, n: (k * n >= F.col("_lo")) & ((k + 1) * n - 1 <= F.col("_hi"))
+        ends = F.array_distinct(F.array(F.floor((F.col("_lo") + size - 1) / size), F.floor((F.col("_hi") + 1) / size) - 1))
+        whole = F.filter(ends, lambda k: holds(k, size) & ~((j < bits) & holds(F.floor(k / 2), 2 * size)))
+        return F.transform(whole, lambda k: F.struct(j.alias("j"), k.cast("long").alias("at")))
+
+    pieces = cut.select("*", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), of_length))).alias("_r"))
+    joined = held.join(pieces, (held["_p.j"] == pieces["_r.j"]) & (held["_p.at"] == pieces["_r.at"]))
+    return joined.drop("_p", "_r", "_lo", "_hi")
+
+
+def metadata_filter(year: Column, doc_types: Column, semester: Column, department: Column | None = None) -> Column:
+    """Whether a chunk may be found: its cohort holds the year (unknown years pass), its type is listed (or none is), its semester is empty or the
+    same, and its department the one that is asked for, if any."""
     y = year.try_cast("int")
     return (
         (y.isNull() | ((F.col("cohort_from") <= y) & (F.col("cohort_to") >= y)))
         & (F.coalesce(F.size(doc_types), F.lit(0)) <= 0).__or__(F.array_contains(doc_types, F.col("doc_type")))
         & (semester.isNull() | (F.col("semester") == semester) | (F.col("semester") == ""))
+        & (F.lit(True) if department is None else F.coalesce(department, F.lit("")).eqNullSafe("") | F.coalesce(F.col("department") == department, F.lit(False)))
     )
 
 

@@ -45,3 +45,18 @@ def row_groups(rows: DataFrame, keys: Sequence[str], order: str, text: Column, m
     parts = rows.withColumn("_text", text).withColumn("_nth", nth).withColumn("part", F.floor((F.col("_nth") - 1) / most).cast("int"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("_nth", "_text"))), lambda x: x["_text"])
     return parts.groupBy(*keys, "part").agg(F.array_join(lines, "\n").alias("text"))
+
+
+def heading_levels(letters: DataFrame, key: str = "doc", size: str = "size", apart: float = 1.5, gap: float = 0.7) -> DataFrame:
+    """(key, size, level): the sizes of a document's letters that are headings, by tenths of a point.
+
+    Text has the commonest size (the smallest of equally common ones). Sizes that are larger by at least ``apart`` are headings;
+    from the largest on, a new level begins where the next smaller size is more than ``gap`` away.
+    """
+    tenths = letters.select(key, F.round(F.col(size) * 10).cast("long").alias("t")).where("t IS NOT NULL").groupBy(key, "t").agg(F.count("*").alias("n"))
+    body = tenths.groupBy(key).agg(F.max_by("t", F.struct("n", -F.col("t"))).alias("body"))
+    large = tenths.join(body, key).where(F.col("t") >= F.col("body") + round(apart * 10))
+    down = Window.partitionBy(key).orderBy(F.desc("t"))  # the different sizes of one document
+    fresh = F.coalesce((F.lag("t").over(down) - F.col("t") > round(gap * 10)).cast("int"), F.lit(1))
+    levels = large.withColumn("_fresh", fresh).withColumn("level", F.sum("_fresh").over(down))
+    return levels.select(key, (F.col("t") / 10).alias(size), "level")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import labels
-from corvane.operators import evaluate, route, sheets
+from corvane.operators import evaluate, heads, index, route, sheets
 from corvane.plans import lifecycle_queries
 from corvane.registry import ORACLE, query, values
 from corvane.session import table
@@ -179,3 +179,47 @@ def averages(spark: SparkSession, sf: str) -> DataFrame:
 def embedding_texts(spark: SparkSession, sf: str) -> DataFrame:
     section = F.coalesce("source", F.lit(""))
     return table(spark, sf, "documents").select("doc_id", F.when(section == "", F.col("text")).otherwise(F.concat(F.lit("["), section, F.lit("] "), "text")).alias("text"))
+
+
+_SIZES = "SELECT l_suppkey AS doc, CASE WHEN l_linenumber = 1 THEN 9.5 + l_quantity * 0.35 ELSE 10.0 + (l_partkey % 3) * 0.1 END AS size FROM lineitem"
+
+
+@query(
+    "AGG31_heading_levels",
+    f"""WITH t AS (SELECT doc, round(size * 10)::BIGINT AS t, count(*) AS n FROM ({_SIZES}) GROUP BY ALL), b AS (SELECT doc, t AS body FROM t QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, t) = 1),
+    h AS (SELECT doc, t, CASE WHEN lag(t) OVER w - t > 7 OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM t JOIN b USING (doc) WHERE t >= body + 15 WINDOW w AS (PARTITION BY doc ORDER BY t DESC))
+    SELECT doc, t / 10 AS size, sum(fresh) OVER (PARTITION BY doc ORDER BY t DESC) AS level FROM h""",
+)
+def heading_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of a supplier as letters: most of text size, the first of each order larger by its quantity."""
+    size = F.when(F.col("l_linenumber") == 1, 9.5 + F.col("l_quantity") * 0.35).otherwise(10.0 + (F.col("l_partkey") % 3) * 0.1)
+    return sheets.heading_levels(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc"), size.alias("size")))
+
+
+@query(
+    "JOI05_within_ranges",
+    """SELECT c_custkey, count(*) AS n, min(p_partkey) AS first_part FROM customer JOIN (SELECT p_partkey, p_size * 97 AS lo, p_size * 97 + p_partkey % 400 AS hi FROM part) ON c_custkey % 5000 BETWEEN lo AND hi GROUP BY ALL""",
+)
+def within_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and the parts whose range holds their number, by intervals of powers of two."""
+    customers = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 5000).alias("point"))
+    size = F.col("p_size") * 97
+    parts = table(spark, sf, "part").select("p_partkey", size.alias("lo"), (size + F.col("p_partkey") % 400).alias("hi"))
+    return index.within_ranges(customers, parts, "point", "lo", "hi").groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
+
+
+@query("SET07_question_clusters")
+def question_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The first lines of all documents as questions, clustered by heads in the order of their ids; tested against the loop."""
+    line = F.substring_index("text", "\n", 1)
+    asked = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("place"), line.alias("text"), F.filter(F.split(F.lower(line), "\\s+"), lambda w: w != "").alias("tokens"), (F.col("doc_id") % 97).alias("at"))
+    return heads.clusters(asked, 60)
+
+
+@query("SET08_kept_questions")
+def kept_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items and the first lines of documents that resemble none before them; tested against the loop."""
+    words = lambda c: F.filter(F.split(F.lower(c), "\\s+"), lambda w: w != "")
+    items = table(spark, sf, "benchmark").where("text IS NOT NULL").select((F.col("item_id") * 2).alias("place"), words(F.col("text")).alias("tokens"))
+    lines = table(spark, sf, "documents").where("text IS NOT NULL").select((F.col("doc_id") * 2 + 1).alias("place"), words(F.substring_index("text", "\n", 1)).alias("tokens"))
+    return heads.without_repeats(items.unionByName(lines), 60).select("place", F.size("tokens").alias("n_tokens"))
