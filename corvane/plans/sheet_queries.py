@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import labels
-from corvane.operators import evaluate, heads, index, route, sheets
+from corvane.operators import chunking, evaluate, heads, index, route, sheets
 from corvane.plans import lifecycle_queries
 from corvane.registry import ORACLE, query, values
 from corvane.session import table
@@ -223,3 +223,13 @@ def kept_questions(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "benchmark").where("text IS NOT NULL").select((F.col("item_id") * 2).alias("place"), words(F.col("text")).alias("tokens"))
     lines = table(spark, sf, "documents").where("text IS NOT NULL").select((F.col("doc_id") * 2 + 1).alias("place"), words(F.substring_index("text", "\n", 1)).alias("tokens"))
     return heads.without_repeats(items.unionByName(lines), 60).select("place", F.size("tokens").alias("n_tokens"))
+
+
+@query("CHK04_section_chunks")
+def section_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of all documents' lines, short lines as headings, twenty lines a page; tested against a plain model."""
+    lines = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    words = F.size(F.split(F.trim("text"), " "))
+    level = F.when(F.trim("text") == "", F.lit(None)).when(words <= 2, 1).when(words <= 4, 2).when(words <= 6, 3)
+    blocks = lines.select("file", (F.floor(F.col("seq") / 20) + 1).alias("page"), "seq", level.cast("int").alias("level"), "text")
+    return chunking.section_chunks(blocks).select("file", "page", "pos", "section", F.md5(F.col("chunk").cast("binary")).alias("chunk"))
