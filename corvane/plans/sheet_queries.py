@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import labels
 from corvane.operators import chunking, evaluate, heads, index, route, sheets
+from corvane.operators.actions import student_actions
 from corvane.plans import lifecycle_queries
 from corvane.registry import ORACLE, query, values
 from corvane.session import table
@@ -233,3 +234,62 @@ def section_chunks(spark: SparkSession, sf: str) -> DataFrame:
     level = F.when(F.trim("text") == "", F.lit(None)).when(words <= 2, 1).when(words <= 4, 2).when(words <= 6, 3)
     blocks = lines.select("file", (F.floor(F.col("seq") / 20) + 1).alias("page"), "seq", level.cast("int").alias("level"), "text")
     return chunking.section_chunks(blocks).select("file", "page", "pos", "section", F.md5(F.col("chunk").cast("binary")).alias("chunk"))
+
+
+_G = lambda x: f"regexp_replace(({x})::DECIMAL(18,4)::VARCHAR, '\\.?0+$', '')"
+_KINDS = ("전공필수", "교양", "심화")
+_NUMBERS = """nu AS (SELECT c_custkey AS student, c_custkey AS k, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0) / 1000, 1) AS spent FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+st AS (SELECT *, 3.0 * (n % 7) + 0.5 * (k % 3) AS a1, 2.0 * (n % 9) AS a2, 1.5 * (n % 5) AS a3, 1.0 * (k % 47) / 10 AS gpa, k % 6 AS retake_n, 2.5 * (k % 6) AS retake_credits, k % 4 AS terms_left FROM nu)"""
+_CATEGORY = "greatest(0, {need} - a{i})"
+
+
+def _action(rule: int, kind: str, severity: str, title: str, description: str, target: str, when: str) -> str:
+    return f"SELECT student, {rule} AS rule, {{i}} AS i, '{kind}' AS type, {severity} AS severity, {title} AS title, {description} AS description, ({target})::DOUBLE AS target FROM st WHERE {when}"
+
+
+_TOTAL = "(a1 + a2 + a3)"
+_GPA = "printf('%.2f', gpa)"
+_ACTIONS = [
+    *(_action(1, "shortage", "'error'" if i != 2 else "'warn'", f"'{name} ' || {_G(_CATEGORY.format(need=need, i=i))} || '학점 부족'", f"'현재 ' || {_G(f'a{i}')} || '학점 취득 / 졸업기준 ' || {_G(need)} || '학점 — ' || {_G(_CATEGORY.format(need=need, i=i))} || '학점 추가 이수 필요'", _CATEGORY.format(need=need, i=i), f"{_CATEGORY.format(need=need, i=i)} > 0.5") for i, (name, need) in enumerate(zip(_KINDS, (12, 10, 5), strict=True), 1)),
+    _action(2, "graduation_ready", "'info'", "'졸업 학점 요건 충족'", f"'총 ' || {_G(_TOTAL)} || '/27학점 취득 완료. 졸업인증·졸업시험 등 개별 요건은 학사지원팀 확인.'", "NULL", f"{_TOTAL} >= 27"),
+    _action(3, "retake", "'warn'", f"'재수강 후보 ' || retake_n || '과목 (' || {_G('retake_credits')} || '학점)'", "'B0 이하 성적 과목 — 평점 향상·졸업 학점 영향 검토 필요'", "retake_n", "retake_n > 0"),
+    _action(4, "retake_limit", "'info'", "'재수강 현황 3학점 / 규정 확인'", "'재수강제한: ' || (k % 3) || '과목'", "NULL", "k % 5 <> 0"),
+    _action(5, "registration", "'info'", "'다음 학기 최대 ' || (CASE WHEN k % 2 = 0 THEN 22 ELSE 24 END) || '학점까지 수강 가능'", f"'직전학기 평점 ' || {_GPA} || ' ≥ 4.0 — 우수자 확장 학점 적용'", "CASE WHEN k % 2 = 0 THEN 22 ELSE 24 END", "gpa >= 4.0"),
+    _action(5, "registration", "'info'", "'다음 학기 기본 최대 ' || (CASE WHEN k % 2 = 0 THEN 19 ELSE 18 END) || '학점'", f"'평점 ' || {_GPA} || ' — 우수자 확장(' || (CASE WHEN k % 2 = 0 THEN 22 ELSE 24 END) || '학점) 자격 4.0 이상 필요'", "CASE WHEN k % 2 = 0 THEN 19 ELSE 18 END", "gpa < 4.0"),
+    _action(6, "dual_major", "'warn'", f"'복수전공 경영 — ' || {_G('30 - spent / 100')} || '학점 부족'", f"'취득 ' || {_G('spent / 100')} || ' / 기준 30학점'", "30 - spent / 100", "k % 3 = 0 AND 30 - spent / 100 > 0"),
+    _action(6, "dual_major", "'info'", "'복수전공 경영 이수 완료'", f"'취득 ' || {_G('spent / 100')} || ' / 기준 30학점'", "NULL", "k % 3 = 0 AND 30 - spent / 100 <= 0"),
+    _action(7, "early_graduation", "'info'", "'조기졸업 자격 충족'", "CASE WHEN k % 8 = 1 THEN '평점 / 학점' ELSE 'GPA·학점 조건 충족' END", "NULL", "k % 4 = 1"),
+    _action(7, "early_graduation", "'info'", "'조기졸업 자격 미충족'", "'평점 부족 / 학점 부족'", "NULL", "k % 4 = 2 AND terms_left <= 2"),
+    _action(8, "certification", "'info'", "'졸업인증 전체 충족'", "'인증 항목: NOMAD, 봉사'", "NULL", "k % 7 = 1"),
+    _action(8, "certification", "'error'", "'졸업인증 미충족 ' || (CASE WHEN k % 7 = 2 THEN 1 ELSE 2 END) || '항목'", "'미충족: ' || CASE WHEN k % 7 = 2 THEN '봉사' ELSE 'NOMAD, 봉사' END", "CASE WHEN k % 7 = 2 THEN 1 ELSE 2 END", "k % 7 IN (2, 3)"),
+    _action(9, "graduation_exam", "'info'", "'졸업시험 응시 완료'", "'응시 완료: 전공'", "NULL", "k % 9 = 4"),
+    _action(9, "graduation_exam", "CASE WHEN terms_left <= 1 THEN 'error' ELSE 'warn' END", "'졸업시험 미응시 1과정'", "'미응시: 전공'", "1", "k % 9 = 5"),
+]
+
+
+@query(
+    "AGG15_nine_rules",
+    f"WITH {_NUMBERS}, al AS ({' UNION ALL '.join(a.replace('{i}', str(i)) for i, a in enumerate(_ACTIONS))}) SELECT student, row_number() OVER (PARTITION BY student ORDER BY list_position(['error', 'warn', 'info'], severity), rule, i) AS place, type, severity, title, description, target FROM al",
+)
+def nine_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as students whose figures follow from their orders."""
+    spent = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice") / 1000, 1).alias("spent"))
+    k, n = F.col("c_custkey"), F.coalesce("n", F.lit(0))
+    rows = table(spark, sf, "customer").join(spent, k == F.col("o_custkey"), "left").select(k.alias("student"), n.alias("n"), (F.coalesce("spent", F.lit(0.0)) / 100).alias("dual_acquired"))
+    s, n = F.col("student"), F.col("n")
+    got = (3.0 * (n % 7) + 0.5 * (s % 3), 2.0 * (n % 9), 1.5 * (n % 5))
+    category = lambda name, need, a: F.struct(F.lit(name).alias("name"), F.lit(float(need)).alias("required"), a.alias("acquired"), F.greatest(F.lit(0.0), need - a).alias("shortage"))
+    texts = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    checks = lambda **x: F.create_map(*(F.lit(v) for kv in x.items() for v in kv)).cast("map<string,string>")
+    rows = rows.withColumns(
+        {
+            "categories": F.array(*(category(name, need, a) for name, need, a in zip(_KINDS, (12, 10, 5), got, strict=True)), category("총계", 27, got[0] * 0)),
+            "total_required": F.lit(27.0), "total_acquired": sum(got[1:], got[0]), "total_short": 27 - sum(got[1:], got[0]), "gpa": (s % 47) / 10, "retake_n": s % 6, "retake_credits": 2.5 * (s % 6), "retake_used": F.lit(3.0),
+            "retake_rule": F.when(s % 5 != 0, F.create_map(F.lit("재수강제한"), F.concat((s % 3).cast("string"), F.lit("과목")))), "most_credits": F.when(s % 2 == 0, 19), "most_excellent": F.when(s % 2 == 0, 22),
+            "dual_name": F.when(s % 3 == 0, "경영"), "dual_required": F.lit(30.0), "dual_short": 30 - F.col("dual_acquired"), "can_early": F.when(s % 4 == 1, True).when(s % 4 == 2, False),
+            "early_reasons": F.when(s % 8 == 1, texts("평점", "학점")).otherwise(texts()), "early_blocked": texts("평점 부족", "학점 부족", "학기"), "terms_left": s % 4,
+            "certificates": F.when(s % 7 == 1, checks(NOMAD="Y", 봉사="Y")).when(s % 7 == 2, checks(NOMAD="Y", 봉사="n")).when(s % 7 == 3, checks(NOMAD="미이수", 봉사="")).otherwise(checks()),
+            "exams": F.when(s % 9 == 4, checks(전공="Y")).when(s % 9 == 5, checks(전공="미응시")).otherwise(checks()),
+        }
+    )
+    return student_actions(rows)
