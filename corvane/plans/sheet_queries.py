@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import labels
-from corvane.operators import chunking, evaluate, heads, index, route, sheets
+from corvane.operators import chunking, evaluate, grids, heads, index, route, sheets
 from corvane.operators.actions import student_actions
 from corvane.plans import lifecycle_queries
 from corvane.registry import ORACLE, query, values
@@ -293,3 +293,49 @@ def nine_rules(spark: SparkSession, sf: str) -> DataFrame:
         }
     )
     return student_actions(rows)
+
+
+# ---- sheets made of customers (a profile) and of their orders' lines (courses in two columns)
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    """(sheet, row, col, value): marks and values, some apart, some one below the other."""
+    k = F.col("c_custkey")
+    cell = lambda row, col, value: F.struct(F.lit(row).alias("row"), (col if isinstance(col, Column) else F.lit(col)).cast("int").alias("col"), value.alias("value"))
+    t = lambda x: F.lit(x)
+    near = F.when(k % 3 == 2, 9).otherwise(2)  # a value out of reach
+    grid = F.array(
+        cell(1, 0, t("학부(과)")), cell(1, near, F.concat("c_mktsegment", F.lit("\n 학부"))), cell(1, 10, t("학  년")), cell(1, 11, ((k % 4 + 1).cast("double")).cast("string")), cell(1, 13, t("학번")), cell(1, 14, F.concat(2013 + k % 13, F.lpad(k.cast("string"), 6, "0"))),
+        cell(2, 0, t("전   공")), cell(2, 1, F.when(k % 5 == 0, t("")).otherwise(F.concat(F.lit("전공 "), k % 7))), cell(2, 4, t("성명")), cell(2, 5, t("이수학기")), cell(2, 6, (k % 9).cast("string")), cell(3, 0, F.when(k % 10 == 0, t("0")).otherwise(F.concat(F.lit("아래 "), k % 3))), cell(3, 4, F.col("c_name")),
+        cell(4, 0, t("내외국인구분")), cell(4, 3, F.when(k % 6 == 1, t("외국인")).when(k % 6 == 2, t("편입")).otherwise(t("국내"))), cell(12, 0, t("교직")), cell(12, 1, t("zu tief")),
+    )
+    return table(spark, sf, "customer").select(k.alias("sheet"), F.inline(grid))
+
+
+@query(
+    "SRC23_profiles",
+    """SELECT k AS sheet, CASE WHEN k % 3 = 2 THEN '전 공' ELSE c_mktsegment || ' 학부' END AS department, (k % 4 + 1)::VARCHAR AS year, (2013 + k % 13) || lpad(k::VARCHAR, 6, '0') AS number,
+    CASE WHEN k % 5 <> 0 THEN '전공 ' || k % 7 WHEN k % 10 = 0 THEN NULL ELSE '아래 ' || k % 3 END AS major, c_name AS name, (k % 9)::VARCHAR AS terms, (2013 + k % 13)::VARCHAR AS entry_year, CASE k % 6 WHEN 1 THEN '외국인' WHEN 2 THEN '편입생' ELSE '내국인' END AS student_type, NULL::VARCHAR AS teaching
+    FROM (SELECT *, c_custkey AS k FROM customer)""",
+)
+def sheet_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    found = grids.profiles(_cells(spark, sf))
+    named = {"department": "학부과", "year": "학년", "number": "학번", "major": "전공", "name": "성명", "terms": "이수학기", "teaching": "교직"}
+    return found.select("sheet", *(F.try_element_at("fields", F.lit(v)).alias(c) for c, v in named.items()), "entry_year", "student_type")
+
+
+_SIDES = "li AS (SELECT l_orderkey AS sheet, l_partkey AS p, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS i FROM lineitem)"
+
+
+@query("SRC23_course_lists", f"WITH {_SIDES} SELECT sheet, 4 * (i % 2) AS block, 2 + i // 2 AS row, 'P' || p || '|' || q::INT AS course FROM li")
+def course_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order's lines as courses in two lists side by side, under heads of their own."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")) - 1
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.concat(F.lit("P"), "l_partkey").alias("p"), F.col("l_quantity").cast("int").cast("string").alias("q"), place.alias("i"))
+    row, col = F.floor(F.col("i") / 2) + 2, 4 * (F.col("i") % 2)
+    cell = lambda r, c, v: F.struct(r.cast("int").alias("row"), c.cast("int").alias("col"), v.alias("value"))
+    body = lines.select("sheet", F.inline(F.array(cell(row, col, F.col("p")), cell(row, col + 1, F.col("q")))))
+    at = F.lit(1)
+    heads_ = lines.select("sheet").distinct().select("sheet", F.inline(F.array(*(cell(at, F.lit(c), F.lit(v)) for c, v in ((0, "과 목"), (1, "학점"), (3, "학점"), (4, "과목"), (5, "학점"))))))
+    found = grids.two_column_rows(body.unionByName(heads_), ("과목", "학점"))
+    return found.select("sheet", "block", "row", F.concat_ws("|", "values").alias("course"))
