@@ -2,6 +2,9 @@
 
 Toxic documents go; of each group of near copies (word shingles of five, similarity 0.8 or more) the one with the
 smallest id stays; documents with passages of the benchmark go; personal data are masked; the rest is mixed by source.
+
+Each stage takes null and empty texts, null ids, repeated rows, empty tables and further columns, and returns all columns that it was given:
+a decision about an id holds for all rows with that id, whatever their texts; a row with a null id is never dropped.
 """
 
 from __future__ import annotations
@@ -30,21 +33,24 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose own text scores as toxic go, whatever their id; null and empty texts have the score of a text without hits."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the rows with its smallest id stay, all of them if several have it; texts without words are in no group."""
     groups = jaccard_groups(docs)
     return _without(docs, groups.where("component_id != doc_id").select("doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with the id of a row that has a window of an item go; texts without words have none."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.where("n_hit > 0").select("doc_id"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars, where the table has it, is that of the new text."""
+    """Row by row: repeated rows are masked alike, a null text stays null. n_chars, where the table has it, is that of the new text."""
     masked = redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
