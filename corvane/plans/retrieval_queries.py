@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import fixed, text
-from corvane.operators import index, rank
+from corvane.operators import index, models, rank
 from corvane.plans.text_queries import _LIST, _STEMS
 from corvane.registry import query, values
 from corvane.session import table
@@ -278,3 +279,32 @@ def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     rows = cut.join(after, "query_id").join(before, "query_id").join(top, "query_id").join(table(spark, sf, "documents").select(F.col("doc_id").alias("doc_key"), "text"), "doc_key")
     sure = rank.confidence(F.lit(False), F.col("n"), F.lit(True), F.col("top"), F.col("b"), F.col("n"))
     return rows.select("query_id", "rank", F.col("doc_key").alias("doc_id"), "score", F.round(sure, 6).alias("confidence"), F.concat(F.lit("---["), "doc_type", F.lit("] "), "text").alias("context"))
+
+
+# ---- injected models: stand-ins that count letters
+
+_LETTERS = "aeinorst"
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    counts = np.array([[t.count(x) for x in _LETTERS] for t in texts], np.float64).reshape(-1, len(_LETTERS))
+    return counts / np.maximum(1.0, np.sqrt((counts * counts).sum(1, keepdims=True)))
+
+
+_COUNTS = "[" + ", ".join(f"(length(t) - length(replace(t, '{x}', '')))::DOUBLE" for x in _LETTERS) + "]"
+_UNITS = f"SELECT doc_id, list_transform(c, lambda x: x / greatest(1, sqrt(list_sum(list_transform(c, lambda y: y * y))))) AS u FROM (SELECT doc_id, {_COUNTS} AS c FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"
+
+
+@query("VEC04_embedded", f"SELECT doc_id, list_transform(u, lambda x: round(x, 4)) AS embedding FROM ({_UNITS})")
+def embedded(spark: SparkSession, sf: str) -> DataFrame:
+    found = models.embedded(table(spark, sf, "documents").select("doc_id", "text"), "text", lambda: _letters)
+    return found.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
+
+
+@query("VEC05_pair_scores", f"WITH un AS ({_UNITS}) SELECT a.doc_id, round(list_dot_product(a.u, b.u), 6) AS score FROM un a JOIN un b ON b.doc_id = a.doc_id + 1")
+def pair_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document scored against the next one."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
+    found = models.scored(pairs, "text", "other", lambda: lambda questions, texts: (_letters(questions) * _letters(texts)).sum(1))
+    return found.select("doc_id", F.round("score", 6).alias("score"))
