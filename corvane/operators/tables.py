@@ -44,7 +44,7 @@ def changes(old: DataFrame, new: DataFrame, assume_complete: bool = False) -> Da
     kind = F.when(F.col("old_hash").isNull(), "NEW").when(F.col("new_hash").isNull(), "DELETED").when(F.col("old_hash") != F.col("new_hash"), "MODIFIED")
     found = both.withColumn("change", kind).where("change IS NOT NULL").withColumn("scheme", scheme)
     schemes = new.select(scheme.alias("scheme")).where("scheme IS NOT NULL").distinct().withColumn("crawled", F.lit(True))
-    checked = found.join(F.broadcast(schemes), "scheme", "left")  # a handful of schemes
+    checked = found.join(schemes, "scheme", "left")
     if not assume_complete:
         checked = checked.where((F.col("change") != "DELETED") | F.col("scheme").isNull() | F.col("crawled"))
     return checked.select("source_id", "change", "old_hash", "new_hash")
