@@ -62,7 +62,7 @@ def entities(text: Column) -> Column:
     """A map of what the question names; entries without a value are left out."""
     words = lambda table: first([(any_of(text, ws), F.lit(name)) for name, ws in table])
     found = {
-        "department": words([(d, (d,)) for d in rules.DEPARTMENTS]),
+        "department": department(text),
         "course_number": F.nullif(F.regexp_extract(text, r"[A-Z]{2,4}\d{3,4}", 0), F.lit("")),
         "course_name": course_name(text),
         "liberal_arts_area": words(rules.LIBERAL_ARTS),
@@ -75,6 +75,11 @@ def entities(text: Column) -> Column:
     return F.map_filter(every, lambda _, v: v.isNotNull())
 
 
+def department(text: Column) -> Column:
+    """The first department of the table that the question names."""
+    return first([(text.contains(d), F.lit(d)) for d in rules.DEPARTMENTS], F.lit(None).cast("string"))
+
+
 def course_name(text: Column) -> Column:
     """The word before one for equivalents of a course, else before one for a course, unless it names none."""
     named = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (rules.COURSE_BEFORE, rules.COURSE_WITHIN)]
@@ -172,12 +177,11 @@ def follow_up(text: Column, has_history: Column) -> Column:
     )
 
 
-def node_types(intent_: Column, department: Column, text: Column) -> Column:
-    """Distinct node types of the intent's communities, then of those that a department and words of the question add."""
+def node_types(intent_: Column, department_: Column, low: Column) -> Column:
+    """Distinct node types of the intent's communities, then of those that a department and words of the question (in lower case) add."""
     strings = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
     of_intent = first([(intent_ == k, strings(v)) for k, v in rules.INTENT_COMMUNITIES.items()], strings(()))
-    low = F.lower(text)
-    added = [F.when(department.isNotNull(), strings(("curriculum",))).otherwise(strings(()))] + [F.when(any_of(low, ws), strings((c,))).otherwise(strings(())) for c, ws in rules.COMMUNITY_WORDS]
+    added = [F.when(department_.isNotNull(), strings(("curriculum",))).otherwise(strings(()))] + [F.when(any_of(low, ws), strings((c,))).otherwise(strings(())) for c, ws in rules.COMMUNITY_WORDS]
     chosen = F.array_distinct(F.concat(of_intent, *added))
     members = F.create_map(*(x for k, v in rules.COMMUNITIES.items() for x in (F.lit(k), strings(v))))
     return F.array_distinct(F.flatten(F.transform(chosen, lambda c: F.try_element_at(members, c))))

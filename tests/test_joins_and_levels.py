@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from corvane.operators import graph, index, sheets
+from corvane.plans.question_queries import node_types
 from corvane.plans.sheet_queries import kept_questions, question_clusters
 from tests.test_heads import loop
 
@@ -67,3 +68,10 @@ def test_question_clusters_of_the_table(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL").collect()
     both = loop([(2 * r["item_id"], r["text"].lower().split()) for r in items] + [(2 * r["doc_id"] + 1, words(r["text"])) for r in docs], 60)
     assert {r["place"] for r in kept_questions(spark, SF).collect()} == {p for p, h in both.items() if p == h}
+
+
+def test_node_types_analyse_a_question_once(spark):
+    found = node_types(spark, SF)
+    assert "Filter" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    assert len(rows) > 100 and all(r["node_types"] for r in rows)
