@@ -31,13 +31,13 @@ def _retried(model: Callable, times: int) -> Callable:
 
 
 def embedded(rows: DataFrame, text: str, make: Callable[[], Encoder], into: str = "embedding", batch_rows: int = 64, tries: int = 2) -> DataFrame:
-    """``rows`` with the encoder's vector of each text; a null text is encoded as an empty one."""
+    """``rows`` with the encoder's vector of each text, in the precision it gives; a null text is encoded as an empty one."""
 
     def make_predict() -> Callable[[np.ndarray], np.ndarray]:
         encode = _retried(make(), tries)
-        return lambda texts: np.asarray(encode([str(t) for t in texts]), np.float32)
+        return lambda texts: np.asarray(encode([str(t) for t in texts]), np.float64)
 
-    udf = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_rows)
+    udf = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_rows)
     return rows.withColumn(into, udf(F.coalesce(F.col(text), F.lit(""))))
 
 

@@ -298,7 +298,7 @@ _UNITS = f"SELECT doc_id, list_transform(c, lambda x: x / greatest(1, sqrt(list_
 @query("VEC04_embedded", f"SELECT doc_id, list_transform(u, lambda x: round(x, 4)) AS embedding FROM ({_UNITS})")
 def embedded(spark: SparkSession, sf: str) -> DataFrame:
     found = models.embedded(table(spark, sf, "documents").select("doc_id", "text"), "text", lambda: _letters)
-    return found.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
+    return found.select("doc_id", F.transform("embedding", lambda x: F.round(x * 10_000) / 10_000).alias("embedding"))
 
 
 @query("VEC05_pair_scores", f"WITH un AS ({_UNITS}) SELECT a.doc_id, round(list_dot_product(a.u, b.u), 6) AS score FROM un a JOIN un b ON b.doc_id = a.doc_id + 1")

@@ -49,3 +49,9 @@ def test_results_do_not_depend_on_batches(spark, batch):
 def test_a_lasting_failure_is_told(spark):
     with pytest.raises(Exception, match="down for good"):
         models.embedded(spark.createDataFrame([("x",)], "t string"), "t", always_down).collect()
+
+
+def test_vectors_keep_their_precision(spark):
+    thirds = lambda: lambda texts: np.array([[len(t) / 3, 0.48685000000001] for t in texts])
+    found = models.embedded(spark.createDataFrame([("x",), ("xyzab",)], "t string"), "t", thirds).collect()
+    assert {tuple(r["embedding"]) for r in found} == {(1 / 3, 0.48685000000001), (5 / 3, 0.48685000000001)}
