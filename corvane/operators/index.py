@@ -109,15 +109,16 @@ def dense(vectors: DataFrame, queries: DataFrame, top: int, key: str = "vec_id",
     return reduce(DataFrame.unionByName, map(search, parts))
 
 
-def within_ranges(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, bits: int = 16) -> DataFrame:
-    """Rows of points joined with the rows of ranges that hold them (low and high included); whole numbers from 0 to 2 ** bits - 1.
+def _levels(points: DataFrame, point: str, bits: int) -> DataFrame:
+    """Points from 0 to 2 ** bits - 1 with the interval of each length that a point lies in: _p (j, at)."""
+    p = F.col(point).cast("long")
+    held = F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda j: F.struct(j.alias("j"), F.call_function("shiftright", p, j).alias("at")))
+    return points.where(p.between(0, (1 << bits) - 1)).select("*", F.explode(held).alias("_p"))
 
-    A range is cut into the fewest intervals of powers of two, two of each length at most, and a point lies in one interval of each
-    length: an equality join, without a second check, and without pairs that aren't wanted.
-    """
-    p, lo, hi = F.col(point).cast("long"), F.col(low).cast("long"), F.col(high).cast("long")
-    inside = points.where(p.between(0, (1 << bits) - 1))
-    held = inside.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda j: F.struct(j.alias("j"), F.call_function("shiftright", p, j).alias("at")))).alias("_p"))
+
+def _pieces(ranges: DataFrame, low: str, high: str, bits: int) -> DataFrame:
+    """Ranges cut into the fewest intervals of powers of two, two of each length at most: _r (j, at)."""
+    lo, hi = F.col(low).cast("long"), F.col(high).cast("long")
     cut = ranges.where(lo <= hi).withColumns({"_lo": F.greatest(lo, F.lit(0)), "_hi": F.least(hi, F.lit((1 << bits) - 1))})
 
     def of_length(j: Column) -> Column:
@@ -127,9 +128,30 @@ def within_ranges(points: DataFrame, ranges: DataFrame, point: str, low: str, hi
         whole = F.filter(ends, lambda k: holds(k, size) & ~((j < bits) & holds(F.floor(k / 2), 2 * size)))
         return F.transform(whole, lambda k: F.struct(j.alias("j"), k.cast("long").alias("at")))
 
-    pieces = cut.select("*", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), of_length))).alias("_r"))
-    joined = held.join(pieces, (held["_p.j"] == pieces["_r.j"]) & (held["_p.at"] == pieces["_r.at"]))
-    return joined.drop("_p", "_r", "_lo", "_hi")
+    return cut.select("*", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), of_length))).alias("_r")).drop("_lo", "_hi")
+
+
+def within_ranges(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, bits: int = 16) -> DataFrame:
+    """Rows of points joined with the rows of ranges that hold them (low and high included); whole numbers from 0 to 2 ** bits - 1.
+
+    A range is cut into the fewest intervals of powers of two, two of each length at most, and a point lies in one interval of each
+    length: an equality join, without a second check, and without pairs that aren't wanted.
+    """
+    held, pieces = _levels(points, point, bits), _pieces(ranges, low, high, bits)
+    return held.join(pieces, (held["_p.j"] == pieces["_r.j"]) & (held["_p.at"] == pieces["_r.at"])).drop("_p", "_r")
+
+
+def range_totals(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, value: str, bits: int = 16) -> DataFrame:
+    """Rows of points that some range holds, with n, the number of these ranges, and least, the least ``value`` of theirs.
+
+    As ``within_ranges``, but no point meets a range: ranges are counted by interval, of which there are 2 ** (bits + 1) at
+    most, and each different point adds up its own, so that the work grows with the two tables and not with their pairs.
+    """
+    bounds = ranges.groupBy(low, high).agg(F.count("*").alias("_n"), F.min(value).alias("_least"))
+    counted = _pieces(bounds, low, high, bits).groupBy("_r").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"))
+    held = _levels(points.select(F.col(point).alias("_point")).distinct(), "_point", bits)
+    totals = held.join(counted, (held["_p.j"] == counted["_r.j"]) & (held["_p.at"] == counted["_r.at"])).groupBy("_point").agg(F.sum("_n").alias("n"), F.min("_least").alias("least"))
+    return points.join(totals, F.col(point) == F.col("_point")).drop("_point")
 
 
 def metadata_filter(year: Column, doc_types: Column, semester: Column, department: Column | None = None) -> Column:

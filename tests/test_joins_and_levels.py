@@ -24,6 +24,18 @@ def test_within_ranges(spark):
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
 
 
+def test_range_totals_make_no_pairs(spark):
+    rng = random.Random(4)
+    points = [(i, rng.choice([None, -3, 0, 255, 256, rng.randrange(256)])) for i in range(300)]
+    ranges = [(i, *rng.choice([(0, 255), (7, 7), (9, 3), (-5, 4), (200, 900), (None, 4)] + [tuple(sorted(rng.sample(range(256), 2)))] * 6)) for i in range(120)]
+    wanted = {p: (len(held), min(held)) for p, x in points if x is not None and 0 <= x <= 255 and (held := [r for r, lo, hi in ranges if lo is not None and lo <= x <= hi])}
+    found = index.range_totals(spark.createDataFrame(points, "p int, x int"), spark.createDataFrame(ranges, "r int, lo int, hi int"), "x", "lo", "hi", "r", bits=8)
+    assert {r["p"]: (r["n"], r["least"]) for r in found.collect()} == wanted
+    # 800 million pairs, of which none is made
+    many = index.range_totals(spark.range(20_000).selectExpr("id AS p", "id % 5 AS x"), spark.range(40_000).selectExpr("id AS r", "0 AS lo", "9 AS hi"), "x", "lo", "hi", "r")
+    assert many.agg(F.count("*"), F.min("n"), F.max("n"), F.max("least")).first() == (20_000, 40_000, 40_000, 0)
+
+
 def test_two_steps_around_a_hub(spark):
     rng = random.Random(2)
     names = [f"n{i:03}" for i in range(120)]
