@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import graph, index, sheets
 from corvane.plans.question_queries import node_types
-from corvane.plans.sheet_queries import kept_questions, question_clusters
+from corvane.plans.sheet_queries import kept_questions, nine_rules, question_clusters
 from tests.test_heads import loop
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +89,52 @@ def test_node_types_analyse_a_question_once(spark):
     assert "Filter" not in found._jdf.queryExecution().optimizedPlan().toString()
     rows = found.collect()
     assert len(rows) > 100 and all(r["node_types"] for r in rows)
+
+
+def test_tagged_edges_are_not_moved(spark):
+    tagged = [("a", ["x", "y"]), ("b", ["y"]), ("c", []), ("d", ["z"]), ("a", ["x"])]
+    nodes = [(f"n{i:02}", "pqr"[i % 3]) for i in range(40)] + [("n00", "q"), ("n01", "q"), ("n02", None), (None, "p")]
+    edges = [("a", "n00", "r"), ("a", "n03", "r"), ("b", "n01", "r"), ("b", "n99", "r"), ("d", "n00", "r")]
+    types = {"x": {"p"}, "y": {"q"}, "z": set()}
+    wanted = {(s, n, "T") for s, tags in tagged for t in tags for n, k in nodes if n and k in types[t]} - {(s, n, "T") for s, n, _ in edges}
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in ((tagged, "node_id string, tags array<string>"), ([("x", "p"), ("y", "q")], "tag string, node_type string"), (nodes, "node_id string, node_type string"), (edges, "src string, dst string, relation string"))]
+    found = graph.tagged_edges(*frames, "T", part=5)
+    rows = list(map(tuple, found.collect()))
+    assert len(rows) == len(set(rows)) and set(rows) == wanted
+    assert found._jdf.queryExecution().optimizedPlan().toString().splitlines()[1].startswith("+- Generate explode") or found._jdf.queryExecution().optimizedPlan().toString().splitlines()[0].startswith("Generate explode")
+
+
+def test_a_sum_halfway_between_digits(spark, tmp_path):
+    rng = random.Random(5)
+    while True:  # prices of 12350.00 in all, whose doubles add up to less
+        cents = [rng.randrange(100_000, 400_000) for _ in range(3)]
+        prices = [c / 100 for c in [*cents, 1_235_000 - sum(cents)]]
+        if sum(prices) < 12350:
+            break
+    spark.createDataFrame([(3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(3, p) for p in prices], "o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    told = {r["type"]: r["description"] for r in nine_rules(spark, str(tmp_path)).collect()}
+    assert told["dual_major"] == "취득 0.124 / 기준 30학점"
+
+
+@pytest.mark.parametrize("named", ["long", "string"])
+def test_dense_search_in_small_blocks(spark, monkeypatch, named):
+    monkeypatch.setattr(index, "QUERY_ROWS", 3)
+    monkeypatch.setattr(index, "VECTOR_ROWS", 7)
+    rng = np.random.default_rng(6)
+    rows = [(int(i) if named == "long" else f"k{i:03}", [float(x) for x in rng.integers(-2, 3, 3)] if i % 9 else [1.0, 0.0, 0.0]) for i in rng.permutation(100)]
+    rows = [(i, v if any(v) else [1.0, 1.0, 1.0]) for i, v in rows]
+    e = spark.createDataFrame(rows, f"vec_id {named}, embedding array<float>").repartition(3)
+    asked = sorted(rows)[:8]
+    cos = lambda a, b: round(float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))), 6)
+    wanted = {(q, *x) for q, v in asked for x in [(k, i + 1) for i, (_, k) in enumerate(sorted((-cos(v, w), k) for k, w in rows)[:5])]}
+    found = index.dense(e, spark.createDataFrame(asked, f"query_id {named}, vector array<float>"), 5)
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found.collect()} == wanted
+
+
+def test_what_a_task_holds_of_a_dense_search():
+    scores, keys = np.round(np.random.default_rng(7).random((4, 50)), 1), np.arange(50)
+    kept = None
+    for lo in range(0, 50, 9):
+        kept = index._merged(kept, scores[:, lo : lo + 9], keys[lo : lo + 9], 6)
+    assert kept[1].shape == (4, 6) and [list(k) for k in kept[1]] == [[k for _, k in sorted(zip(-s, keys, strict=True))[:6]] for s in scores]
