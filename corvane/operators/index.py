@@ -17,6 +17,8 @@ from corvane.functions import text as text_functions
 
 #: Asked terms that are sent to the documents at most; more are joined with the postings.
 ASKED_TERMS = 1_000_000
+#: Queries and vectors that a task scores at once.
+QUERY_ROWS, VECTOR_ROWS = 256, 4096
 
 
 class Index(NamedTuple):
@@ -73,11 +75,26 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def _merged(kept: tuple[np.ndarray, np.ndarray] | None, scores: np.ndarray, keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best scores of each row and their keys, of those kept and of new ones in columns by rising key; ties go to the smaller key."""
+    if scores.shape[1] > top:  # whole numbers in the same order, all different, as scores have 6 digits
+        order = np.rint(np.nan_to_num(scores, nan=-2.0) * 1e6).astype(np.int64) * scores.shape[1] - np.arange(scores.shape[1])
+        near = np.argpartition(order, scores.shape[1] - top, axis=1)[:, -top:]
+        scores, keys = np.take_along_axis(scores, near, 1), keys[near]
+    else:
+        keys = np.broadcast_to(keys, scores.shape)
+    if kept is not None:
+        scores, keys = np.concatenate([kept[0], scores], 1), np.concatenate([kept[1], keys], 1)
+    best = np.lexsort((keys, -scores), axis=1)[:, :top]
+    return np.take_along_axis(scores, best, 1), np.take_along_axis(keys, best, 1)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, top: int, key: str = "vec_id", query_rows: int = 10_000) -> DataFrame:
     """(query_id, key, score, rank): exact cosine search of queries (query_id, vector) among vectors (key, embedding).
 
     The queries are sent to all tasks as a matrix: beyond ``query_rows`` they go in blocks of about so many, by a hash of
-    query_id. A batch of vectors gives each query its best ``top``, which are then ranked over all batches.
+    query_id. A task scores QUERY_ROWS x VECTOR_ROWS pairs at a time and keeps each query's best ``top``, which are then ranked over
+    all tasks.
     """
     blocks = -(-queries.count() // query_rows)
     parts = [queries] if blocks <= 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
@@ -93,15 +110,18 @@ def dense(vectors: DataFrame, queries: DataFrame, top: int, key: str = "vec_id",
         ids, matrix = asked.column("query_id").combine_chunks(), units(asked.column("vector").combine_chunks())
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places = range(0, len(ids), QUERY_ROWS)
+            kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by the place of a block of queries: scores and keys of all batches so far
             for batch in batches:
-                batch = batch.take(pc.sort_indices(batch.column(key)))  # so that ties go to the smaller key
-                for lo in range(0, batch.num_rows, 4096):
-                    rows = batch.slice(lo, 4096)
-                    scores = np.round(matrix @ units(rows.column("embedding")).T, 6)
-                    near = np.argsort(-scores, axis=1, kind="stable")[:, :top]
-                    found = np.take_along_axis(scores, near, 1).ravel()
-                    asker = pa.array(np.repeat(np.arange(len(ids)), near.shape[1]))
-                    yield pa.RecordBatch.from_arrays([ids.take(asker), rows.column(key).take(pa.array(near.ravel())), pa.array(found)], names=["query_id", key, "score"])
+                for lo in range(0, batch.num_rows, VECTOR_ROWS):
+                    rows = batch.slice(lo, VECTOR_ROWS)
+                    rows = rows.take(pc.sort_indices(rows.column(key)))  # so that ties go to the smaller key
+                    keys, others = rows.column(key).to_numpy(zero_copy_only=False), units(rows.column("embedding")).T
+                    for at in places:
+                        kept[at] = _merged(kept.get(at), np.round(matrix[at : at + QUERY_ROWS] @ others, 6), keys.astype(str) if keys.dtype == object else keys, top)
+            for at, (scores, keys) in kept.items():
+                asker = pa.array(np.repeat(np.arange(at, at + len(scores)), scores.shape[1]))
+                yield pa.RecordBatch.from_arrays([ids.take(asker), pa.array(keys.ravel()).cast(batch.column(key).type), pa.array(scores.ravel())], names=["query_id", key, "score"])
 
         pairs = vectors.select(key, "embedding").mapInArrow(best, f"query_id {kinds[0]}, {key} {kinds[1]}, score double") if len(ids) else None
         return ranked(pairs, top, tie=key) if pairs is not None else ranked(part.select("query_id").crossJoin(vectors.select(key)).withColumn("score", F.lit(0.0)), top, tie=key)
