@@ -41,8 +41,8 @@ def stems(text: Column) -> Column:
 
 def without(words: Column, stopwords: Iterable[str]) -> Column:
     """Words in order, repeats kept, less the stopwords."""
-    stop = F.array(*map(F.lit, stopwords))
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    stop = list(stopwords)
+    return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 
 
 def search_tokens(text: Column) -> Column:

@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as text_functions
+from corvane.shared import saved
 
 
 #: Asked terms that are sent to the documents at most; more are joined with the postings.
 ASKED_TERMS = 1_000_000
+#: Terms of queries that documents are narrowed to at most.
+LITERAL_TERMS = 10_000
 #: Queries and vectors that a task scores at once.
 QUERY_ROWS, VECTOR_ROWS = 256, 4096
 
@@ -42,6 +45,27 @@ def build_index(docs: DataFrame, key: str = "doc_id", tokens: Column | None = No
     return Index(listed, _postings(listed), listed.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
+def narrowed(index: Index, queries: DataFrame) -> Index:
+    """The index for these queries (query_id, tokens) alone: documents keep their length and only the tokens that are asked for.
+
+    Texts are read once, whatever follows, and what is left of them is saved. More than LITERAL_TERMS terms leave the index as it is.
+    """
+    only = queries.select(F.explode("tokens").alias("term")).distinct().limit(LITERAL_TERMS + 1).collect()
+    if len(only) > LITERAL_TERMS:
+        return index
+    asked = [r["term"] for r in only]
+    listed = saved(index.listed.select("doc_id", "dl", F.filter("tokens", lambda t: t.isin(asked)).alias("tokens")))
+    return Index(listed, _postings(listed), listed.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+
+
+def term_counts(index: Index) -> DataFrame:
+    """(term, df, cf): documents that have a term, and times that it comes; summed up by term before anything moves."""
+    sorted_ = index.listed.select(F.sort_array("tokens").alias("words"))
+    once = F.transform("words", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("words", i - 1) != t)).alias("first")))
+    told = sorted_.select(F.inline(once))
+    return told.groupBy("term").agg(F.count_if("first").alias("df"), F.count("*").alias("cf"))
+
+
 def bm25(index: Index, queries: DataFrame, top: int, k1: float = 1.5, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the best ``top`` documents of each query (query_id, tokens), scores at 6 digits.
 

@@ -11,6 +11,7 @@ from corvane.operators import index, models, rank
 from corvane.plans.text_queries import _LIST, _STEMS
 from corvane.registry import query, values
 from corvane.session import table
+from corvane.shared import saved
 
 #: query, words, entry year, doc types (none: all)
 ASKED = [(1, "erth thea ndst", "2019", []), (2, "lich heit und", "2021", ["domestic", "faq"]), (3, "tion que les menta", None, ["guide", "notice"]), (4, "ción las", "x", [])]
@@ -42,16 +43,21 @@ def _index(spark: SparkSession, sf: str) -> index.Index:
     return index.build_index(table(spark, sf, "documents"))
 
 
+def _asked(spark: SparkSession, sf: str) -> index.Index:
+    """The index for the questions alone: a query that searches more than once reads the texts once."""
+    return index.narrowed(_index(spark, sf), questions(spark))
+
+
 @query("AGG06_index_terms", f"WITH {_BM25} SELECT term, df, sum(tf)::BIGINT AS cf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM te JOIN po USING (term) CROSS JOIN sz GROUP BY term, df, n")
 def index_terms(spark: SparkSession, sf: str) -> DataFrame:
     i = _index(spark, sf)
     idf = F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6)
-    return i.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(i.size)).select("term", "df", "cf", idf.alias("idf"))
+    return index.term_counts(i).crossJoin(F.broadcast(i.size)).select("term", "df", "cf", idf.alias("idf"))
 
 
 @query("TOP02_bm25", f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 20")
 def top_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return index.bm25(_index(spark, sf), questions(spark), 20)
+    return index.bm25(_asked(spark, sf), questions(spark), 20)
 
 
 @query(
@@ -59,7 +65,7 @@ def top_bm25(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {_BM25} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE doc_id % 4 IN (0, 2) AND score > 0 QUALIFY rank <= 10",
 )
 def bm25_types(spark: SparkSession, sf: str) -> DataFrame:
-    return index.bm25(_index(spark, sf), questions(spark), 10, allowed=chunks(spark, sf).where(F.col("doc_type").isin("domestic", "faq")).select("doc_id"))
+    return index.bm25(_asked(spark, sf), questions(spark), 10, allowed=chunks(spark, sf).where(F.col("doc_type").isin("domestic", "faq")).select("doc_id"))
 
 
 _ALLOWED = f"""(TRY_CAST(year AS INTEGER) IS NULL OR (2016 + doc_id % 8 <= TRY_CAST(year AS INTEGER) AND 2019 + doc_id % 8 >= TRY_CAST(year AS INTEGER))) AND (len(types) = 0 OR list_contains(types, {_TYPES}))"""
@@ -118,8 +124,8 @@ re AS (SELECT query_id, doc_id, doc_type, pinned, raw, score, row_number() OVER
        WHERE (kept AND NOT (NOT any_document AND spare IS NOT NULL AND n_kept >= 5 AND place = n_kept)) OR (NOT any_document AND place = spare))"""
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    best = index.bm25(_index(spark, sf), questions(spark), 20).drop("rank")
+def _scored(spark: SparkSession, sf: str, asked: index.Index | None = None) -> DataFrame:
+    best = index.bm25(asked or _asked(spark, sf), questions(spark), 20).drop("rank")
     return best.join(chunks(spark, sf).select("doc_id", "doc_type", "pinned"), "doc_id").select("query_id", "doc_id", "doc_type", "pinned", (F.col("doc_id") % 5 == 0).alias("has_url"), (F.col("query_id") % 2 == 1).alias("asks_url"), F.round(F.col("score") - 4, 6).alias("raw"))
 
 
@@ -131,13 +137,14 @@ def reranked(spark: SparkSession, sf: str) -> DataFrame:
 @query("TOP08_rerank_notices", f"WITH {_RAW.replace('doc_id % 4 WHEN 0', '3 - (rank > 9)::INT * 3 WHEN 0')} SELECT query_id, doc_id, doc_type, raw, score, rank FROM re")
 def reranked_notices(spark: SparkSession, sf: str) -> DataFrame:
     """Only low ranks are documents, so the last place goes to the best of them."""
-    low = index.bm25(_index(spark, sf), questions(spark), 20).select("query_id", "doc_id", F.when(F.col("rank") > 9, "domestic").otherwise("notice").alias("doc_type"))
-    return rank.rerank(_scored(spark, sf).drop("doc_type").join(low, ["query_id", "doc_id"]), 5).select("query_id", "doc_id", "doc_type", "raw", "score", "rank")
+    asked = _asked(spark, sf)
+    low = index.bm25(asked, questions(spark), 20).select("query_id", "doc_id", F.when(F.col("rank") > 9, "domestic").otherwise("notice").alias("doc_type"))
+    return rank.rerank(_scored(spark, sf, asked).drop("doc_type").join(low, ["query_id", "doc_id"]), 5).select("query_id", "doc_id", "doc_type", "raw", "score", "rank")
 
 
 @query("TOP09_near_copies_out", f"WITH {_BM25} SELECT query_id, doc_id, score FROM bm JOIN documents USING (doc_id) WHERE rank <= 20 QUALIFY row_number() OVER (PARTITION BY query_id, substr(text, 1, 100) ORDER BY score DESC, doc_id) = 1")
 def near_copies_out(spark: SparkSession, sf: str) -> DataFrame:
-    found = index.bm25(_index(spark, sf), questions(spark), 20).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    found = index.bm25(_asked(spark, sf), questions(spark), 20).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return rank.near_copies_out(found).select("query_id", "doc_id", "score")
 
 
@@ -148,7 +155,7 @@ def near_copies_out(spark: SparkSession, sf: str) -> DataFrame:
     SELECT k.query_id, doc_id, score FROM k LEFT JOIN c USING (query_id) WHERE NOT coalesce(span >= 1 AND c.fall > 0.25 * span, false) OR rank < cut""",
 )
 def knee_cut(spark: SparkSession, sf: str) -> DataFrame:
-    return rank.knee_cut(index.bm25(_index(spark, sf), questions(spark), 20)).select("query_id", "doc_id", "score")
+    return rank.knee_cut(index.bm25(_asked(spark, sf), questions(spark), 20)).select("query_id", "doc_id", "score")
 
 
 _FUSED = f"""{_RAW}, ch AS (SELECT query_id, doc_id AS doc_key, 'vector' AS channel, rank, doc_type, pinned FROM re UNION ALL
@@ -160,10 +167,11 @@ f2 AS (SELECT *, min(CASE WHEN rank > greatest(3, ref + 2) AND rs > 0 AND score
 fc AS (SELECT query_id, doc_key, score, channel, doc_type, rank FROM f2 WHERE cut IS NULL OR rank < cut)"""
 
 
-def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    vector = rank.rerank(_scored(spark, sf), 5).select("query_id", F.col("doc_id").alias("doc_key"), F.lit("vector").alias("channel"), "rank", "doc_type", "pinned")
+def _fused(spark: SparkSession, sf: str, asked: index.Index | None = None) -> DataFrame:
+    asked = asked or _asked(spark, sf)
+    vector = rank.rerank(_scored(spark, sf, asked), 5).select("query_id", F.col("doc_id").alias("doc_key"), F.lit("vector").alias("channel"), "rank", "doc_type", "pinned")
     faq = chunks(spark, sf).where("doc_type = 'faq'").select("doc_id")
-    graph = index.bm25(_index(spark, sf), questions(spark), 8, allowed=faq).select("query_id", F.col("doc_id").alias("doc_key"), F.lit("graph").alias("channel"), "rank", F.lit("faq").alias("doc_type"), F.lit(False).alias("pinned"))
+    graph = index.bm25(asked, questions(spark), 8, allowed=faq).select("query_id", F.col("doc_id").alias("doc_key"), F.lit("graph").alias("channel"), "rank", F.lit("faq").alias("doc_type"), F.lit(False).alias("pinned"))
     g, v = rank.weights(F.lit("GRADUATION_REQ"), F.lit("factoid"))
     return rank.fuse(vector.unionByName(graph).withColumn("graph_weight", g).withColumn("vector_weight", v))
 
@@ -271,11 +279,12 @@ FROM (SELECT *, CASE WHEN top < 0 THEN least(c, 0.3) WHEN top > 2 THEN greatest(
 @query("PLAN_hybrid", _HYBRID)
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword search, rerank, fusion with FAQ rows, adaptive cut, confidence and context rows."""
-    fused = _fused(spark, sf)
+    asked = _asked(spark, sf)
+    fused = saved(_fused(spark, sf, asked))  # some ten rows a question
     cut = rank.adaptive_cut(fused)
     before = fused.groupBy("query_id").agg(F.count("*").alias("b"))
     after = cut.groupBy("query_id").agg(F.count("*").alias("n"))
-    top = rank.rerank(_scored(spark, sf), 5).groupBy("query_id").agg(F.max("score").alias("top"))
+    top = rank.rerank(_scored(spark, sf, asked), 5).groupBy("query_id").agg(F.max("score").alias("top"))
     rows = cut.join(after, "query_id").join(before, "query_id").join(top, "query_id").join(table(spark, sf, "documents").select(F.col("doc_id").alias("doc_key"), "text"), "doc_key")
     sure = rank.confidence(F.lit(False), F.col("n"), F.lit(True), F.col("top"), F.col("b"), F.col("n"))
     return rows.select("query_id", "rank", F.col("doc_key").alias("doc_id"), "score", F.round(sure, 6).alias("confidence"), F.concat(F.lit("---["), "doc_type", F.lit("] "), "text").alias("context"))

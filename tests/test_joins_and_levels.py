@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import graph, index, sheets
 from corvane.plans.question_queries import node_types
+from corvane.plans.retrieval_queries import fusion
 from corvane.plans.sheet_queries import kept_questions, nine_rules, question_clusters
 from tests.test_heads import loop
 
@@ -138,3 +139,22 @@ def test_what_a_task_holds_of_a_dense_search():
     for lo in range(0, 50, 9):
         kept = index._merged(kept, scores[:, lo : lo + 9], keys[lo : lo + 9], 6)
     assert kept[1].shape == (4, 6) and [list(k) for k in kept[1]] == [[k for _, k in sorted(zip(-s, keys, strict=True))[:6]] for s in scores]
+
+
+def test_searches_read_texts_once(spark):
+    plan = fusion(spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    scans = [line for line in plan if "FileScan parquet" in line]
+    assert scans and not any("text" in line for line in scans)  # what is left of the texts was saved before
+
+
+def test_narrowed_index_and_term_counts(spark, monkeypatch):
+    docs = [(1, ["a", "b", "a"]), (2, []), (3, None), (4, ["c", "a", "c", "c"]), (5, ["d"])]
+    whole = index.build_index(spark.createDataFrame(docs, "doc_id long, tokens array<string>"), tokens=F.col("tokens"))
+    queries = spark.createDataFrame([(1, ["a", "c"]), (2, ["d", "x"]), (3, [])], "query_id int, tokens array<string>")
+    found = lambda i: sorted(map(tuple, index.bm25(i, queries, 3).collect()))
+    few = index.narrowed(whole, queries)
+    assert found(few) == found(whole) and len(found(few)) == 3 and few.size.first() == whole.size.first()
+    monkeypatch.setattr(index, "LITERAL_TERMS", 1)
+    assert index.narrowed(whole, queries) is whole
+    words = [(w, i) for i, ws in docs for w in ws or ()]
+    assert {tuple(r) for r in index.term_counts(whole).collect()} == {(w, len({i for x, i in words if x == w}), sum(x == w for x, _ in words)) for w, _ in words}
