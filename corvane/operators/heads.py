@@ -21,13 +21,18 @@ ROUNDS = 3
 SMALL = 200_000
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(place, n, token): the rarest words of each set, as many as a set of that size can't miss all of."""
-    words = sets.select("place", "n", F.explode("tokens").alias("token"))
+def _ordered(sets: DataFrame, percent: int) -> DataFrame:
+    """(place, n, tokens, sign, lead) of sets (place, tokens): the words from rare to frequent; ``lead``: as many as a set of
+    that size can't miss all of, without those that no other set has; ``sign``: the parity of the words by 256 hashed classes."""
+    words = sets.select("place", F.explode("tokens").alias("token"))
     often = words.groupBy("token").agg(F.count("*").alias("often"))
-    rare = Window.partitionBy("place").orderBy("often", "token")
-    needed = F.expr(f"({percent} * n + 99) div 100")
-    return words.join(often, "token").withColumn("_i", F.row_number().over(rare)).where(F.col("_i") <= F.col("n") - needed + 1).select("place", "n", "token")
+    at = F.xxhash64("token")
+    parity = lambda i: F.bit_xor(F.when(at.bitwiseAND(3) == i, F.expr("shiftleft(1L, cast(shiftright(xxhash64(token), 2) & 63 AS int))")).otherwise(F.lit(0).cast("long")))
+    of = words.join(often, "token").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("w"), *(parity(i).alias(f"s{i}") for i in range(4)))
+    n = F.size("w")
+    needed = F.floor((percent * n + 99) / 100)
+    shared = F.filter(F.slice(F.transform("w", lambda w, i: F.struct((i + 1).alias("i"), w["often"].alias("often"), w["token"].alias("token"))), F.lit(1), (n - needed + 1).cast("int")), lambda w: w["often"] > 1)
+    return of.select("place", n.alias("n"), F.transform("w", lambda w: w["token"]).alias("tokens"), F.struct(*(f"s{i}" for i in range(4))).alias("sign"), F.transform(shared, lambda w: F.struct(w["i"].alias("i"), w["token"].alias("token"))).alias("lead"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -37,8 +42,14 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
 
 
-def _sized(a: Column, b: Column, percent: int) -> Column:
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
+def _possible(percent: int) -> Column:
+    """Whether sets a and b that meet by a word may be similar: by their sizes; by what is left from that word on, if it is
+    the first that they share; and by their parities, which differ in no more classes than the sets do in words."""
+    a, b = F.col("a_n"), F.col("b_n")
+    sized = (100 * a >= percent * b) & (100 * b >= percent * a)
+    left = (100 + percent) * (1 + F.least(a - F.col("a_i"), b - F.col("b_i"))) >= percent * (a + b)
+    apart = sum((F.bit_count(F.col(f"a_sign.s{i}").bitwiseXOR(F.col(f"b_sign.s{i}"))) for i in range(1, 4)), F.bit_count(F.col("a_sign.s0").bitwiseXOR(F.col("b_sign.s0"))))
+    return sized & left & ((100 + percent) * apart <= (100 - percent) * (a + b))
 
 
 def greedy_heads(items: DataFrame, percent: int = 60) -> DataFrame:
@@ -53,21 +64,24 @@ def greedy_heads(items: DataFrame, percent: int = 60) -> DataFrame:
     alone = given.where(F.size("tokens") == 0).select("place", F.col("place").alias("head"))
     keyed = given.where(F.size("tokens") > 0).withColumn("same", F.sha2(F.to_json("tokens"), 256))
     classes = keyed.groupBy("same").agg(F.min("place").alias("rep"), F.first("tokens").alias("tokens"))
-    sets = saved(classes.select(F.col("rep").alias("place"), "tokens", F.size("tokens").alias("n")))
-    words = saved(_prefixes(sets, percent))
-    heads = sets.select("place").limit(0)
+    sets = saved(_ordered(classes.select(F.col("rep").alias("place"), "tokens"), percent))
+    leads = sets.where(F.size("lead") > 0).select("place", "n", "sign", "lead")
+    heads = saved(sets.where(F.size("lead") == 0).select("place"))
     taken = sets.select("place", F.col("place").alias("head")).limit(0)
-    open_ = sets.select("place")
+    open_ = leads.select("place")
+
+    def met(of: DataFrame, x: str) -> DataFrame:
+        """The leading words of the sets ``of`` (place), with what tells whether two sets may be similar."""
+        rows = leads.join(of, "place", "left_semi").select("place", "n", "sign", F.inline("lead"))
+        return rows.select("token", *(F.col(c).alias(v) for c, v in (("place", x), ("n", f"{x}_n"), ("i", f"{x}_i"), ("sign", f"{x}_sign"))))
 
     def joined(new: DataFrame, others: DataFrame) -> DataFrame:
-        """(place, head): items of ``others`` after a head of ``new`` that resemble it."""
-        of_heads = words.join(new, "place", "left_semi").select("token", F.col("place").alias("a"), F.col("n").alias("a_n"))
-        of_others = words.join(others, "place", "left_semi").select("token", F.col("place").alias("b"), F.col("n").alias("b_n"))
-        pairs = of_heads.join(of_others, "token").where((F.col("a") < F.col("b")) & _sized(F.col("a_n"), F.col("b_n"), percent)).select("a", "b").distinct()
+        """(place, head): items of ``others`` after a head of ``new`` that resemble it. Only pairs that may are moved."""
+        pairs = met(new, "a").join(met(others, "b"), "token").where((F.col("a") < F.col("b")) & _possible(percent)).select("a", "b").distinct()
         return _similar(pairs, sets, percent).select(F.col("b").alias("place"), F.col("a").alias("head"))
 
     for _ in range(ROUNDS):
-        mine = words.join(open_, "place", "left_semi")
+        mine = leads.join(open_, "place", "left_semi").select("place", F.inline("lead"))
         lead = mine.groupBy("token").agg(F.min("place").alias("lead"))
         new = saved(mine.join(lead, "token").groupBy("place").agg(F.min(F.col("lead") == F.col("place")).alias("first")).where("first").select("place"))
         heads = saved(heads.unionByName(new))

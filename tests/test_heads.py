@@ -47,3 +47,13 @@ def test_heads_equal_the_loop(spark, monkeypatch, rounds, small):
 def test_no_items(spark):
     none = spark.createDataFrame([], "place long, tokens array<string>")
     assert heads.greedy_heads(none).count() == 0 and heads.without_repeats(none).count() == 0
+
+
+def test_pairs_that_cannot_be_similar_are_not_moved(spark, monkeypatch):
+    """Sets of a small vocabulary meet by words without being similar."""
+    rng, moved, similar = random.Random(7), [], heads._similar
+    items = [(i, rng.sample([f"w{j}" for j in range(60)], 20)) for i in range(100)]
+    monkeypatch.setattr(heads, "ROUNDS", 1)
+    monkeypatch.setattr(heads, "_similar", lambda pairs, *x: (moved.append(pairs.count()), similar(pairs, *x))[1])
+    found = heads.greedy_heads(spark.createDataFrame(items, "place long, tokens array<string>"), 60).collect()
+    assert {r["place"]: r["head"] for r in found} == loop(items, 60) and sum(moved) < 100
