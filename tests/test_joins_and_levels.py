@@ -158,3 +158,10 @@ def test_narrowed_index_and_term_counts(spark, monkeypatch):
     assert index.narrowed(whole, queries) is whole
     words = [(w, i) for i, ws in docs for w in ws or ()]
     assert {tuple(r) for r in index.term_counts(whole).collect()} == {(w, len({i for x, i in words if x == w}), sum(x == w for x, _ in words)) for w, _ in words}
+
+
+def test_two_steps_from_several_starts(spark):
+    """A node that two starts of an origin reach counts once."""
+    edges = spark.createDataFrame([("a", "x", "r"), ("b", "x", "r"), ("b", "z", "r"), ("x", "y", "r"), ("x", "x", "r"), (None, "x", "r"), ("x", None, "r")], "src string, dst string, relation string")
+    found = graph.within_two(spark.createDataFrame([("o", "a"), ("o", "b"), ("p", "q")], "origin string, node_id string"), edges, visits=3)
+    assert sorted(tuple(r) for r in found.collect()) == [("o", "x", 1), ("o", "y", 2), ("o", "z", 1)]
