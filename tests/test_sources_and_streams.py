@@ -183,3 +183,11 @@ def test_table_pieces(spark):
 def test_table_pieces_make_their_text_once(spark):
     """The fold works on bound values; the text's own expression stands in it once, not in every row's step."""
     assert str(chunking.table_pieces(F.upper(F.col("md")))).count("upper(md)") == 1
+
+
+def test_pages_are_held_a_few_at_a_time(spark):
+    """A task's batch of pages is bounded by bytes, not by 10,000 rows of any size."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    pages = spark.range(200).selectExpr("id AS page_id", "if(id % 50 = 7, NULL, concat('<nav>n</nav><p>', repeat('x', id * 10), '</p>')) AS html")
+    found = {r["page_id"]: r["text"] for r in html.page_texts(pages, main_only=True).collect()}
+    assert found == {i: "" if i % 50 == 7 else "x" * (i * 10) for i in range(200)} and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= html.BATCH_BYTES
