@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -66,3 +67,27 @@ def test_given_pages(spark):
         shown = re.sub(r"<(script|style|nav|footer)\b.*?</\1>|<!--.*?-->", "", r["html"].split("</head>", 1)[1], flags=re.S)
         plain = re.sub(r"<[^>]*>", "", shown)
         assert r["level"] is None and re.sub(r"\s", "", r["text"]) == re.sub(r"\s", "", entities.unescape(plain))
+
+
+def _shape(node):
+    return [x if isinstance(x, str) else (x.tag, x.attrs, x.place, _shape(x)) for x in node.inside]
+
+
+def test_plain_pages_are_read_as_by_the_library(monkeypatch):
+    """Whatever is read without the library's parser equals what that gives; most of the pages made of plain pieces are."""
+    rng, plain = random.Random(5), page_tree._plain
+    pieces = ["<p>", "</p>", "<TD Class='a b'>", "</td>", "<tr>", "</tr>", "<table>", "</table>", "<a href=\"/x?a=1&amp;b=2&amp;lt;\" id=''>", "</a>", "<br>", "text ", "\n", "a > b", "<li >", "<ul>", "</ul>", "<h2>", "</h2>"]
+    odd = ["&lt;", "&", "<", "<!-- c -->", "<br/>", "<script>", "</script>", "<td nowrap>", "<a href=x>", "</td >", "<title>", "<a b='&copy;'>", "<x-y>", "<p a='1'b='2'>"]
+    pages = ["".join(rng.choice(pieces if rng.random() < 0.97 else odd) for _ in range(rng.randrange(40))) for _ in range(3000)] + [BOARD, PAGE]
+    read = [page_tree.tree(x) for x in pages]
+    monkeypatch.setattr(page_tree, "_plain", lambda _: None)
+    assert [_shape(x) for x in read] == [_shape(page_tree.tree(x)) for x in pages]
+    assert sum(plain(x) is not None for x in pages) > 1000
+
+
+def test_lists_are_read_once(spark):
+    """A list's stop comes from the rows that are returned, not from a second reading of all pages."""
+    pages = spark.createDataFrame([(1, BOARD), (None, BOARD)], "page_id long, html string")
+    found = page_tree.list_posts(pages, F.lit("2024-02-20").cast("date"), base="http://u/list", board="bo_table=n")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [r["n"] for r in found.groupBy("page_id").agg(F.count("*").alias("n")).orderBy("page_id").collect()] == [4, 2]
