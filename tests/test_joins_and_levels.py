@@ -105,6 +105,37 @@ def test_tagged_edges_are_not_moved(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().splitlines()[1].startswith("+- Generate explode") or found._jdf.queryExecution().optimizedPlan().toString().splitlines()[0].startswith("Generate explode")
 
 
+@pytest.mark.parametrize("sent", [0, 1000])
+@pytest.mark.parametrize("task_parts", [1, 50_000])
+def test_tagged_edges_of_many_parts(spark, monkeypatch, sent, task_parts):
+    monkeypatch.setattr(graph, "SENT_TARGETS", sent)
+    monkeypatch.setattr(graph, "TASK_PARTS", task_parts)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rng = random.Random(9)
+    nodes = [(f"n{i:03}", "pq"[i % 2]) for i in range(150)] + [("n000", "q"), ("n003", "p"), ("n004", "w")]
+    tagged = [(f"s{i}", ["x", "y"][: i % 3]) for i in range(12)] + [("s1", ["y"])]
+    edges = [(f"s{i}", f"n{rng.randrange(150):03}", "r") for i in range(12) for _ in range((0, 3, 40, 149)[i % 4])] + [("s5", f"n{i:03}", "r") for i in range(150)] + [("zz", "n001", "r"), (None, "n001", "r")]
+    types = {"x": "p", "y": "q"}
+    wanted = {(s, n, "T") for s, tags in tagged for t in tags for n, k in nodes if k == types[t]} - {(s, n, "T") for s, n, _ in edges}
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in ((tagged, "node_id string, tags array<string>"), (list(types.items()), "tag string, node_type string"), (nodes, "node_id string, node_type string"), (edges, "src string, dst string, relation string"))]
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if tables were large
+        found = graph.tagged_edges(*frames, "T", part=4)
+        lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        rows = list(map(tuple, found.collect()))
+        assert len(rows) == len(set(rows)) and set(rows) == wanted
+        # what lies above the step that makes a row for each source and part
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        at, above = next(i for i, line in enumerate(lines) if "Generate explode" in line and "sequence(" in line), []
+        for line in reversed(lines[: at + 1]):
+            if not above or depth(line) < depth(above[-1]):
+                above.append(line)
+        assert bool(sent) != any("Exchange" in line for line in above)
+        assert len(above) > 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_a_sum_halfway_between_digits(spark, tmp_path):
     rng = random.Random(5)
     while True:  # prices of 12350.00 in all, whose doubles add up to less
